@@ -32,7 +32,7 @@ def octave_reduce(cents: Column) -> Column:
     edge of the last bin then takes (``pmod`` would send it to bin 0).
     """
     r = cents % OCTAVE
-    return F.when(r < 0, r + OCTAVE).otherwise(r)
+    return r + F.when(cents < 0, F.when(r < 0, OCTAVE).otherwise(0.0)).otherwise(0.0)
 
 
 def edge_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
@@ -49,8 +49,11 @@ def edge_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 
 def pitch_class_bin(cents: Column, bins: int = 120) -> Column:
-    """Bin of the octave-reduced cents."""
-    return edge_bin(octave_reduce(cents), 0.0, OCTAVE, bins)
+    """Bin of the octave-reduced cents; the last bin is closed on the right."""
+    width = OCTAVE / bins
+    x = octave_reduce(cents)
+    guess = F.floor(x / width).cast("int")
+    return F.least(guess - (x < guess * width).cast("int"), F.lit(bins - 1))
 
 
 def fold_into(hz: Column, lo: float = 60.0, hi: float = 120.0) -> Column:

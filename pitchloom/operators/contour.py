@@ -61,6 +61,35 @@ def excerpt_status(
     return counts.withColumn("status", tier)
 
 
+def frame_step(frames: DataFrame, single: float = 0.0044) -> DataFrame:
+    """``recording_id, n_frames, dt``: the mean step, ``single`` for one frame."""
+    n = F.count(F.lit(1))
+    dt = (F.max("ts") - F.min("ts")) / F.nullif(n - 1, F.lit(0))
+    return frames.groupBy("recording_id").agg(
+        n.alias("n_frames"), F.coalesce(dt, F.lit(single)).alias("dt")
+    )
+
+
+def rms_normalise(
+    df: DataFrame, key: Sequence[str], value: str, target: float = 0.1, floor: float = 1e-6
+) -> DataFrame:
+    """Scale ``value`` to a root mean square of ``target`` per excerpt; near silence stays."""
+    rms = F.sqrt(F.avg(F.col(value) * F.col(value)).over(Window.partitionBy(*key)))
+    loud = F.when(F.col("rms") > floor, F.col(value) * (target / F.col("rms"))).otherwise(F.col(value))
+    return df.withColumn("rms", rms).withColumn(value, loud)
+
+
+def with_recording_columns(frames: DataFrame, facts: DataFrame) -> DataFrame:
+    """Inner join of one row per recording to frames that carry a ``block``.
+
+    The facts meet the list of blocks first, so the frames of one recording are
+    spread over its blocks instead of meeting in one task.
+    """
+    on = ["recording_id", "block"]
+    per_block = frames.select(*on).distinct().join(facts, "recording_id")
+    return join_summary(frames, per_block, on)
+
+
 def sweep_segments(
     frames: DataFrame, segments: DataFrame, kinds: Sequence[str], block_s: float = BLOCK_S
 ) -> DataFrame:

@@ -62,3 +62,21 @@ def exact_median(df: DataFrame, key: Sequence[str], value: str, width: float = 0
     """Median with the mean of the two middle values, as ``median``."""
     m = middle_values(df, key, value, width)
     return m.select(*key, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
+
+
+def error_summary(errors: DataFrame, value: str, good: float = 25.0, ok: float = 50.0) -> DataFrame:
+    """One row: count, mean, upper median, maximum and band counts of absolute errors."""
+    e = F.col(value)
+    one = errors.select(F.lit(1).alias("_k"), e)
+    middle = middle_values(one, ["_k"], value, width=1.0).select("_k", "upper")
+    sums = one.groupBy("_k").agg(
+        F.count(e).alias("n"),
+        F.avg(e).alias("mean_abs"),
+        F.max(e).alias("max_abs"),
+        F.count_if(e <= good).alias("n_good"),
+        F.count_if(e <= ok).alias("n_ok"),
+        F.count_if(e > ok).alias("n_broken"),
+    )
+    return sums.join(middle, "_k").select(
+        "n", "mean_abs", F.col("upper").alias("median_abs"), "max_abs", "n_good", "n_ok", "n_broken"
+    )
