@@ -71,9 +71,9 @@ def dense_index(
 ) -> DataFrame:
     """Zero-based position of each row in its recording, and optionally its length."""
     on = [*key, block]
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    whole = {total: F.sum("_n")} if total else None
-    offsets = carry(counts, key, block, before={"_before": F.sum("_n")}, whole=whole).drop("_n")
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = {total: F.sum("_rows")} if total else None
+    offsets = carry(counts, key, block, before={"_before": F.sum("_rows")}, whole=whole).drop("_rows")
     local = F.row_number().over(Window.partitionBy(*on).orderBy(*order))
     return (
         join_summary(df.withColumn("_rn", local), offsets, on)

@@ -1,0 +1,41 @@
+"""Joins whose large side may have one key with a large share of all rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = 0.001) -> DataFrame:
+    """Keys holding more than ``share`` of the rows: fewer than ``1 / share`` of them."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") > total * share).select(*on, F.lit(True).alias("_hot"))
+
+
+def skew_join(
+    large: DataFrame,
+    small: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    share: float = 0.001,
+    salts: int = 64,
+) -> DataFrame:
+    """Equi-join with the hot keys of ``large`` spread over ``salts`` tasks.
+
+    Only rows of hot keys are salted and only their partners are copied. The list
+    of hot keys is broadcast; its length is bounded by ``1 / share``. ``how`` may
+    be any join that keeps no unmatched row of ``small``.
+    """
+    hot = F.broadcast(hot_keys(large, on, share))
+    row = F.xxhash64(*[c for c in large.columns])
+    left = (
+        large.join(hot, list(on), "left")
+        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row, F.lit(salts))).otherwise(0).cast("int"))
+        .drop("_hot")
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = small.join(hot, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
