@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,17 +95,34 @@ def channel_statistics(channels: DataFrame) -> DataFrame:
 
 
 def mean_vector(
-    df: DataFrame, key: Sequence[str], features: str = "features", name: str = "mean_vector"
+    df: DataFrame,
+    key: Sequence[str],
+    features: str = "features",
+    name: str = "mean_vector",
+    keep: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Element-wise mean per key; averages per position combine before the shuffle."""
+    """Element-wise mean per key; averages per position combine before the shuffle.
+
+    ``keep`` names further aggregates over the vectors of a key that must not
+    depend on how often a row is seen (``max``, ``min``, ``bool_or``).
+    """
+    extra = {f"_x{i}": (n, c) for i, (n, c) in enumerate((keep or {}).items())}
     per_pos = (
-        df.select(*key, F.posexplode(features).alias("_p", "_v"))
+        df.select("*", F.posexplode(features).alias("_p", "_v"))
         .groupBy(*key, "_p")
-        .agg(F.avg("_v").alias("_v"), F.count("_v").alias("_n"))
+        .agg(
+            F.avg("_v").alias("_v"),
+            F.count("_v").alias("_n"),
+            *[c.alias(x) for x, (_, c) in extra.items()],
+        )
     )
     return (
         per_pos.groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_e"), F.max("_n").alias("n_vectors"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_e"),
+            F.max("_n").alias("n_vectors"),
+            *[F.max(x).alias(n) for x, (n, _) in extra.items()],
+        )
         .withColumn(name, F.transform("_e", lambda e: e["_v"]))
         .drop("_e")
     )

@@ -82,24 +82,20 @@ def annotated_features(
 
 
 def resolve_tonic(
-    voiced: DataFrame, key: Sequence[str], override: str | None, detect_missing: bool = True
+    voiced: DataFrame, key: Sequence[str], given: str | None, as_is: str | None = None
 ) -> DataFrame:
-    """Add ``tonic_hz``: the folded override where it is positive, else detected."""
-    if override is None:
+    """Add ``tonic_hz``: detected, or the ``given`` column moved to the voice's octave.
+
+    Where the boolean column ``as_is`` holds, the given value was detected on this
+    very excerpt and stays. Excerpts whose given value is not positive drop out.
+    """
+    if given is None:
         found = tonic.detect_tonic(voiced, key)
         return voiced.join(found.hint("shuffle_hash"), list(key))
-    given = pitch.positive_or_null(F.col(override))
-    median = F.median("f0_hz").over(Window.partitionBy(*key))
-    folded = pitch.fold_override(given, median)
-    if not detect_missing:
-        return voiced.withColumn("tonic_hz", folded).filter(F.col("tonic_hz").isNotNull())
-    found = tonic.detect_tonic(voiced.filter(given.isNull()), key)
-    return (
-        voiced.withColumn("_folded", folded)
-        .join(found.withColumnRenamed("tonic_hz", "_found").hint("shuffle_hash"), list(key), "left")
-        .withColumn("tonic_hz", F.coalesce("_folded", "_found"))
-        .drop("_folded", "_found")
-    )
+    hz = pitch.positive_or_null(F.col(given))
+    folded = pitch.fold_override(hz, F.median("f0_hz").over(Window.partitionBy(*key)))
+    settled = folded if as_is is None else F.when(F.col(as_is), hz).otherwise(folded)
+    return voiced.withColumn("tonic_hz", settled).filter(F.col("tonic_hz").isNotNull())
 
 
 def mark_excerpt(
@@ -133,8 +129,8 @@ def detected_features(
     excerpts: DataFrame,
     key: Sequence[str],
     hop: float = HOP_S,
-    override: str | None = None,
-    detect_missing: bool = True,
+    given: str | None = None,
+    as_is: str | None = None,
     min_voiced: int = MIN_VOICED,
     bins: int = histograms.BINS,
     keep: Sequence[str] = (),
@@ -145,12 +141,13 @@ def detected_features(
     """360-value features per excerpt; too little voice gives no row.
 
     ``key`` bounds the frames of one excerpt. All windows and both aggregations
-    share the partitioning of ``key``. ``keep`` names columns constant per
-    excerpt that pass through.
+    share the partitioning of ``key``. The tonic is detected, or taken from the
+    column ``given`` (see :func:`resolve_tonic`). ``keep`` names columns constant
+    per excerpt that pass through.
     """
     voiced = contour.confident_or_voiced(excerpts, key, min_voiced)
     marked = mark_excerpt(
-        resolve_tonic(voiced, key, override, detect_missing), key, hop, tslope, ttime, loose_tslope
+        resolve_tonic(voiced, key, given, as_is), key, hop, tslope, ttime, loose_tslope
     )
     names = ("nyas", "duration", "stable")
     carried = ["tonic_hz", *keep]
@@ -198,8 +195,7 @@ def clip_features(
         clips,
         list(seg.CLIP_KEY),
         hop,
-        override="expert_tonic_hz",
-        detect_missing=False,
+        given="expert_tonic_hz",
         min_voiced=min_voiced,
         keep=["clip_dur", "expert_tonic_hz", *keep],
         **options,

@@ -38,26 +38,19 @@ def scoring_windows(recordings: DataFrame) -> DataFrame:
     return parts.unionByName(anchors)
 
 
-def shared_tonics(in_windows: DataFrame, min_voiced: int) -> DataFrame:
-    """``recording_id, anchor_hz`` of long inputs: the override, or detected on the anchor.
+def leading_tonics(in_windows: DataFrame, key: Sequence[str], min_voiced: int) -> DataFrame:
+    """``recording_id, found_hz``, detected on the one leading excerpt of each recording.
 
-    An anchor without enough voice and without override gives no row.
+    Recordings with a positive override need none; a leading excerpt without
+    enough voice gives no row.
     """
-    anchor = in_windows.filter(F.col("role") == "anchor")
-    given = (
-        anchor.filter(F.col("override_hz") > 0)
-        .groupBy("recording_id")
-        .agg(F.first("override_hz").alias("anchor_hz"))
-    )
-    free = anchor.filter(pitch.positive_or_null(F.col("override_hz")).isNull())
-    voiced = contour.confident_or_voiced(free, ["recording_id"], min_voiced)
-    return given.unionByName(
-        tonic.detect_tonic(voiced, ["recording_id"]).withColumnRenamed("tonic_hz", "anchor_hz")
-    )
+    free = in_windows.filter(pitch.positive_or_null(F.col("override_hz")).isNull())
+    voiced = contour.confident_or_voiced(free, key, min_voiced)
+    return tonic.detect_tonic(voiced, key).select("recording_id", F.col("tonic_hz").alias("found_hz"))
 
 
-def mean_probability(scored: DataFrame, key: Sequence[str]) -> DataFrame:
-    return quality.mean_vector(scored, key, "probability", "probability")
+def mean_probability(scored: DataFrame, key: Sequence[str], **keep: Column) -> DataFrame:
+    return quality.mean_vector(scored, key, "probability", "probability", keep)
 
 
 def score_recordings(
@@ -75,27 +68,30 @@ def score_recordings(
     (``fallback``). A recording that gives nothing is ``rejected``.
     """
     in_windows = seg.window_frames(frames, scoring_windows(recordings))
-    anchors = shared_tonics(in_windows, min_voiced)
-    ready = in_windows.join(anchors, "recording_id", "left").filter(
-        (F.col("role") == "whole") | F.col("anchor_hz").isNotNull()
+    found = leading_tonics(in_windows.filter("role <> 'segment'"), WINDOW_KEY, min_voiced)
+    override = pitch.positive_or_null(F.col("override_hz"))
+    ready = in_windows.join(found, "recording_id", "left").withColumns(
+        {
+            "given_hz": F.coalesce(override, F.col("found_hz")),
+            "as_is": (F.col("role") != "segment") & override.isNull(),
+        }
     )
-    given = F.when(F.col("role") == "whole", F.col("override_hz")).otherwise(F.col("anchor_hz"))
     feats = features.detected_features(
-        ready.withColumn("given_hz", given),
-        list(WINDOW_KEY),
+        ready,
+        WINDOW_KEY,
         hop,
-        override="given_hz",
+        given="given_hz",
+        as_is="as_is",
         min_voiced=min_voiced,
         keep=["given_hz"],
         **options,
     )
-    scored = scorer(feats)
-    report = F.coalesce(pitch.positive_or_null(F.col("given_hz")), F.col("tonic_hz"))
-    chosen = _choose(scored.withColumn("report_hz", report))
-    facts = chosen.groupBy("recording_id").agg(
-        F.max("report_hz").alias("tonic_hz"), F.max("role").alias("_role")
+    done = mean_probability(
+        _choose(scorer(feats)),
+        ["recording_id"],
+        tonic_hz=F.max("given_hz"),
+        _role=F.max("role"),
     )
-    done = mean_probability(chosen, ["recording_id"]).join(facts, "recording_id")
     status = (
         F.when(F.col("_role").isNull(), "rejected")
         .when(F.col("_role") == "anchor", "fallback")
@@ -150,29 +146,35 @@ def score_catalogue(
     )
     inside = seg.window_frames(frames, wins)
     tiers = contour.excerpt_status(inside, key, min_voiced).filter("status <> 'rejected'")
-    first = tiers.groupBy("recording_id").agg(F.min("seg_idx").alias("seg_idx"))
-    leading = contour.confident_or_voiced(inside.join(first, key, "left_semi"), key, min_voiced)
-    anchors = tonic.detect_tonic(leading, key).select(
-        "recording_id", F.col("seg_idx").alias("_first"), F.col("tonic_hz").alias("anchor_hz")
-    )
-    override = pitch.positive_or_null(F.col("override_hz"))
+    first = tiers.groupBy("recording_id").agg(F.min("seg_idx").alias("first_idx"))
     # The leading segment detects its own tonic; the others take that one.
-    given = F.coalesce(override, F.when(F.col("seg_idx") != F.col("_first"), F.col("anchor_hz")))
+    marked = inside.join(first, "recording_id").withColumn("leads", F.col("seg_idx") == F.col("first_idx"))
+    found = leading_tonics(marked.filter("leads"), key, min_voiced)
+    override = pitch.positive_or_null(F.col("override_hz"))
+    ready = marked.join(found, "recording_id", "left").withColumns(
+        {
+            "given_hz": F.coalesce(override, F.col("found_hz")),
+            "as_is": F.col("leads") & override.isNull(),
+            "overridden": override.isNotNull(),
+        }
+    )
     feats = features.detected_features(
-        inside.join(anchors, "recording_id").withColumn("given_hz", given),
+        ready,
         key,
         hop,
-        override="given_hz",
+        given="given_hz",
+        as_is="as_is",
         min_voiced=min_voiced,
-        keep=["anchor_hz", "override_hz"],
+        keep=["given_hz", "overridden"],
         **options,
     )
-    scored = scorer(feats)
-    facts = scored.groupBy("recording_id").agg(
-        F.first(F.coalesce(override, F.col("anchor_hz"))).alias("tonic_hz"),
-        F.first(F.coalesce(F.col("override_hz") > 0, F.lit(False))).alias("tonic_overridden"),
+    done = mean_probability(
+        scorer(feats),
+        ["recording_id"],
+        tonic_hz=F.max("given_hz"),
+        tonic_overridden=F.max("overridden"),
     )
-    return mean_probability(scored, ["recording_id"]).join(facts, "recording_id").select(
+    return done.select(
         "recording_id",
         F.col("n_vectors").alias("n_segments"),
         "probability",

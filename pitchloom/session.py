@@ -21,6 +21,8 @@ def build_session(master: str | None = None, app: str = "pitchloom", **conf: str
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Recording the call site of every expression costs more than building it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for k, v in settings.items():
