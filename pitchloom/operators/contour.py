@@ -70,6 +70,27 @@ def frame_step(frames: DataFrame, single: float = 0.0044) -> DataFrame:
     )
 
 
+def hold_times(frames: DataFrame, last: float = 0.0) -> DataFrame:
+    """Add ``hold_s``: seconds until the next frame, ``last`` for the final one.
+
+    An optional true-duration weight for the profile; the default weight is
+    constant. ``frames`` carries ``recording_id, block, ts``.
+    """
+    on = ["recording_id", "block"]
+    starts = carry(
+        frames.groupBy(*on).agg(F.min("ts").alias("_first")),
+        ["recording_id"],
+        "block",
+        after={"_next": F.min("_first")},
+    ).drop("_first")
+    lead = F.lead("ts").over(Window.partitionBy(*on).orderBy("ts"))
+    return (
+        join_summary(frames.withColumn("_lead", lead), starts, on)
+        .withColumn("hold_s", F.coalesce(F.coalesce("_lead", "_next") - F.col("ts"), F.lit(last)))
+        .drop("_lead", "_next")
+    )
+
+
 def rms_normalise(
     df: DataFrame, key: Sequence[str], value: str, target: float = 0.1, floor: float = 1e-6
 ) -> DataFrame:

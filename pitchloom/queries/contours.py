@@ -258,6 +258,30 @@ def duration_weighted(spark, sf):
     )
 
 
+@query(
+    "agg2_hold_weighted_profile",
+    f"""WITH frames AS ({frames_sql(HOP)}), k AS (SELECT * FROM frames WHERE event_type <> 'signup'),
+    h AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY recording_id ORDER BY ts) - ts, {HOP}e0) AS hold FROM k),
+    b AS (SELECT recording_id, {pc_bin_sql(CENTS)} AS bin, sum(hold) AS w, count(*) AS c FROM h WHERE voiced GROUP BY ALL)
+    SELECT recording_id, bin, {q6('w / 10e0 / sum(w) OVER (PARTITION BY recording_id)')} AS density,
+      CAST(sum(c) OVER (PARTITION BY recording_id) AS BIGINT) AS n_values FROM b""",
+)
+def hold_weighted(spark, sf):
+    """Each voiced frame weighs the time until the next frame of its recording."""
+    f = fx.frames(spark, sf, HOP).filter("event_type <> 'signup'")
+    f = f.withColumn("block", time_block(F.col("ts"), fx.block_seconds(HOP)))
+    held = contour.hold_times(f.select("recording_id", "block", "ts", "f0_hz", "voiced"), last=HOP).filter("voiced")
+    cents = pitch.cents_above(F.col("f0_hz"), fx.tonic_of(F.col("recording_id")))
+    prof = histograms.pitch_class_profile(
+        held.withColumn("cents", cents), ["recording_id"], weight=F.col("hold_s")
+    )
+    return (
+        prof.select("recording_id", "n_values", F.posexplode("density").alias("bin", "density"))
+        .filter("density > 0")
+        .withColumn("density", r6("density"))
+    )
+
+
 @query(
     "agg5_mean_frame_step",
     f"""WITH frames AS ({frames_sql(HOP)}), s AS (SELECT * FROM frames WHERE event_type <> 'signup')

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import histograms, order_stats, segments as seg, tonic
 from ..functions import pitch
-from ..plans import features
+from ..plans import diagnostics, features
 from .contours import FOLD_SQL, KEPT_SQL, kept_in_excerpts
 from .registry import fold_sql, frames_sql, pc_bin_sql, q6, query, r6
 
@@ -302,3 +302,55 @@ def tonic_error_summary(spark, sf):
     err = found.select(F.abs(pitch.nearest_pitch_class_diff(diff)).alias("error"))
     out = order_stats.error_summary(err, "error")
     return out.select("n", *[r6(c).alias(c) for c in ("mean_abs", "median_abs", "max_abs")], "n_good", "n_ok", "n_broken")
+
+
+# The first 90 s of every recording on the one-second grid.
+FIRST_SQL = SCORE_SQL.replace("FROM frames WHERE voiced)", "FROM frames WHERE voiced AND ts < 90)")
+
+
+@query(
+    "qa2_tonic_diagnostic",
+    FIRST_SQL + f""", r AS (SELECT recording_id, any_value(label) AS label, any_value(tonic_hz) AS expert FROM frames GROUP BY 1),
+    d AS (SELECT r.*, hz, 1200e0 * log2(hz / expert) AS err FROM r LEFT JOIN found USING (recording_id))
+    SELECT recording_id, label, expert AS expert_tonic_hz, {q6('hz')} AS tonic_hz, {q6('err')} AS error_cents,
+      CASE WHEN err IS NULL THEN 'error' WHEN abs(err) <= 25 THEN 'good' WHEN abs(err) <= 50 THEN 'ok' ELSE 'broken' END AS band
+    FROM d""",
+)
+def tonic_diagnostic(spark, sf):
+    """All recordings instead of a sample of five."""
+    f, r = recs(spark, sf)
+    out = diagnostics.tonic_diagnostic(f, r, groups=None)
+    return out.withColumns({c: r6(c) for c in ("tonic_hz", "error_cents")})
+
+
+PREFLIGHT_SQL = CLIP_FEATURES_SQL.replace("SELECT recording_id, duration_s, label, expert, k * 10e0 AS clip_start,",
+    "SELECT recording_id, duration_s, label, expert, 30e0 AS clip_start,").replace(
+    "least(30e0, duration_s - k * 10e0) AS clip_dur", "30e0 AS clip_dur").replace(
+    "range(100000) AS s(k) WHERE k * 10 + 20 <= duration_s", "range(1) AS s(k)")
+
+
+@query(
+    "qa3_clip_preflight",
+    PREFLIGHT_SQL
+    + excerpt_features_sql("ready", "recording_id, expert")
+    + f""", w AS (SELECT recording_id, any_value(tonic) AS tonic, any_value(expert) AS expert, slot // 120 AS c, count(*) FILTER (v > 0) AS nz,
+                  max(v) AS pv, arg_min(slot % 120, (-v, slot)) AS pb FROM slots GROUP BY ALL),
+    all_recs AS (SELECT DISTINCT recording_id FROM frames WHERE ts >= 30 AND ts < 60)
+    SELECT recording_id, ['nyas', 'duration', 'stable'][c + 1] AS channel, {q6('tonic')} AS tonic_hz,
+      {q6(fold_sql('1200e0 * log2(tonic / expert) + 600') + ' - 600')} AS tonic_diff, tonic IS NOT NULL AS passed,
+      CAST(pb AS INTEGER) AS peak_bin, {q6('pv')} AS peak_value, CAST(nz AS INTEGER) AS nonzero_bins
+    FROM all_recs LEFT JOIN w USING (recording_id)""",
+)
+def clip_preflight(spark, sf):
+    f, r = recs(spark, sf)
+    out = diagnostics.clip_preflight(f, r, hop=1.0, groups=None, min_voiced=15, **LOOSE)
+    return out.select(
+        "recording_id",
+        "channel",
+        r6("tonic_hz").alias("tonic_hz"),
+        r6("tonic_diff").alias("tonic_diff"),
+        "passed",
+        "peak_bin",
+        r6("peak_value").alias("peak_value"),
+        "nonzero_bins",
+    )

@@ -21,6 +21,9 @@ def build_session(master: str | None = None, app: str = "pitchloom", **conf: str
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Frames fan out into clips after their shuffle, so small partitions are
+        # worth a task earlier than by size alone.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         # Recording the call site of every expression costs more than building it.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
