@@ -26,7 +26,6 @@ def block_seconds(hop: float) -> float:
 
 def frames(
     spark: SparkSession, sf: str, hop: float = 0.25, silent_zero: bool = False,
-    rows_per_block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``recording_id, frame_idx, ts, f0_hz, voiced, voiced_prob, event_type``."""
     ev = table(spark, sf, "events").select(
@@ -37,7 +36,7 @@ def frames(
         "value",
         "props",
     )
-    blocked = spread_blocks(ev, ["recording_id"], F.col("at"), rows_per_block, "_cell")
+    blocked = spread_blocks(ev, ["recording_id"], F.col("at"), BLOCK_ROWS, "_cell")
     indexed = dense_index(blocked, ["recording_id"], "_cell", ["at", "event_id"])
     voiced = F.col("event_type") != "error"
     f0 = F.lit(60.0) + F.col("value")
