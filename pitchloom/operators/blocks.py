@@ -52,6 +52,22 @@ def carry(
     return out.withColumns(tail) if tail else out
 
 
+def agg_reading(
+    df: DataFrame, by: Sequence[str], aggs: Sequence[Column], also: Sequence[str] = ()
+) -> DataFrame:
+    """``groupBy(by).agg(aggs)`` that reads the columns in ``also`` as well.
+
+    Two branches over the same rows share one shuffle only when both read the same
+    columns. The extra aggregate is a hash that is never null, filtered on so that
+    column pruning cannot drop it; hashing a column is cheaper than a second scan
+    and shuffle of all frames.
+    """
+    if not also:
+        return df.groupBy(*by).agg(*aggs)
+    seen = F.bit_xor(F.xxhash64(*also)).alias("_read")
+    return df.groupBy(*by).agg(*aggs, seen).filter("_read is not null").drop("_read")
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
     """Join a per-block table back to rows that are already shuffled by ``on``.
 

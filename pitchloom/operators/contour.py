@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from .blocks import BLOCK_S, carry, join_summary, time_block
+from .blocks import BLOCK_S, agg_reading, carry, join_summary, time_block
 
 TSLOPE = 1500.0
 TTIME = 0.1
@@ -198,7 +198,7 @@ def annotate_stable(
     tonics: DataFrame,
     tslope: float = TSLOPE,
     ttime: float = TTIME,
-    sums: Sequence[str] = (),
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Mark the stably held frames of whole recordings of any length.
 
@@ -206,19 +206,22 @@ def annotate_stable(
     the grid with 0 cents, so the slope next to silence is large. Recordings
     without a tonic drop out. Adds ``frame_idx`` (renumbered), ``n_frames``,
     ``dt``, ``tonic_hz``, ``cents``, ``stable`` (voiced and slope below
-    ``tslope``), ``held`` (in a stable run of at least ``ttime``) and, for each
-    column in ``sums``, its recording total as ``<column>_total``.
+    ``tslope``) and ``held`` (in a stable run of at least ``ttime``). ``also`` names
+    the other columns of ``frames`` that the caller goes on to use.
     """
     rec, on = "recording_id", ["recording_id", "block"]
     voiced = F.col("f0_hz") > 0
     at = F.struct("ts", "f0_hz")
+    # The joins below imply this filter on their side only; stated once, it is the
+    # same in all branches and they share one shuffle.
+    frames = frames.filter(F.col(rec).isNotNull() & F.col("block").isNotNull())
 
     # First pass over the blocks: position, the frame on either side, the step.
-    edges = frames.groupBy(*on).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(at).alias("_first"),
-        F.max(at).alias("_last"),
-        *[F.sum(c).alias(f"_s_{c}") for c in sums],
+    edges = agg_reading(
+        frames,
+        on,
+        [F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last")],
+        also,
     )
     edges = carry(
         edges,
@@ -230,7 +233,6 @@ def annotate_stable(
             "n_frames": F.sum("_n"),
             "_lo": F.min("_first.ts"),
             "_hi": F.max("_last.ts"),
-            **{f"{c}_total": F.sum(f"_s_{c}") for c in sums},
         },
     )
     dt = F.when(
@@ -244,7 +246,6 @@ def annotate_stable(
         F.coalesce("_before", F.lit(0)).alias("_before"),
         F.col("_prev.f0_hz").alias("_prev_f0"),
         F.col("_next.f0_hz").alias("_next_f0"),
-        *[f"{c}_total" for c in sums],
     )
     w = Window.partitionBy(*on).orderBy("ts")
     local = frames.withColumns(
@@ -273,11 +274,11 @@ def annotate_stable(
         .withColumn("stable", F.coalesce(voiced & (steep < tslope), F.lit(False)))
         .drop("_rn", "_lag", "_lead", "_before", "_prev_f0", "_next_f0")
     )
-    return hold_runs(marked, [rec], "block", min_run_frames(ttime, F.col("dt")), sums)
+    return hold_runs(marked, [rec], "block", min_run_frames(ttime, F.col("dt")), also)
 
 
 def hold_runs(
-    frames: DataFrame, key: Sequence[str], block: str, min_run: Column, sums: Sequence[str] = ()
+    frames: DataFrame, key: Sequence[str], block: str, min_run: Column, also: Sequence[str] = ()
 ) -> DataFrame:
     """Keep a stable frame when its run of stable frames is long enough.
 
@@ -287,11 +288,8 @@ def hold_runs(
     """
     on = [*key, block]
     gap = F.when(~F.col("stable"), F.col("frame_idx"))
-    gaps = frames.groupBy(*on).agg(
-        F.min(gap).alias("_g_first"),
-        F.max(gap).alias("_g_last"),
-        # Read so that this side prunes no column and the shuffle is shared.
-        *[F.max(c).alias(f"_x_{c}") for c in sums],
+    gaps = agg_reading(
+        frames, on, [F.min(gap).alias("_g_first"), F.max(gap).alias("_g_last")], also
     )
     gaps = carry(
         gaps,
@@ -299,7 +297,7 @@ def hold_runs(
         block,
         before={"_g_before": F.max("_g_last")},
         after={"_g_after": F.min("_g_first")},
-    ).drop("_g_first", "_g_last", *[f"_x_{c}" for c in sums])
+    ).drop("_g_first", "_g_last")
     fwd = (
         Window.partitionBy(*on)
         .orderBy("frame_idx")

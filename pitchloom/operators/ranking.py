@@ -25,7 +25,9 @@ def representatives(
 ) -> DataFrame:
     """First, middle (element ``n // 2``) and last row of each group, as ``pick``.
 
-    A group of one row gives that row three times.
+    ``order`` is unique within a group; a group of one row gives that row three
+    times. Positions are found on the key and order columns alone; the few picked
+    rows are then looked up, so wide rows are not sorted.
     """
     i, n = F.col("_i"), F.col("_n")
     picks = F.array_compact(
@@ -35,11 +37,14 @@ def representatives(
             F.when(i == n - 1, "last"),
         )
     )
-    return (
-        dense_index(df, key, block, order, name="_i", total="_n")
-        .withColumn("pick", F.explode(picks))
-        .drop("_i", "_n")
+    on = [*key, *order]
+    narrow = df.select(*dict.fromkeys([*on, block]))
+    found = (
+        dense_index(narrow, key, block, order, name="_i", total="_n")
+        .filter((i == 0) | (i == F.floor(n / 2)) | (i == n - 1))
+        .select(*on, F.explode(picks).alias("pick"))
     )
+    return df.join(found, on)
 
 
 def running_best(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
+from .blocks import agg_reading
 from .histograms import BINS, fill_bins
 
 # The folded-frequency histogram and the number of candidates.
@@ -38,10 +39,12 @@ def smooth(dense_rows: DataFrame, key: Sequence[str], bins: int) -> DataFrame:
     )
 
 
-def tonic_candidates(voiced: DataFrame, key: Sequence[str], k: int = CANDIDATES) -> DataFrame:
+def tonic_candidates(
+    voiced: DataFrame, key: Sequence[str], k: int = CANDIDATES, also: Sequence[str] = ()
+) -> DataFrame:
     """``key, rank, bin, smoothed, median_hz, hz``: up to ``k`` rows, best-supported first.
 
-    On equal support the higher bin comes first.
+    On equal support the higher bin comes first. ``also``: see :func:`agg_reading`.
     """
     step = (FOLD_HI - FOLD_LO) / FOLD_BINS
     binned = voiced.withColumns(
@@ -50,8 +53,11 @@ def tonic_candidates(voiced: DataFrame, key: Sequence[str], k: int = CANDIDATES)
             "bin": pitch.edge_bin(pitch.fold_into(F.col("f0_hz")), FOLD_LO, FOLD_HI, FOLD_BINS),
         }
     )
-    counts = binned.groupBy(*key, "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.first("median_hz").alias("median_hz")
+    counts = agg_reading(
+        binned,
+        [*key, "bin"],
+        [F.count(F.lit(1)).alias("n"), F.first("median_hz").alias("median_hz")],
+        also,
     )
     rows = smooth(fill_bins(counts, key, ["n"], FOLD_BINS, keep=["median_hz"]), key, FOLD_BINS)
     best = Window.partitionBy(*key).orderBy(F.desc("smoothed"), F.desc("bin"))
@@ -71,16 +77,16 @@ def tonic_candidates(voiced: DataFrame, key: Sequence[str], k: int = CANDIDATES)
     )
 
 
-def score_candidates(voiced: DataFrame, candidates: DataFrame, key: Sequence[str]) -> DataFrame:
+def score_candidates(
+    voiced: DataFrame, candidates: DataFrame, key: Sequence[str], also: Sequence[str] = ()
+) -> DataFrame:
     """``key, rank, hz, score``: how concentrated the pitch classes are above each candidate."""
-    bins = (
-        voiced.select(*key, "f0_hz")
-        .join(candidates.select(*key, "rank", "hz").hint("shuffle_hash"), list(key))
+    scored = (
+        voiced.join(candidates.select(*key, "rank", "hz").hint("shuffle_hash"), list(key))
         .withColumn("cents", pitch.cents_above(F.col("f0_hz"), F.col("hz")))
         .withColumn("bin", pitch.pitch_class_bin(F.col("cents"), BINS))
-        .groupBy(*key, "rank", "hz", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
+    bins = agg_reading(scored, [*key, "rank", "hz", "bin"], [F.count(F.lit(1)).alias("n")], also)
     return bins.groupBy(*key, "rank", "hz").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
 
 
@@ -91,7 +97,11 @@ def best_candidate(scored: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def detect_tonic(voiced: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``key, tonic_hz`` from voiced frames."""
-    cands = tonic_candidates(voiced, key)
-    return best_candidate(score_candidates(voiced, cands, key), key)
+def detect_tonic(voiced: DataFrame, key: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """``key, tonic_hz`` from voiced frames.
+
+    ``also`` names columns a caller uses of the same frames, so that its shuffle
+    and the ones in here are one (see :func:`agg_reading`).
+    """
+    cands = tonic_candidates(voiced, key, also=also)
+    return best_candidate(score_candidates(voiced, cands, key, also), key)

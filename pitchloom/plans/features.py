@@ -38,7 +38,7 @@ def annotated_counts(
         .withColumn("nyas_hits", F.when(F.col("f0_hz") > 0, F.col("n_nyas")).otherwise(0))
         .select("recording_id", "block", "ts", "f0_hz", "nyas_hits")
     )
-    held = contour.annotate_stable(kept, tonics, tslope, ttime, sums=["nyas_hits"])
+    held = contour.annotate_stable(kept, tonics, tslope, ttime, also=["nyas_hits"])
     counts = histograms.bin_counts(
         held.filter(F.col("f0_hz") > 0),
         ["recording_id"],
@@ -82,15 +82,20 @@ def annotated_features(
 
 
 def resolve_tonic(
-    voiced: DataFrame, key: Sequence[str], given: str | None, as_is: str | None = None
+    voiced: DataFrame,
+    key: Sequence[str],
+    given: str | None,
+    as_is: str | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``tonic_hz``: detected, or the ``given`` column moved to the voice's octave.
 
     Where the boolean column ``as_is`` holds, the given value was detected on this
     very excerpt and stays. Excerpts whose given value is not positive drop out.
+    ``also`` names the other columns that the caller goes on to use.
     """
     if given is None:
-        found = tonic.detect_tonic(voiced, key)
+        found = tonic.detect_tonic(voiced, key, also)
         return voiced.join(found.hint("shuffle_hash"), list(key))
     hz = pitch.positive_or_null(F.col(given))
     folded = pitch.fold_override(hz, F.median("f0_hz").over(Window.partitionBy(*key)))
@@ -145,9 +150,11 @@ def detected_features(
     column ``given`` (see :func:`resolve_tonic`). ``keep`` names columns constant
     per excerpt that pass through.
     """
-    voiced = contour.confident_or_voiced(excerpts, key, min_voiced)
+    also = [c for c in ("ts", given, as_is, *keep) if c is not None]
+    used = dict.fromkeys([*key, "f0_hz", "voiced", "voiced_prob", *also])
+    voiced = contour.confident_or_voiced(excerpts.select(*used), key, min_voiced)
     marked = mark_excerpt(
-        resolve_tonic(voiced, key, given, as_is), key, hop, tslope, ttime, loose_tslope
+        resolve_tonic(voiced, key, given, as_is, also), key, hop, tslope, ttime, loose_tslope
     )
     names = ("nyas", "duration", "stable")
     carried = ["tonic_hz", *keep]
