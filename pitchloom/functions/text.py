@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -40,6 +41,20 @@ def recording_key(path: Column, root: str) -> Column:
     return strip_extension(relative_to(path, root))
 
 
+def file_key(uri: Column, root: str, ext: str) -> Column:
+    """:func:`recording_key` of a file's URI with a known extension.
+
+    Positions instead of patterns, since it runs once per line of text. Escaped
+    characters are decoded only where there are any.
+    """
+    base = re.sub(r"^file:/+", "/", root).rstrip("/") + "/"
+    # The decoder is meant for forms and would turn a plus into a space.
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    path = F.when(uri.contains("%"), decoded).otherwise(uri)
+    start = F.locate(base, path) + len(base)
+    return F.substring(path, start, F.length(path) - start + 1 - len(ext))
+
+
 def sibling_path(path: Column, root: str, other_root: str, ext: str) -> Column:
     """The file of the same relative path and another extension in a parallel tree."""
     return F.concat(F.lit(other_root.rstrip("/") + "/"), recording_key(path, root), F.lit(ext))

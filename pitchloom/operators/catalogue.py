@@ -35,7 +35,8 @@ def labelled(items: DataFrame, classes: DataFrame, on: str) -> DataFrame:
 
 
 def missing_counterparts(items: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
-    return items.join(other.select(*on), list(on), "left_anti")
+    # Distinct first: a key repeated in ``other`` shrinks before the shuffle.
+    return items.join(other.select(*on).distinct(), list(on), "left_anti")
 
 
 def require_complete(items: DataFrame, other: DataFrame, on: Sequence[str], show: int = 5) -> None:

@@ -94,6 +94,47 @@ def channel_statistics(channels: DataFrame) -> DataFrame:
     return per.unionByName(whole)
 
 
+def channel_summary(
+    df: DataFrame, width: int = vectors.BINS, names: Sequence[str] = vectors.CHANNELS,
+    features: str = "features",
+) -> DataFrame:
+    """Broken rows, zero rows, mean and deviation per channel in one pass.
+
+    The same numbers as :func:`broken_values`, :func:`zero_channels` and
+    :func:`channel_statistics`, from sums per row instead of one row per bin.
+    ``nan_rows`` and ``inf_rows`` are on the ``overall`` line, which is combined
+    from the channel lines.
+    """
+    x, v = F.col(features), F.col("values")
+    flags = df.select(
+        vectors.has_nan(x).alias("_nan"),
+        vectors.has_inf(x).alias("_inf"),
+        F.inline(vectors.channels(x, width, names)),
+    )
+    # Every row has each channel once, so one of them counts the rows.
+    first = F.col("channel") == names[0]
+    per = flags.groupBy("channel").agg(
+        F.count_if(first & F.col("_nan")).alias("nan_rows"),
+        F.count_if(first & F.col("_inf")).alias("inf_rows"),
+        F.count_if(vectors.sums_to_zero(v)).alias("zero_sum_rows"),
+        F.sum(F.size(v)).alias("_n"),
+        F.sum(vectors.total(v)).alias("_s"),
+        F.sum(vectors.dot(v, v)).alias("_ss"),
+    )
+    sums = ["nan_rows", "inf_rows", "zero_sum_rows", "_n", "_s", "_ss"]
+    overall = per.agg(*[F.sum(c).alias(c) for c in sums]).select(F.lit("overall").alias("channel"), *sums)
+    mean = F.col("_s") / F.nullif(F.col("_n"), F.lit(0))
+    spread = F.col("_ss") / F.nullif(F.col("_n"), F.lit(0)) - mean * mean
+    return per.unionByName(overall).select(
+        "channel",
+        "nan_rows",
+        "inf_rows",
+        "zero_sum_rows",
+        mean.alias("mean"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
+    )
+
+
 def mean_vector(
     df: DataFrame,
     key: Sequence[str],

@@ -1,4 +1,4 @@
-"""Hand-run checks of the reference kind: tonic detection and clip features."""
+"""Checks before a long run: tonic detection and clip features."""
 
 from __future__ import annotations
 

@@ -101,7 +101,8 @@ def gate_report(
     (comparison with the earlier features).
     """
     counts = quality.class_counts(rows)
-    channels = quality.long_channels(rows, [], width, names)
+    checks = quality.channel_summary(rows, width, names)
+    overall = F.col("channel") == "overall"
     recording = F.concat_ws("/", *key)
     picks = ranking.representatives(rows, key, block, order)
     cross = compare_channels(earlier, picks, key, width, names)
@@ -113,11 +114,10 @@ def gate_report(
                {"max_over_min": F.col("ratio"), "median_rows": F.col("median_n"), "mean_rows": F.col("mean_n")}),
         _lines(quality.constancy(rows, key, "expert_tonic_hz"), "tonic",
                {"distinct_values": F.col("n_values")}, recording),
-        _lines(quality.broken_values(rows), "sanity",
+        _lines(checks.filter(overall), "sanity",
                {"nan_rows": F.col("nan_rows"), "inf_rows": F.col("inf_rows")}),
-        _lines(quality.zero_channels(channels), "sanity", {"zero_rows": F.col("zero_sum_rows")}, F.col("channel")),
-        _lines(quality.channel_statistics(channels), "sanity",
-               {"mean": F.col("mean"), "std": F.col("std")}, F.col("channel")),
+        _lines(checks.filter(~overall), "sanity", {"zero_rows": F.col("zero_sum_rows")}, F.col("channel")),
+        _lines(checks, "sanity", {"mean": F.col("mean"), "std": F.col("std")}, F.col("channel")),
         _lines(cross, "cross", {"cosine": F.col("cosine")}, F.concat_ws("/", *key, "channel", "pick")),
     ]
     report = sections[0]

@@ -215,7 +215,7 @@ def running_best(spark, sf):
 )
 def first_match(spark, sf):
     """First order of each customer that has lines."""
-    lines = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    lines = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     both = fx.table(spark, sf, "orders").join(lines, "o_orderkey", "left_semi")
     return ranking.first_match(both, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"]).withColumnRenamed(
         "o_orderkey", "first_order"

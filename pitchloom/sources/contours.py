@@ -20,7 +20,7 @@ def _lines(spark: SparkSession, root: str, ext: str, whole: bool = False) -> Dat
         .option("pathGlobFilter", f"*{ext}")
         .text(root, wholetext=whole)
     )
-    return df.select(text.recording_key(F.col("_metadata.file_path"), root).alias("recording_id"), "value")
+    return df.select(text.file_key(F.col("_metadata.file_path"), root, ext).alias("recording_id"), "value")
 
 
 def _field(i: int) -> Column:
@@ -89,15 +89,14 @@ def discover(spark: SparkSession, root: str, ext: str) -> DataFrame:
     Lists files only; their content is not read. The first folder is the class.
     """
     path = F.col("path")
-    key = text.recording_key(path, root)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select(path)
+        .select(F.col("_metadata.file_path").alias("path"))
         .filter(text.has_extension(path, [ext]))
     )
-    return paths_to_recordings(files.withColumn("recording_id", key))
+    return paths_to_recordings(files.withColumn("recording_id", text.file_key(path, root, ext)))
 
 
 def paths_to_recordings(files: DataFrame) -> DataFrame:

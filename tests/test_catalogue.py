@@ -190,6 +190,35 @@ def test_files_to_labelled_dataset(spark, tmp_path):
     assert [r.n for r in dataset.rows_per_class(data, labels).collect()] == [2, 0, 1]
 
 
+def test_file_names_with_special_characters(spark, tmp_path):
+    root = tmp_path / "my data" / "feat+ures"
+    song = "id1/Śrī artist/a+b 100%/Kalyāṇi (live).v2"
+    write(root / f"{song}.pitchSilIntrpPP", plateau(1))
+    write(root / f"{song}.tonicFine", "150.0")
+    base = str(root)
+    assert contours.read_tonics(spark, base).first().recording_id == song
+    assert contours.read_contours(spark, "file:" + base).first().recording_id == song
+    assert contours.discover(spark, base, contours.CONTOUR_EXT).first().recording_id == song
+
+
+def test_summary_in_one_pass_equals_the_single_checks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.random((60, 9))
+    x[3, 4], x[5, 0], x[7, 3:6] = np.nan, np.inf, 0.0
+    for rows in (x, np.delete(x, [3, 5], axis=0)):
+        df = spark.createDataFrame([([float(v) for v in r],) for r in rows], "features array<double>")
+        names = ("a", "b", "c")
+        got = {r.channel: r for r in quality.channel_summary(df, 3, names).collect()}
+        long = quality.long_channels(df, [], 3, names)
+        broken = quality.broken_values(df).first()
+        assert (got["overall"].nan_rows, got["overall"].inf_rows) == (broken.nan_rows, broken.inf_rows)
+        for r in quality.zero_channels(long).collect():
+            assert got[r.channel].zero_sum_rows == r.zero_sum_rows
+        for r in quality.channel_statistics(long).collect():
+            same = lambda a, b: a == pytest.approx(b, rel=1e-9, nan_ok=True)
+            assert same(got[r.channel]["mean"], r["mean"]) and (same(got[r.channel]["std"], r["std"]) or not np.isfinite(r["std"]))
+
+
 def test_clip_dataset_stops_without_tonics(spark):
     frames = spark.createDataFrame(
         [("r", i * 0.5, 150.0 + i % 7, True, 0.9) for i in range(100)],
