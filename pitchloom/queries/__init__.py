@@ -1,6 +1,6 @@
 """The operators as queries over the driver's tables, each with its oracle SQL."""
 
-from . import contours, excerpts, gates, lookups, learning, live  # noqa: F401
+from . import contours, excerpts, gates, learning, live, lookups, stored  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
