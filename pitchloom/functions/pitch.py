@@ -15,14 +15,19 @@ def _pow2(k: Column) -> Column:
     return F.pow(F.lit(2.0), k)
 
 
+def sounding(hz: Column) -> Column:
+    """True for a voiced pitch. Spark holds NaN to be greater than 0."""
+    return (hz > 0) & ~F.isnan(hz)
+
+
 def cents_above(hz: Column, tonic: Column) -> Column:
     """Cents from ``tonic`` up to ``hz``; null for a silent frame."""
     return F.lit(OCTAVE) * F.log2(hz / tonic)
 
 
 def cents_or_zero(hz: Column, tonic: Column) -> Column:
-    """Like :func:`cents_above`, but a silent frame (``hz <= 0``) counts as 0."""
-    return F.when(hz > 0, cents_above(hz, tonic)).otherwise(F.lit(0.0))
+    """Like :func:`cents_above`, but a silent frame counts as 0."""
+    return F.when(sounding(hz), cents_above(hz, tonic)).otherwise(F.lit(0.0))
 
 
 def octave_reduce(cents: Column) -> Column:
@@ -93,7 +98,7 @@ def note_name(hz: Column) -> Column:
     plain = F.format_string("%s%d", name, octave)
     tuned = F.format_string("%s%d (%+d¢)", name, octave, offset)
     named = F.when(F.abs(offset) >= 3, tuned).otherwise(plain)
-    return F.when(hz > 0, named).otherwise(F.lit(""))
+    return F.when(sounding(hz), named).otherwise(F.lit(""))
 
 
 def midi_to_hz(midi: Column) -> Column:
@@ -128,4 +133,4 @@ def error_band(cents: Column) -> Column:
 
 
 def positive_or_null(x: Column) -> Column:
-    return F.when(x > 0, x)
+    return F.when(sounding(x), x)

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from .blocks import BLOCK_S, agg_reading, carry, join_summary, time_block
+from .blocks import BLOCK_S, agg_reading, carry, explode_range, join_summary, time_block
 
 TSLOPE = 1500.0
 TTIME = 0.1
 
 
 def voiced_only(frames: DataFrame) -> DataFrame:
-    return frames.filter(F.col("f0_hz") > 0)
+    return frames.filter(pitch.sounding(F.col("f0_hz")))
 
 
 def confident_or_voiced(
@@ -133,9 +133,10 @@ def sweep_segments(
     # Ordered so that a start comes before, and an end after, the frames at its time.
     first = time_block(F.col("start_s"), block_s)
     last = time_block(F.col("end_s"), block_s)
+    real = segments.filter(F.col("kind").isin(*kinds) & (F.col("start_s") <= F.col("end_s")))
     edges = (
-        segments.filter(F.col("kind").isin(*kinds) & (F.col("start_s") <= F.col("end_s")))
-        .select(rec, "kind", "start_s", "end_s", F.explode(F.sequence(first, last)).alias("block"))
+        explode_range(real.select(rec, "kind", "start_s", "end_s"), last - first + 1, "_i")
+        .withColumn("block", first + F.col("_i"))
         .select(
             rec,
             "block",
@@ -210,7 +211,7 @@ def annotate_stable(
     the other columns of ``frames`` that the caller goes on to use.
     """
     rec, on = "recording_id", ["recording_id", "block"]
-    voiced = F.col("f0_hz") > 0
+    voiced = pitch.sounding(F.col("f0_hz"))
     at = F.struct("ts", "f0_hz")
     # The joins below imply this filter on their side only; stated once, it is the
     # same in all branches and they share one shuffle.

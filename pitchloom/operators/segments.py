@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import join_summary
+from .blocks import explode_range, join_summary
 
 # Fixed values, in seconds: sliding clips.
 CLIP_S, CLIP_HOP_S, MIN_CLIP_S = 30.0, 10.0, 20.0
@@ -15,15 +15,6 @@ LONG_S, SEGMENT_S, MIN_SEGMENT_S = 180.0, 90.0, 30.0
 TILE_S = 600.0
 
 
-def explode_range(df: DataFrame, n: Column, name: str, chunk: int = 4096) -> DataFrame:
-    """One row per integer in ``[0, n)``, without ever building an array of ``n``."""
-    rows = df.withColumn("_n", n.cast("long")).filter(F.col("_n") > 0)
-    starts = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))
-    rows = rows.withColumn("_c", F.explode(starts))
-    stop = F.least(F.col("_c") + (chunk - 1), F.col("_n") - 1)
-    return rows.withColumn(name, F.explode(F.sequence(F.col("_c"), stop))).drop("_n", "_c")
-
-
 def clip_count(
     duration: Column, hop: float = CLIP_HOP_S, min_clip: float = MIN_CLIP_S
 ) -> Column:

@@ -35,12 +35,12 @@ def annotated_counts(
     swept = contour.sweep_segments(frames, segments, ["nyas", "tani"], block_s)
     kept = (
         swept.filter(F.col("n_tani") == 0)
-        .withColumn("nyas_hits", F.when(F.col("f0_hz") > 0, F.col("n_nyas")).otherwise(0))
+        .withColumn("nyas_hits", F.when(pitch.sounding(F.col("f0_hz")), F.col("n_nyas")).otherwise(0))
         .select("recording_id", "block", "ts", "f0_hz", "nyas_hits")
     )
     held = contour.annotate_stable(kept, tonics, tslope, ttime, also=["nyas_hits"])
     counts = histograms.bin_counts(
-        held.filter(F.col("f0_hz") > 0),
+        contour.voiced_only(held),
         ["recording_id"],
         pitch.pitch_class_bin(F.col("cents"), bins),
         {

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions import pitch
-from ..operators.catalogue import feedback_rollup
 from ..session import scratch_folder
 from ..streaming import clips, feedback as fb
 from .registry import pc_bin_sql, query

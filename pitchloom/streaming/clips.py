@@ -22,7 +22,7 @@ def clip_bins(
     cents = pitch.cents_above(F.col("f0_hz"), F.col("tonic_hz"))
     end = F.unix_micros("started_at") + ((F.col("clip_start") + clip) * 1_000_000).cast("long")
     return (
-        frames.filter(F.col("f0_hz") > 0)
+        frames.filter(pitch.sounding(F.col("f0_hz")))
         .withColumn("_k", F.explode(F.sequence(first, F.floor(F.col("ts") / hop))))
         .withColumn("clip_start", F.col("_k") * hop)
         .select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchloom.operators import catalogue as cat, quality, ranking
 from pitchloom.operators.skew import hot_keys, skew_join
-from pitchloom.plans import dataset, features, gate, model
+from pitchloom.plans import dataset, gate, model
 from pitchloom.sources import contours, documents, tables
 
 

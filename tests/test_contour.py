@@ -26,8 +26,9 @@ CONTOURS = {
     "one": random_contour(3, 1, silent=0),
     "two": random_contour(4, 2, silent=0),
     "silent": (np.arange(30) * STEP, np.zeros(30)),
+    "nan": (np.arange(90) * STEP, np.where(np.arange(90) % 9 == 4, np.nan, random_contour(5, 90)[1])),
 }
-TONICS = {"long": 140.0, "short": 151.0, "one": 150.0, "two": 150.0, "silent": 150.0}
+TONICS = {"long": 140.0, "short": 151.0, "one": 150.0, "two": 150.0, "silent": 150.0, "nan": 147.0}
 
 
 def frames(spark, contours=CONTOURS):

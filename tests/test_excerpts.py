@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchloom.operators import contour, segments as seg, tonic
+from pitchloom.operators.blocks import explode_range
 from pitchloom.plans import diagnostics, features, scoring
 
 from . import brute
@@ -94,7 +95,7 @@ def test_clip_windows(spark, total):
 
 def test_explode_range_in_chunks(spark):
     df = spark.createDataFrame([("a", 10), ("b", 0), ("c", 4)], "k string, n int")
-    got = seg.explode_range(df, F.col("n"), "i", chunk=4).groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    got = explode_range(df, F.col("n"), "i", chunk=4).groupBy("k").agg(F.sort_array(F.collect_list("i")).alias("i"))
     assert {r.k: r.i for r in got.collect()} == {"a": list(range(10)), "c": list(range(4))}
 
 
