@@ -97,8 +97,12 @@ def excerpt_length(duration: Column, threshold: int = 180, length: int = 90) ->
     return F.when(duration > threshold, F.lit(length).cast("long")).otherwise(duration.cast("long"))
 
 
+# Fixed value: format of one peak in a report.
+PEAK_FORMAT = "bin%3d (%4d¢)=%.4f"
+
+
 def peak_text(bin_: Column, value: Column) -> Column:
-    return F.format_string("bin%3d (%4d¢)=%.4f", bin_, bin_ * 10, value)
+    return F.format_string(PEAK_FORMAT, bin_, bin_ * 10, value)
 
 
 def peaks_text(peaks: Column) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .skew import skew_join
 
 
+# Tags of a similar link that resolves, and of one that does not.
+SIZE_TAG, PLAIN_TAG = " swaras", "Related raga"
+
+
 class IncompleteError(RuntimeError):
     """Items without a required counterpart; ``exit_code`` as a batch job reports it."""
 
@@ -62,7 +66,7 @@ def similar_links(knowledge: DataFrame) -> DataFrame:
     sizes = knowledge.select(
         F.col("class_name").alias("similar_name"), F.size("ascending").alias("_n")
     )
-    tag = F.coalesce(F.concat(F.col("_n"), F.lit(" swaras")), F.lit("Related raga"))
+    tag = F.coalesce(F.concat(F.col("_n"), F.lit(SIZE_TAG)), F.lit(PLAIN_TAG))
     return links.join(sizes, "similar_name", "left").withColumn("tag", tag).drop("_n")
 
 

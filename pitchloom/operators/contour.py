@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import pitch
 from .blocks import BLOCK_S, agg_reading, carry, explode_range, join_summary, time_block
 
+# Largest slope in cents per second, shortest hold in seconds.
 TSLOPE = 1500.0
 TTIME = 0.1
 

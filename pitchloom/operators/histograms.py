@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch
 
+# Bins per octave, fewest values that make a histogram.
 BINS = 120
 MIN_VALUES = 10
 

@@ -13,6 +13,7 @@ from ..operators.blocks import BLOCK_S
 
 # Frame step of the tracked contour: 256 samples at 16 kHz.
 HOP_S = 256 / 16000
+# Voiced frames an excerpt needs, slope limit of its third channel.
 MIN_VOICED = 30
 LOOSE_TSLOPE = 3000.0
 
