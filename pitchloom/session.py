@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,13 +32,16 @@ def build_session(master: str | None = None, app: str = "pitchloom", **conf: str
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder on storage that the driver and all executors share.
 
-    Only where the session names none (a local run) is a temporary folder made.
+    Taken from ``spark.checkpoint.dir``, else the checkpoint folder of the context,
+    else below the warehouse. Where none of them names a file system, the folder is
+    a plain local path, which only a local master may use.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="pitchloom-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        on_one_machine = spark.sparkContext.master.startswith("local")
+        if not on_one_machine and (":" not in base or base.startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
