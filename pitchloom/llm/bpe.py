@@ -9,15 +9,19 @@ worked out once. Whether two tokens may stand side by side follows from the merg
 they were made by (``WordBpe.side_by_side``).
 
 Texts are encoded in Arrow batches on the executors. A worker keeps the words it
-has met, ``MEMO_WORDS`` at most, then starts over; nothing else outlives a batch.
+has met and starts over beyond ``MEMO_WORDS``; nothing else outlives a batch.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
 import json
+import re
 import struct
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
 CHUNK_CHARS = 2_000_000
 END = "</w>"
+CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -43,15 +48,7 @@ class WordBpe:
     def __init__(self, spec: str) -> None:
         spec = json.loads(spec)
         model, letters = spec["model"], _byte_letters()
-        self.names: dict[int, bytes] = {}
-        self.inner: dict[bytes, int] = {}
-        self.final: dict[bytes, int] = {}
-        for name, i in model["vocab"].items():
-            self.names[i] = name.encode()
-            own = self.final if name.endswith(END) else self.inner
-            own[bytes(letters[c] for c in name.removesuffix(END))] = i
-        self.longest_inner = max(map(len, self.inner))
-        self.longest_final = max(map(len, self.final))
+        self.names = {i: name.encode() for name, i in model["vocab"].items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         vocab = model["vocab"]
         self.rank: dict[tuple[int, int], int] = {}
@@ -65,9 +62,43 @@ class WordBpe:
         cut = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(cut.replace(r"\s", r"\p{White_Space}")).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.at_space = regex.compile(r"[^\p{White_Space}]+").findall
+        self._link(
+            {
+                i: [letters[c] | (256 if end and k == len(name) - len(END) - 1 else 0) for k, c in enumerate(name.removesuffix(END))]
+                for name, i in vocab.items()
+                for end in [name.endswith(END)]
+            }
+        )
         self.fits: dict[int, bool] = {}
-        self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
+        self.forget()
+
+    def _link(self, tokens: dict[int, list[int]]) -> None:
+        """Suffix links over the tokens' symbols: a byte, plus 256 at a word's end."""
+        self.child: dict[int, int] = {}
+        self.size = {i: len(symbols) for i, symbols in tokens.items()}
+        self.fail, self.ending, own, levels = [0], [0], {}, defaultdict(list)
+        for i, symbols in tokens.items():
+            at = 0
+            for depth, symbol in enumerate(symbols):
+                to = self.child.get(at << 9 | symbol)
+                if to is None:
+                    to = self.child[at << 9 | symbol] = len(self.fail)
+                    self.fail.append(0)
+                    self.ending.append(-1)
+                    levels[depth].append((at, symbol, to))
+                at = to
+            self.ending[at], own[i] = i, at
+        for depth in sorted(levels):
+            for at, symbol, to in levels[depth]:
+                back = self.fail[at]
+                while back and back << 9 | symbol not in self.child:
+                    back = self.fail[back]
+                self.fail[to] = self.child.get(back << 9 | symbol, 0) if depth else 0
+                if self.ending[to] < 0:
+                    self.ending[to] = self.ending[self.fail[to]]
+        self.shorter = {i: self.ending[self.fail[at]] for i, at in own.items()}
+        self.moves = dict(self.child)
 
     def side_by_side(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' text gives just these two.
@@ -96,61 +127,64 @@ class WordBpe:
                     return False
         return True
 
+    def step(self, node: int, symbol: int) -> int:
+        """Node of the longest token prefix that ends behind ``symbol``."""
+        key = node << 9 | symbol
+        while node and node << 9 | symbol not in self.child:
+            node = self.fail[node]
+        self.moves[key] = to = self.child.get(node << 9 | symbol, 0)
+        return to
+
     def learn(self, words: set[str]) -> None:
-        """Walk the trie of ``words`` and note the encoding of each."""
-        inner, final, fits, names = self.inner, self.final, self.fits, self.names
-        most, most_final = self.longest_inner, self.longest_final
-        before, last, begin = b"", [0], [0]
+        """Walk the trie of ``words`` depth first and note the encoding of each.
+
+        The stacks hold a state for each inner prefix of the word before. The last
+        letter of a word is a symbol of its own, so it is never shared.
+        """
+        fits, names, moves = self.fits, self.names, self.moves
+        ending, shorter, size = self.ending, self.shorter, self.size
+        before, node, last, begin = b"", [0], [0], [0]
         for word, text in sorted((w.encode(), w) for w in words):
-            shared = 0
+            shared, n = 0, len(word) - 1
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
-            n = len(word)
-            # The stack holds a state per inner prefix; the last letter is not inner.
-            depth = min(shared, len(last) - 1, n - 1)
-            del last[depth + 1 :], begin[depth + 1 :]
-            for d in range(depth + 1, n):
-                for s in range(d - most if d > most else 0, d):
-                    t = inner.get(word[s:d])
-                    if t is None:
-                        continue
-                    if s:
-                        key = last[s] << 20 | t
-                        ok = fits.get(key)
-                        if ok is None:
-                            ok = fits[key] = self.side_by_side(last[s], t)
-                        if not ok:
-                            continue
-                    last.append(t)
-                    begin.append(s)
-                    break
-            for s in range(n - most_final if n > most_final else 0, n):
-                t = final.get(word[s:n])
-                if t is None:
-                    continue
-                if s:
+            depth = min(shared, len(before) - 1, n) if before else 0
+            del node[depth + 1 :], last[depth + 1 :], begin[depth + 1 :]
+            for d in range(depth, n + 1):
+                symbol = word[d] if d < n else word[d] | 256
+                to = moves.get(node[d] << 9 | symbol)
+                if to is None:
+                    to = self.step(node[d], symbol)
+                t = ending[to]
+                while True:
+                    s = d + 1 - size[t]
+                    if not s:
+                        break
                     key = last[s] << 20 | t
                     ok = fits.get(key)
                     if ok is None:
                         ok = fits[key] = self.side_by_side(last[s], t)
-                    if not ok:
-                        continue
-                break
-            tokens = [t]
+                    if ok:
+                        break
+                    t = shorter[t]
+                node.append(to)
+                last.append(t)
+                begin.append(s)
+            tokens, s = [last.pop()], begin.pop()
+            node.pop()
             while s:
                 tokens.append(last[s])
                 s = begin[s]
             tokens.reverse()
-            self.ids[text] = struct.pack(f"<{len(tokens)}I", *tokens)
-            self.shown[text] = b" ".join([names[t] for t in tokens])
+            self.words[text] = struct.pack(f"<{len(tokens)}I", *tokens), b" ".join([names[t] for t in tokens])
             before = word
 
-    def words(self, text: str) -> list[str]:
+    def cut(self, chunk: str) -> list[str]:
         """Special tokens and lower-cased pieces of a text, in order."""
         found: list[str] = []
-        for k, part in enumerate(self.at_special.split(text) if "<|" in text else (text,)):
+        for k, part in enumerate(self.at_special.split(chunk) if "<|" in chunk else (chunk,)):
             if k % 2:
                 found.append(part)
                 continue
@@ -159,20 +193,36 @@ class WordBpe:
             found += self.pieces(part.lower())
         return found
 
+    def forget(self) -> None:
+        self.words = {c: (struct.pack("<I", i), c.encode()) for c, i in self.special.items()}
+        self.place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids: list[bytes] = []
+        self.shown: list[bytes] = []
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Per text the ids as little-endian 32-bit integers, and the decoded text."""
-        cut = [self.words(t) for t in texts]
-        new = set().union(*cut).difference(self.ids)
-        if len(self.ids) + len(new) > MEMO_WORDS:
-            self.ids, self.shown, new = {}, {}, set().union(*cut)
+        """Per text the ids as little-endian 32-bit integers, and the decoded text.
+
+        No piece holds white space, so what stands between white space is encoded
+        once and found again by its place in the memo.
+        """
+        if len(self.place) > MEMO_WORDS or len(self.words) > MEMO_WORDS:
+            self.forget()
         if len(self.fits) > 4 * MEMO_WORDS:
             self.fits.clear()
-        for content in new & self.special.keys():
-            self.ids[content] = struct.pack("<I", self.special[content])
-            self.shown[content] = content.encode()
-        self.learn(new - self.special.keys())
+            self.moves = dict(self.child)
+        place = self.place.__getitem__
+        # str.split() also cuts at four control characters that are no white space.
+        chunks = [self.at_space(t) if CONTROL.search(t) else t.split() for t in texts]
+        places = [list(map(place, c)) for c in chunks]
+        fresh = len(self.place) - len(self.ids)
+        new = [self.cut(c) for c in reversed(list(itertools.islice(reversed(self.place), fresh)))]
+        self.learn(set().union(*new).difference(self.words))
+        for pieces in new:
+            found = [self.words[w] for w in pieces]
+            self.ids.append(b"".join([a for a, _ in found]))
+            self.shown.append(b" ".join([b for _, b in found]))
         ids, shown = self.ids.__getitem__, self.shown.__getitem__
-        return [(b"".join(map(ids, ws)), b" ".join(map(shown, ws))) for ws in cut]
+        return [(b"".join(map(ids, p)), b" ".join(filter(None, map(shown, p)))) for p in places]
 
 
 @functools.lru_cache(maxsize=2)
@@ -195,6 +245,7 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
     @F.arrow_udf("ids binary, decoded string")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(spec.value)
+        gc.disable()  # the memo holds no cycles, and scanning it costs a third of the time
         for batch in batches:
             ids, shown, some, held = [], [], [], 0
             for t in batch:
