@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid
+from .staging import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +43,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+def learning_rows(df: DataFrame, modulus: int, held_out: int):
+    return F.pmod(F.crc32(F.encode(id_text("doc_id"), "utf-8")), F.lit(modulus)) != held_out
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang")
+    sample = langid.draw_sample(docs.filter(learning_rows(docs, 4, 2)))
+    held_out = (~learning_rows(docs, 4, 2)).alias("held_out")
+    return langid.identify(docs.select("doc_id", held_out, "text"), sample).drop("text")
