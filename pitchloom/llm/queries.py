@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, hmm, langid
 from .staging import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,10 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     sample = langid.draw_sample(docs.filter(learning_rows(docs, 4, 2)))
     held_out = (~learning_rows(docs, 4, 2)).alias("held_out")
     return langid.identify(docs.select("doc_id", held_out, "text"), sample).drop("text")
+
+
+@query("op2_hidden_markov_score")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    held_out = ~learning_rows(docs, 10, 0)
+    return hmm.score(docs.withColumn("held_out", held_out), ~held_out)
