@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid
+from . import bpe, hmm, langid, ngram_join
 from .staging import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text")
     held_out = ~learning_rows(docs, 10, 0)
     return hmm.score(docs.withColumn("held_out", held_out), ~held_out)
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = ngram_join.group(table(spark, sf, "documents", "doc_id", "text"), n=3, percent=90)
+    return docs.select("doc_id", "n_shingles", "component_id")
