@@ -51,14 +51,18 @@ def draw_sample(df: DataFrame, lang: str = "lang", text: str = "text", chars: in
         F.sum(F.when(short, F.col("n"))).alias("short"),
         F.min(F.when(~short, F.struct("n", "draw"))).alias("least"),
     )
-    # Twice the wanted share of the hash range, so that the sample fills up.
-    share = F.least(F.lit(1.0), 2.0 * chars / F.col("short"))
-    cut = F.when(share >= 1.0, F.lit(2.0**63)).otherwise(share * 2.0**64 - 2.0**63)
-    drawn = rows.join(sizes.withColumn("cut", cut), "lang").filter(
-        F.when(F.col("short").isNotNull(), short & (F.col("draw").cast("double") <= F.col("cut"))).otherwise(
-            F.struct("n", "draw") == F.col("least")
-        )
-    )
+    # Per language the part of the hash range to draw, twice what the sample needs so
+    # that it fills up. One small row per language comes to the driver.
+    drawn = F.lit(False)
+    for r in sizes.collect():
+        if r.short:
+            share = min(1.0, 2.0 * chars / r.short)
+            cut = 2**63 - 1 if share >= 1 else int(share * 2.0**64 - 2.0**63)
+            own = short & (F.col("draw") <= cut)
+        else:
+            own = (F.col("n") == r.least.n) & (F.col("draw") == r.least.draw)
+        drawn = drawn | ((F.col("lang") == r.lang) & own)
+    drawn = rows.filter(drawn)
     texts: dict[str, str] = {}
     for r in sorted(drawn.select("lang", "draw", "text").distinct().collect(), key=lambda r: (r.lang, r.draw, r.text)):
         had = texts.get(r.lang, "")
