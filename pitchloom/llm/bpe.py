@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 CHUNK_CHARS = 2_000_000
 END = "</w>"
 CONTROL = re.compile("[\x1c-\x1f]")
