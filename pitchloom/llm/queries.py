@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, ngram_join
+from . import bpe, hmm, langid, mixing, ngram_join, quality
 from .staging import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,43 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = ngram_join.group(table(spark, sf, "documents", "doc_id", "text"), n=3, percent=90)
     return docs.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = mixing.mix(table(spark, sf, "documents", "doc_id", "source", "text")).rows
+    return docs.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM d),
+g AS (SELECT r, i, ws[i + 1 : i + 5] AS g FROM w, unnest(range(0, greatest(len(ws) - 4, 0))) AS u(i)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) AS v(k) WHERE c > 1 GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 50 * n_words
+            OR 100 * n_dup_lines > 50 * n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words
+            OR 100 * n_upper > 50 * word_chars) AS kept
+FROM m"""
+
+
+@query("op9_quality_ledger", OP9_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    rows = quality.ledger(table(spark, sf, "documents", "doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        quality.rejects("v1").alias("base_failed"),
+        (~quality.rejects()).alias("kept"),
+    )
