@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, ngram_join, quality
+from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats
 from .staging import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         quality.rejects("v1").alias("base_failed"),
         (~quality.rejects()).alias("kept"),
     )
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = repeats.remove_repeats(table(spark, sf, "documents", "doc_id", "text"))
+    return docs.select(
+        F.col("_key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
