@@ -1,10 +1,12 @@
 """Groups of texts whose word n-grams overlap, by a prefix-filtered similarity join.
 
 1. Texts with equal sets of n-grams are one node.
-2. Rare-first prefix filter: n-grams are ordered by how often they occur (estimated in
-   ``SKETCH`` counters over all texts, ties by hash; any order is exact). Two sets that
-   are similar enough share one of their first ``n - ceil(t * n) + 1``. Only those are
-   exchanged, packed per bucket of the hash.
+2. Rare-first prefix filter: n-grams are ordered by how often they occur. That is
+   estimated from counters over all texts, ``SKETCH`` for n-grams and as many for words:
+   n-grams whose counter stands out go last by it, the others by how common their words
+   are, ties by hash. Any order is exact; a good one keeps strangers apart. Two sets
+   that are similar enough share one of their first ``n - ceil(t * n) + 1``. Only those
+   are exchanged, packed per bucket of the hash.
 3. Nodes that meet under an n-gram and pass the length filter are chained, and the
    chains' components are clusters: no link can leave a cluster.
 4. Each cluster is joined on its own by rare-first prefixes, with length, positional
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .shingles import shingle_sets
+from .shingles import shingle_sets, word_hashes
 from .staging import Stage, with_row_key
 
 SKETCH = 1 << 20
@@ -47,19 +49,24 @@ def prefix(n, percent: int):
     return n + (-percent * n // 100) + 1
 
 
-def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(node, set) of the rows, block by block; the columns are node and _text."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(node, text) columns of the rows in blocks of bounded size."""
     for batch in batches:
         nodes, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
         size, first = 0, 0
         for k in range(len(nodes) + 1):
             if k == len(nodes) or size > BATCH_BYTES:
-                yield nodes[first:k], shingle_sets(texts[first:k].to_pylist(), n)
+                yield nodes[first:k], texts[first:k].to_pylist()
                 size, first = 0, k
             if k < len(nodes):
                 size += len(texts[k].as_buffer() or b"")
 
 
+def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    for nodes, texts in _blocks(batches):
+        yield nodes, shingle_sets(texts, n)
+
+
 def node_of(grams: np.ndarray) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams))))) if len(grams) else None
 
@@ -83,36 +90,38 @@ def nodes(df: DataFrame, n: int, stage: Stage) -> DataFrame:
     )
 
 
-def sketch_of(rows: DataFrame, n: int) -> np.ndarray:
-    """How often the n-grams of each counter occur, over all rows; a fixed size."""
-    slabs = 16
+def sketch_of(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counters of n-grams that stand out, else 0, and logarithms of those of words."""
+    slabs = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, np.int64)
-        for _, sets in _texts(batches, n):
-            if sets:
-                seen += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        parts = [p.astype(np.int32).tobytes() for p in np.split(seen, slabs)]
+        seen = np.zeros((2, SKETCH), np.int64)
+        for _, texts in _blocks(batches):
+            for k, hashes in enumerate((shingle_sets(texts, n), [word_hashes([t or b"" for t in texts])[0]])):
+                if hashes:
+                    place = (np.concatenate(hashes) % np.uint64(SKETCH)).astype(np.int64)
+                    seen[k] += np.bincount(place, minlength=SKETCH)
+        parts = [p.astype(np.int32).tobytes() for p in np.split(seen.ravel(), slabs)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slabs), pa.int32()), pa.array(parts, pa.binary())], ["slab", "sums"])
 
     def add(slab: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(p, np.int32).astype(np.int64) for p in slab.column("sums").to_pylist())
-        out = np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
-        return pa.table([slab.column("slab")[:1], pa.array([out], pa.binary())], ["slab", "sums"])
+        return pa.table([slab.column("slab")[:1], pa.array([total.tobytes()], pa.binary())], ["slab", "sums"])
 
     kind = "slab int, sums binary"
     found = rows.select("_node", "_text").mapInArrow(run, kind).groupBy("slab").applyInArrow(add, kind).collect()
-    if not found:
-        return np.zeros(SKETCH, np.int32)
-    return np.concatenate([np.frombuffer(bytes(r.sums), np.int32) for r in sorted(found, key=lambda r: r.slab)])
+    found = [np.frombuffer(bytes(r.sums), np.int64) for r in sorted(found, key=lambda r: r.slab)]
+    grams, words = np.concatenate(found).reshape(2, -1) if found else np.zeros((2, SKETCH), np.int64)
+    chance = grams.mean() + 4 * np.sqrt(grams.mean()) + 4
+    return np.where(grams > chance, grams, 0).astype(np.float32), np.log1p(words).astype(np.float32)
 
 
-def prefixes(rows: DataFrame, sketch: np.ndarray, n: int, percent: int, buckets: int) -> DataFrame:
+def prefixes(rows: DataFrame, sketch: tuple[np.ndarray, np.ndarray], n: int, percent: int, buckets: int) -> DataFrame:
     """The first n-grams of each node, rarest first, packed per bucket of the hash."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        (counts, commonness), seen = shared.value, set()
         held: list[list[np.ndarray]] = [[] for _ in COLUMNS]
 
         def flush() -> pa.RecordBatch:
@@ -129,14 +138,15 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, n: int, percent: int, buckets:
             )
 
         total = 0
-        for keys, sets in _texts(batches, n):
-            for node, grams in zip(keys, sets):
+        for keys, texts in _blocks(batches):
+            for node, grams, common in zip(keys, *shingle_sets(texts, n, commonness)):
                 if node is None or node in seen:  # a copy adds nothing
                     continue
                 if len(seen) < 4 * FLUSH:
                     seen.add(node)
                 k = prefix(len(grams), percent)
-                first = grams[np.lexsort((grams, counts[(grams % np.uint64(SKETCH)).astype(np.int64)]))[:k]]
+                outstanding = counts[(grams % np.uint64(SKETCH)).astype(np.int64)]
+                first = grams[np.lexsort((grams, common, outstanding))[:k]]
                 for h, v in zip(held, (first, np.full(k, node), np.full(k, len(grams), np.int32), np.arange(k, dtype=np.int32))):
                     h.append(v)
                 total += k
@@ -257,9 +267,10 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", tex
     """
     spark = df.sparkSession
     stage = Stage(spark, "ngrams")
-    made = ("n_shingles", "component_id", "_row")
+    made = ("n_shingles", "component_id", "_row", text)
     kept = [c for c in df.columns if c not in made]
     rows = nodes(with_row_key(df.select(*kept, F.col(text).alias("_text")), "_row"), n, stage)
+    shown = ["_row", *kept, F.col("_text").alias(text), "n_shingles"]
     full = rows.filter("_node is not null")
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = prefixes(full, sketch_of(full, n), n, percent, buckets)
@@ -291,11 +302,11 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", tex
     linked = links.join(smallest, "component").select("_node", "_least")
     labels = classes.join(linked, "_node", "left").select("_node", F.coalesce("_least", "_first").alias("component_id"))
     return (
-        rows.select("_row", *kept, "n_shingles", "_node")
+        rows.select(*shown, "_node")
         .filter("_node is not null")
         .join(labels, "_node")
         .drop("_node")
         .unionByName(
-            rows.filter("_node is null").select("_row", *kept, "n_shingles", F.col(key).alias("component_id"))
+            rows.filter("_node is null").select(*shown, F.col(key).alias("component_id"))
         )
     )
