@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats
+from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats, url_rules
 from .staging import id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,18 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(
         F.col("_key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+URL_RULES = [
+    url_rules.FixedRule("allow", "org"),
+    url_rules.FixedRule("block", "example.org", "es/"),
+    url_rules.FixedRule("block", "example.org", "en/1"),
+    url_rules.FixedRule("allow", "com", "fr/"),
+    url_rules.FixedRule("block", "com", "de/"),
+]
+
+
+@query("op8_url_rules")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    pages = url_rules.judge(table(spark, sf, "pages", "page_id", "url"), URL_RULES)
+    return pages.select("page_id", "host", "path", "rule", "verdict")

@@ -19,9 +19,9 @@ class Stage:
         self.spark = spark
         self.folder = scratch_folder(spark, name)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
