@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats, url_rules
-from .staging import id_text
+from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats, url_rules, warc
+from .staging import Stage, id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,26 @@ URL_RULES = [
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     pages = url_rules.judge(table(spark, sf, "pages", "page_id", "url"), URL_RULES)
     return pages.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f"""
+
+
+@query("op1_warc_bundles", OP1_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    stage = Stage(spark, "warc")
+    records = warc.read(warc.write(table(spark, sf, "pages", "page_id", "url", "html"), stage))
+    return records.select(
+        warc.key_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.key_of(F.col("refers_to")).alias("refers_to"),
+    )
