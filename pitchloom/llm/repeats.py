@@ -37,8 +37,8 @@ from .staging import Stage, with_row_key
 LENGTH = 100
 GRAM = 24
 BATCH_BYTES = 4_000_000
-SEGMENT = 1 << 21
-RUN_ENTRIES = 200_000
+SEGMENT = 1 << 19
+RUN_ENTRIES = 100_000
 PROBES = 16
 SPLIT_SAMPLE = 20_000
 OTHER_BASE = 0xD1342543DE82EF95
@@ -355,7 +355,7 @@ def _merged(slices: DataFrame, parts: int, buckets: int) -> DataFrame:
         cut = (group == group[0]) | (group == group[-1])
         counts = np.bincount(group)
         inner = np.flatnonzero(~cut & (counts[group] > 1))
-        step = 20_000
+        step = 5_000
         first = 0
         while first < len(inner):
             last = min(first + step, len(inner))
@@ -458,7 +458,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = df if "_row" in df.columns else with_row_key(df, "_row")
     rows = rows.select("_row", F.col(key).cast("long").alias("_key"), F.encode(F.col(text), "utf-8").alias("_text"))
     batches = stage.keep(_batch_rows(rows), "batches")
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     probes = batches.select(F.explode("probes").alias("probe")).orderBy(F.xxhash64("probe"), "probe").limit(SPLIT_SAMPLE)
     sample = sorted({bytes(r.probe) for r in probes.collect()})
     splitters = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
