@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats, url_rules, warc
+from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats, url_rules, vector_dedup, warc
 from .staging import Stage, id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,9 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         "record_type",
         warc.key_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@query("op5_vector_graph_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vector_dedup.link_vectors(table(spark, sf, "embeddings", "vec_id", "embedding"))
+    return rows.select("vec_id", "n_links", "component_id", "kept")
