@@ -1,15 +1,15 @@
 """Groups of texts whose word n-grams overlap, by a prefix-filtered similarity join.
 
-1. Texts with equal sets of n-grams are one node.
-2. Rare-first prefix filter: n-grams are ordered by how often they occur. That is
-   estimated from counters over all texts, ``SKETCH`` for n-grams and as many for words:
-   n-grams whose counter stands out go last by it, the others by how common their words
-   are, ties by hash. Any order is exact; a good one keeps strangers apart. Two sets
-   that are similar enough share one of their first ``n - ceil(t * n) + 1``. Only those
-   are exchanged, packed per bucket of the hash.
-3. Nodes that meet under an n-gram and pass the length filter are chained, and the
+1. Texts are packed into batches. Texts with equal sets of n-grams are one node.
+2. Each batch sends the hashes of its n-grams once; those of several batches come back
+   with the order of magnitude of how many. So every batch knows which n-grams are
+   repeated at all.
+3. Rare-first prefix filter: n-grams are ordered by how often they occur, single ones
+   first, ties by hash. Two sets that are similar enough share one of their first
+   ``n - ceil(t * n) + 1``. Of these only repeated ones are exchanged.
+4. Nodes that meet under an n-gram and pass the length filter are chained, and the
    chains' components are clusters: no link can leave a cluster.
-4. Each cluster is joined on its own by rare-first prefixes, with length, positional
+5. Each cluster is joined on its own by rare-first prefixes, with length, positional
    and suffix filters, and each remaining pair is verified once, exactly, unless it is
    in one component already. A cluster beyond ``TASK_GRAMS`` is dealt to blocks, and
    every pair of blocks is a task; so no task holds more than two blocks.
@@ -25,19 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .shingles import shingle_sets, word_hashes
+from .shingles import shingle_sets
 from .staging import Stage, with_row_key
 
-SKETCH = 1 << 20
 TASK_GRAMS = 2_000_000
 BATCH_BYTES = 4_000_000
 FLUSH = 300_000
-COLUMNS = ("gram", "node", "size", "at")
-KINDS = (np.uint64, np.int64, np.int32, np.int32)
+COLUMNS = ("gram", "node", "size")
+KINDS = (np.uint64, np.int64, np.int32)
 
 
 def least_overlap(a, b, percent: int):
@@ -49,125 +50,184 @@ def prefix(n, percent: int):
     return n + (-percent * n // 100) + 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(node, text) columns of the rows in blocks of bounded size."""
-    for batch in batches:
-        nodes, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-        size, first = 0, 0
-        for k in range(len(nodes) + 1):
-            if k == len(nodes) or size > BATCH_BYTES:
-                yield nodes[first:k], texts[first:k].to_pylist()
-                size, first = 0, k
-            if k < len(nodes):
-                size += len(texts[k].as_buffer() or b"")
+def node_of(grams: np.ndarray) -> int | None:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams))))) if len(grams) else None
 
 
-def _texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for nodes, texts in _blocks(batches):
-        yield nodes, shingle_sets(texts, n)
+def _unpack(packed: bytes, sizes: list[int]) -> list[bytes]:
+    data, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def node_of(grams: np.ndarray) -> int | None:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams))))) if len(grams) else None
+def batches_of(rows: DataFrame, n: int) -> DataFrame:
+    """Columns _row, _key, _text to batches: rows, keys, nodes, n-grams, packed texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq = TaskContext.get().partitionId(), 0
+        row, key, text, held = [], [], [], 0
 
-def nodes(df: DataFrame, n: int, stage: Stage) -> DataFrame:
-    """``df`` with ``n_shingles`` and ``_node``, null without words, written once."""
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, held
+            sets = shingle_sets(text, n)
+            columns = [
+                pa.array([task << 32 | seq], pa.int64()),
+                pa.array([row], pa.list_(pa.int64())),
+                pa.array([key], pa.list_(pa.int64())),
+                pa.array([[node_of(s) for s in sets]], pa.list_(pa.int64())),
+                pa.array([[len(s) for s in sets]], pa.list_(pa.int64())),
+                pa.array([[len(t) for t in text]], pa.list_(pa.int64())),
+                pa.array([zstandard.compress(b"".join(text), 3)], pa.binary()),
+            ]
+            seq, held = seq + 1, 0
+            row.clear(), key.clear(), text.clear()
+            return pa.RecordBatch.from_arrays(columns, ["batch", "rows", "keys", "nodes", "grams", "sizes", "data"])
+
+        for batch in batches:
+            for r, k, t in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2).cast(pa.binary())):
+                t = t.as_py() or b""
+                if row and held + len(t) > BATCH_BYTES:
+                    yield flush()
+                row.append(r), key.append(k), text.append(t)
+                held += len(t)
+        if row:
+            yield flush()
+
+    return rows.select("_row", "_key", "_text").mapInArrow(
+        run,
+        "batch long, rows array<long>, keys array<long>, nodes array<long>, grams array<long>, sizes array<long>, data binary",
+    )
 
-    @F.arrow_udf("size long, node long")
-    def measured(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in column:
-            batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], ["node", "_text"])
-            sets = [s for _, block in _texts(iter([batch]), n) for s in block]
-            yield pa.StructArray.from_arrays(
-                [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())],
-                ["size", "node"],
-            )
 
-    made = df.withColumn("_set", measured(F.col("_text")))
-    return stage.keep(
-        made.withColumns({"n_shingles": F.col("_set.size"), "_node": F.col("_set.node")}).drop("_set"), "nodes"
-    )
+def _deal(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, packed columns) for the buckets of ``keys`` that are not empty."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        some = order[cuts[b] : cuts[b + 1]]
+        yield b, [c[some].tobytes() for c in columns]
 
 
-def sketch_of(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of n-grams that stand out, else 0, and logarithms of those of words."""
-    slabs = 32
+def _rest(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """What, besides the bucket, is kept of a hash to tell repeated n-grams."""
+    return (grams // np.uint64(buckets)).astype(np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, SKETCH), np.int64)
-        for _, texts in _blocks(batches):
-            for k, hashes in enumerate((shingle_sets(texts, n), [word_hashes([t or b"" for t in texts])[0]])):
-                if hashes:
-                    place = (np.concatenate(hashes) % np.uint64(SKETCH)).astype(np.int64)
-                    seen[k] += np.bincount(place, minlength=SKETCH)
-        parts = [p.astype(np.int32).tobytes() for p in np.split(seen.ravel(), slabs)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slabs), pa.int32()), pa.array(parts, pa.binary())], ["slab", "sums"])
-
-    def add(slab: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, np.int32).astype(np.int64) for p in slab.column("sums").to_pylist())
-        return pa.table([slab.column("slab")[:1], pa.array([total.tobytes()], pa.binary())], ["slab", "sums"])
-
-    kind = "slab int, sums binary"
-    found = rows.select("_node", "_text").mapInArrow(run, kind).groupBy("slab").applyInArrow(add, kind).collect()
-    found = [np.frombuffer(bytes(r.sums), np.int64) for r in sorted(found, key=lambda r: r.slab)]
-    grams, words = np.concatenate(found).reshape(2, -1) if found else np.zeros((2, SKETCH), np.int64)
-    chance = grams.mean() + 4 * np.sqrt(grams.mean()) + 4
-    return np.where(grams > chance, grams, 0).astype(np.float32), np.log1p(words).astype(np.float32)
-
-
-def prefixes(rows: DataFrame, sketch: tuple[np.ndarray, np.ndarray], n: int, percent: int, buckets: int) -> DataFrame:
-    """The first n-grams of each node, rarest first, packed per bucket of the hash."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (counts, commonness), seen = shared.value, set()
+def repeated(batches: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(batch, shared): n-grams of the batch that other batches have, packed per bucket.
+
+    Hashes are cut to the bucket and 32 bits here; two that fall together count as
+    repeated in both batches, which costs a little work and loses nothing.
+    """
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for batch, sizes, data in zip(*(b.column(c).to_pylist() for c in range(3))):
+                grams = np.unique(np.concatenate(shingle_sets(_unpack(data, sizes), n)))
+                dealt = list(_deal(grams, buckets, _rest(grams, buckets)))
+                bucket, packed = zip(*dealt) if dealt else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket, pa.int32()),
+                        pa.array([batch] * len(bucket), pa.int64()),
+                        pa.array([p[0] for p in packed], pa.binary()),
+                    ],
+                    ["bucket", "batch", "rest"],
+                )
+
+    def answer(bucket: pa.Table) -> pa.Table:
+        parts = [np.unique(np.frombuffer(g, np.uint32)) for g in bucket.column("rest").to_pylist()]
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        rest = np.concatenate(parts)
+        order = np.argsort(rest, kind="stable")
+        value, first, count = np.unique(rest[order], return_index=True, return_counts=True)
+        often = np.repeat(count, count)
+        order, often = order[often > 1], often[often > 1]
+        by_owner = np.argsort(owner[order], kind="stable")
+        order, often = order[by_owner], np.ceil(np.log2(often[by_owner])).astype(np.uint8)
+        cuts = np.searchsorted(owner[order], np.arange(len(parts) + 1))
+        spans = list(zip(cuts, cuts[1:]))
+        return pa.table(
+            [
+                bucket.column("bucket"),
+                bucket.column("batch"),
+                pa.array([rest[order[a:b]].tobytes() for a, b in spans], pa.binary()),
+                pa.array([often[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            ["bucket", "batch", "rest", "often"],
+        )
+
+    sent = batches.select("batch", "sizes", "data").mapInArrow(send, "bucket int, batch long, rest binary")
+    back = sent.groupBy("bucket").applyInArrow(answer, "bucket int, batch long, rest binary, often binary")
+    return back.filter(F.length("rest") > 0).groupBy("batch").agg(F.collect_list(F.struct("bucket", "rest", "often")).alias("shared"))
+
+
+def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """The repeated n-grams among the first of each node, packed per bucket."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in COLUMNS]
+        total = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal total
             whole = [np.concatenate(h) if h else np.zeros(0, k) for h, k in zip(held, KINDS)]
-            bucket = (whole[0] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            columns = [[w[order][cuts[b] : cuts[b + 1]].tobytes() for b in full] for w in whole]
+            dealt = list(_deal(whole[0], buckets, *whole))
             for h in held:
                 h.clear()
+            total = 0
             return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", *COLUMNS]
+                [pa.array([b for b, _ in dealt], pa.int32())]
+                + [pa.array([p[c] for _, p in dealt], pa.binary()) for c in range(len(COLUMNS))],
+                ["bucket", *COLUMNS],
             )
 
-        total = 0
-        for keys, texts in _blocks(batches):
-            for node, grams, common in zip(keys, *shingle_sets(texts, n, commonness)):
-                if node is None or node in seen:  # a copy adds nothing
-                    continue
-                if len(seen) < 4 * FLUSH:
+        for b in rows:
+            for nodes, sizes, data, shared in zip(*(b.column(c).to_pylist() for c in range(4))):
+                sets = shingle_sets(_unpack(data, sizes), n)
+                keys, often = [], []
+                for s in shared or ():
+                    keys.append(np.frombuffer(s["rest"], np.uint32) + np.uint64(s["bucket"] << 32))
+                    often.append(np.frombuffer(s["often"], np.uint8))
+                keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+                often = np.concatenate([np.zeros(0, np.uint8), *often])[np.argsort(keys)]
+                keys.sort()
+                # How often an n-gram occurs: 0 once, 1 in this batch alone, else 1 more
+                # than the logarithm of the number of batches.
+                flat = np.concatenate(sets)
+                own, back, count = np.unique(flat, return_inverse=True, return_counts=True)
+                known = (own % np.uint64(buckets)) * np.uint64(1 << 32) + _rest(own, buckets)
+                at = np.minimum(np.searchsorted(keys, known), max(0, len(keys) - 1))
+                elsewhere = keys[at] == known if len(keys) else np.zeros(len(own), bool)
+                level = np.where(elsewhere, often[at] + 1 if len(keys) else 0, count > 1).astype(np.int64)[back]
+                seen, end = set(), 0
+                for node, grams in zip(nodes, sets):
+                    grade, end = level[end : end + len(grams)], end + len(grams)
+                    if node is None or node in seen:  # a copy adds nothing
+                        continue
                     seen.add(node)
-                k = prefix(len(grams), percent)
-                outstanding = counts[(grams % np.uint64(SKETCH)).astype(np.int64)]
-                first = grams[np.lexsort((grams, common, outstanding))[:k]]
-                for h, v in zip(held, (first, np.full(k, node), np.full(k, len(grams), np.int32), np.arange(k, dtype=np.int32))):
-                    h.append(v)
-                total += k
+                    first = np.lexsort((grams, grade))[: prefix(len(grams), percent)]
+                    first = grams[first[grade[first] > 0]]
+                    for h, v in zip(held, (first, np.full(len(first), node), np.full(len(first), len(grams), np.int32))):
+                        h.append(v)
+                    total += len(first)
                 if total >= FLUSH:
                     yield flush()
-                    total = 0
         yield flush()
 
     packed = ", ".join(f"{c} binary" for c in COLUMNS)
-    return rows.select("_node", "_text").mapInArrow(run, f"bucket int, {packed}")
+    return batches.select("nodes", "sizes", "data", "shared").mapInArrow(run, f"bucket int, {packed}")
 
 
 def chains(packed: DataFrame, percent: int) -> DataFrame:
     """Links between nodes that meet under an n-gram and may be long enough."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        gram, node, size, at = (
+        gram, node, size = (
             np.concatenate([np.frombuffer(b, k) for b in bucket.column(c).to_pylist()]) for c, k in zip(COLUMNS, KINDS)
         )
         order = np.lexsort((node, size, gram))
-        gram, node, size, at = gram[order], node[order], size[order].astype(np.int64), at[order]
+        gram, node, size = gram[order], node[order], size[order].astype(np.int64)
         # In order of size, a gap too large for two neighbours is too large for all.
         near = (gram[1:] == gram[:-1]) & (node[1:] != node[:-1]) & (100 * size[:-1] >= percent * size[1:])
         k = np.flatnonzero(near)
@@ -236,18 +296,36 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
     return links
 
 
+TASK = "_task long, _cluster long, _i long, _j long, _block long, _node long"
+
+
+def texts_of(batches: DataFrame) -> DataFrame:
+    """One row per entry of ``asked``: its columns and the text it names in the batch."""
+    names = ["_task", "_cluster", "_i", "_j", "_block", "_node"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for sizes, data, asked in zip(*(b.column(c).to_pylist() for c in range(3))):
+                texts = _unpack(data, sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a[c] for a in asked], pa.int64()) for c in names]
+                    + [pa.array([texts[a["_at"]] for a in asked], pa.binary())],
+                    [*names, "_text"],
+                )
+
+    return batches.select("sizes", "data", "asked").mapInArrow(run, f"{TASK}, _text binary")
+
+
 def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links found in each task; rows are _task, _cluster, _i, _j, _block, _node, _text."""
+    """Links found in each task."""
 
     def run(task: pa.Table) -> pa.Table:
         rows = task.select(["_cluster", "_i", "_j", "_block", "_node"]).to_pandas()
-        sets: list[np.ndarray] = []
-        for batch in task.select(["_node", "_text"]).to_batches():
-            sets += [s for _, block in _texts(iter([batch]), n) for s in block]
+        sets = shingle_sets(task.column("_text").to_pylist(), n)
         found: list[tuple[int, int]] = []
-        node = rows["_node"].to_numpy()
+        node, block = rows["_node"].to_numpy(), rows["_block"].to_numpy()
         for (_, i, j), at in rows.groupby(["_cluster", "_i", "_j"]).indices.items():
-            side = rows["_block"].to_numpy()[at] if i != j else np.zeros(len(at), int)
+            side = block[at] if i != j else np.zeros(len(at), int)
             found += [(int(node[at[a]]), int(node[at[b]])) for a, b in join_sets([sets[k] for k in at], side, percent)]
         a, b = zip(*found) if found else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["child", "parent"])
@@ -255,35 +333,27 @@ def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
     return tasks.groupBy("_task").applyInArrow(run, "child long, parent long")
 
 
-def group(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``n_shingles``, ``component_id`` and ``_row`` (one key per row).
+def components(rows: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
+    """(_row, _key, n_shingles, component_id) from columns _row, _key and _text."""
+    buckets = max(64, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    batches = stage.keep(batches_of(rows, n), "batches")
+    names = {"rows": "_row", "keys": "_key", "nodes": "_node", "grams": "n_shingles"}
+    places = batches.select("batch", F.posexplode(F.arrays_zip(*names)).alias("_at", "r"))
+    places = places.select("batch", "_at", *(F.col(f"r.{c}").alias(to) for c, to in names.items()))
+    full = places.filter("_node is not null")
+    known = batches.join(repeated(batches, n, buckets), "batch", "left")
+    clusters = connected(chains(prefixes(known, n, percent, buckets), percent), stage, "clusters")
 
-    Two rows link when the Jaccard similarity of their sets of ``n``-word n-grams is
-    at least ``percent`` / 100; the component is the smallest ``key`` that links reach.
-    Words are cut at the six ASCII white-space characters, A-Z lower-cased. Texts
-    without words, and null, have 0 n-grams and link with nothing. Null keys count as
-    no id: they take the component of their group, null if it has no other. Repeated
-    rows link with each other. Columns of these names are replaced.
-    """
-    spark = df.sparkSession
-    stage = Stage(spark, "ngrams")
-    made = ("n_shingles", "component_id", "_row", text)
-    kept = [c for c in df.columns if c not in made]
-    rows = nodes(with_row_key(df.select(*kept, F.col(text).alias("_text")), "_row"), n, stage)
-    shown = ["_row", *kept, F.col("_text").alias(text), "n_shingles"]
-    full = rows.filter("_node is not null")
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = prefixes(full, sketch_of(full, n), n, percent, buckets)
-    clusters = connected(chains(packed, percent), stage, "clusters")
-
-    classes = full.groupBy("_node").agg(F.min(key).alias("_first"), F.min("_row").alias("_row"), F.min("n_shingles").alias("_size"))
+    classes = full.groupBy("_node").agg(
+        F.min("_key").alias("_first"), F.min(F.struct("batch", "_at")).alias("_place"), F.min("n_shingles").alias("_size")
+    )
     classes = stage.keep(classes, "classes")
     members = clusters.withColumnRenamed("node", "_node").join(classes, "_node")
-    members = stage.keep(members.select("_row", "_node", F.col("component").alias("_cluster"), "_size"), "members")
+    members = stage.keep(members.select("_place.*", "_node", F.col("component").alias("_cluster"), "_size"), "members")
     sizes = members.groupBy("_cluster").agg(F.ceil(F.sum("_size") / TASK_GRAMS).alias("_blocks"))
     total = members.agg(F.sum("_size")).first()[0] or 0
     bins = 2 * (total // TASK_GRAMS) + 8
-    dealt = (
+    asked = (
         members.join(sizes, "_cluster")
         .withColumn("_block", F.pmod(F.xxhash64("_node"), "_blocks"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
@@ -294,19 +364,33 @@ def group(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", tex
                 F.xxhash64("_cluster", "_i", "_j")
             ),
         )
-        .select("_row", "_cluster", "_i", "_j", "_block", "_task")
+        .groupBy("batch")
+        .agg(F.collect_list(F.struct("_at", "_task", "_cluster", "_i", "_j", "_block", "_node")).alias("asked"))
     )
-    tasks = full.select("_row", "_node", "_text").join(dealt, "_row").drop("_row")
+    tasks = texts_of(batches.select("batch", "sizes", "data").join(asked, "batch"))
     links = connected(verified(tasks, n, percent), stage, "links").withColumnRenamed("node", "_node")
     smallest = links.join(classes, "_node").groupBy("component").agg(F.min("_first").alias("_least"))
-    linked = links.join(smallest, "component").select("_node", "_least")
-    labels = classes.join(linked, "_node", "left").select("_node", F.coalesce("_least", "_first").alias("component_id"))
-    return (
-        rows.select(*shown, "_node")
-        .filter("_node is not null")
-        .join(labels, "_node")
-        .drop("_node")
-        .unionByName(
-            rows.filter("_node is null").select(*shown, F.col(key).alias("component_id"))
-        )
+    linked = links.join(smallest, "component").select("_node", F.lit(True).alias("_linked"), "_least")
+    labels = classes.join(linked, "_node", "left").select(
+        "_node", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("_first")).alias("component_id")
     )
+    found = full.select("_row", "_key", "n_shingles", "_node").join(labels, "_node").drop("_node")
+    apart = places.filter("_node is null").select("_row", "_key", "n_shingles", F.col("_key").alias("component_id"))
+    return found.unionByName(apart)
+
+
+def similar(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_row, _key, n_shingles, component_id), one row per row of ``df``.
+
+    Two rows link when the Jaccard similarity of their sets of ``n``-word n-grams is
+    at least ``percent`` / 100; the component is the smallest ``key`` that links reach.
+    Words are cut at the six ASCII white-space characters, A-Z lower-cased. Texts
+    without words, and null, have 0 n-grams and link with nothing. Null keys count as
+    no id: they take the component of their group, null if it has no other. Repeated
+    rows link with each other. A column ``_row`` of distinct longs is used as row key; else one is made.
+    """
+    stage = Stage(df.sparkSession, "ngrams")
+    if "_row" not in df.columns:
+        df = with_row_key(df, "_row")
+    rows = df.select("_row", F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    return components(rows, n, percent, stage)

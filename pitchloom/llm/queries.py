@@ -66,8 +66,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_ngram_jaccard_join")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    docs = ngram_join.group(table(spark, sf, "documents", "doc_id", "text"), n=3, percent=90)
-    return docs.select("doc_id", "n_shingles", "component_id")
+    docs = ngram_join.similar(table(spark, sf, "documents", "doc_id", "text"), n=3, percent=90)
+    return docs.select(F.col("_key").alias("doc_id"), "n_shingles", "component_id")
 
 
 @query("op4_source_mixing")

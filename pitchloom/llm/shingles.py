@@ -55,38 +55,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(begin, borders), prepend=0)
 
 
-def shingle_sets(
-    texts: list[bytes | None], n: int, commonness: np.ndarray | None = None
-) -> list[np.ndarray] | tuple[list[np.ndarray], list[np.ndarray]]:
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """Per text its sorted distinct hashed n-grams.
 
     A text of fewer than ``n`` words has its whole sequence as the only one; null and
-    texts without words have none. With ``commonness``, a table of logarithms by word
-    hash, also the sum over the words of each n-gram.
+    texts without words have none.
     """
     words, counts = word_hashes([t or b"" for t in texts])
-    out, common = [], []
+    out = []
     ends = np.cumsum(counts)
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         grams = mix(grams * np.uint64(3) + words[k : len(words) - n + 1 + k])
-    if commonness is not None:
-        logs = commonness[(words % np.uint64(len(commonness))).astype(np.int64)]
-        sums = sum(logs[k : len(words) - n + 1 + k] for k in range(n))
     for count, end in zip(counts.tolist(), ends.tolist()):
-        at = None
         if count >= n:
-            own = grams[end - count : end - n + 1]
-            if commonness is None:
-                out.append(np.unique(own))
-            else:
-                own, at = np.unique(own, return_index=True)
-                out.append(own)
-                common.append(sums[end - count + at])
+            out.append(np.unique(grams[end - count : end - n + 1]))
             continue
         whole = np.full(1 if count else 0, count, np.uint64)
         for w in words[end - count : end]:
             whole = mix(whole * np.uint64(5) + w)
         out.append(whole)
-        common.append(np.zeros(len(whole)))
-    return out if commonness is None else (out, common)
+    return out

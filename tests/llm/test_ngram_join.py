@@ -53,8 +53,8 @@ def made(seed, copies=40):
 def test_against_brute_force(spark, n, percent):
     rows = made(n)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
-    got = ngram_join.group(df, n, percent).collect()
-    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == brute(rows, n, percent)
+    got = ngram_join.similar(df, n, percent).collect()
+    assert sorted([(r._key, r.n_shingles, r.component_id) for r in got], key=repr) == brute(rows, n, percent)
     assert len({r._row for r in got}) == len(rows)
 
 
@@ -62,15 +62,15 @@ def test_large_clusters_are_joined_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TASK_GRAMS", 150)
     rows = made(9, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ngram_join.group(df, 3, 70).collect()
-    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=repr) == brute(rows, 3, 70)
+    got = ngram_join.similar(df, 3, 70).collect()
+    assert sorted([(r._key, r.n_shingles, r.component_id) for r in got], key=repr) == brute(rows, 3, 70)
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert ngram_join.group(df).count() == 0
+    assert ngram_join.similar(df).count() == 0
     df = spark.createDataFrame([(1, None)], "doc_id long, text string")
-    assert [(r.n_shingles, r.component_id) for r in ngram_join.group(df).collect()] == [(0, 1)]
+    assert [(r.n_shingles, r.component_id) for r in ngram_join.similar(df).collect()] == [(0, 1)]
 
 
 def test_hashed_sets_have_the_right_size():
