@@ -24,6 +24,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -230,6 +231,11 @@ def vocabulary(spec: str) -> WordBpe:
     return WordBpe(spec)
 
 
+def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of an installed vocabulary file."""
+    return public_tokenizers.path(name)
+
+
 def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary, little-endian 32-bit), ``n_tokens`` and ``decoded``.
 

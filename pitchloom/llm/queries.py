@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, hmm, langid, mixing, ngram_join, quality, repeats, url_rules, vector_dedup, warc
 from .staging import Stage, id_text
 
@@ -30,13 +31,9 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
-def vocabulary_file() -> str:
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op10_bpe_encoding")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    docs = bpe.encode_texts(table(spark, sf, "documents", "doc_id", "text"), vocabulary_file())
+    docs = bpe.encode_texts(table(spark, sf, "documents", "doc_id", "text"), bpe.public_vocabulary())
     return docs.select(
         "doc_id",
         "n_tokens",
@@ -160,3 +157,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     rows = vector_dedup.link_vectors(table(spark, sf, "embeddings", "vec_id", "embedding"))
     return rows.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
