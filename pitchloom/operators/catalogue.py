@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .skew import skew_join
-
-
 # Tags of a similar link that resolves, and of one that does not.
 SIZE_TAG, PLAIN_TAG = " swaras", "Related raga"
 
@@ -34,8 +31,12 @@ def unknown_items(items: DataFrame, classes: DataFrame, on: str) -> DataFrame:
 
 
 def labelled(items: DataFrame, classes: DataFrame, on: str) -> DataFrame:
-    """Join the class list (one row per class) to items; a class may hold most of them."""
-    return skew_join(items, classes, [on])
+    """Join the class list (one row per class) to items; a class may hold most of them.
+
+    A plain join reads the items once: Spark broadcasts a list that is small by its
+    measured size, and splits the partition of a hot class otherwise.
+    """
+    return items.join(classes, on)
 
 
 def missing_counterparts(items: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -45,16 +46,18 @@ def missing_counterparts(items: DataFrame, other: DataFrame, on: Sequence[str])
 
 def require_complete(items: DataFrame, other: DataFrame, on: Sequence[str], show: int = 5) -> None:
     """Raise when any item has no counterpart, naming the first few."""
+    seen = Observation()
     missing = missing_counterparts(items, other, on).select(*on)
-    first = missing.orderBy(*on).limit(show).collect()
+    # Counted on the way to the first few, in one pass.
+    first = missing.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*on).limit(show).collect()
     if first:
         names = ["/".join(str(v) for v in r) for r in first]
-        raise IncompleteError(f"{missing.count()} items without counterpart. First {len(names)}: {names}")
+        raise IncompleteError(f"{seen.get['n']} items without counterpart. First {len(names)}: {names}")
 
 
 def with_knowledge(predictions: DataFrame, knowledge: DataFrame, on: str) -> DataFrame:
-    """Left outer: a class without an entry keeps its predictions."""
-    return skew_join(predictions, knowledge, [on], "left")
+    """Left outer: a class without an entry, or a null class, keeps its predictions."""
+    return predictions.join(knowledge, on, "left")
 
 
 def similar_links(knowledge: DataFrame) -> DataFrame:

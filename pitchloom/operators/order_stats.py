@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LEVELS = 2
+CUTS = 65_536
+
 
 def middle_values(
     df: DataFrame, key: Sequence[str], value: str, width: float = 0.25
@@ -14,48 +17,53 @@ def middle_values(
     """The two middle values per key: ``lower`` and ``upper`` (equal for odd counts).
 
     Counts per distinct value come first (partial counts before the shuffle, which
-    is by key and value). Cells of ``width`` then tell where the middle lies, and
-    only the distinct values of that one cell, or two, are ordered.
+    is by key and value). Cells of ``width`` tell where the middle lies; that cell is cut
+    into 65,536 and searched in the same way. So what is put in order at a time is
+    the cells of one level, and at last the few distinct values of one finest cell.
     """
     counts = (
         df.select(*key, F.col(value).alias("_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*key, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", F.floor(F.col("_v") / width))
     )
-    cells = counts.groupBy(*key, "_cell").agg(F.sum("_n").alias("_m"))
-    w = Window.partitionBy(*key).orderBy("_cell")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("_m").over(Window.partitionBy(*key))
-    located = (
-        cells.withColumn("_upto", F.sum("_m").over(run))
-        .withColumn("n", total)
-        .withColumn("_lo", F.floor((F.col("n") - 1) / 2))
-        .withColumn("_hi", F.floor(F.col("n") / 2))
-        .withColumn("_skip", F.col("_upto") - F.col("_m"))
-        .filter(_holds("_lo", "_skip", "_upto") | _holds("_hi", "_skip", "_upto"))
-        .select(*key, "_cell", "n", "_lo", "_hi", "_skip")
+    n = F.col("n")
+    ranks = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+    # One row per key and middle rank, with the rows known to stand before its cell.
+    found = counts.groupBy(*key).agg(F.sum("_n").alias("n")).select(
+        *key, "n", F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_skip")
     )
-    inside = Window.partitionBy(*key, "_cell").orderBy("_v")
-    ranked = (
-        counts.join(located, [*key, "_cell"])
-        .withColumn(
-            "_upto",
-            F.col("_skip")
-            + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    outer: list[str] = []
+    for level in range(LEVELS):
+        cell = f"_cell{level}"
+        found = _advance(counts, found, key, outer, cell, _cell(width, level), width).select(
+            *key, "n", "_rank", "_skip", cell
         )
-        .withColumn("_from", F.col("_upto") - F.col("_n"))
-    )
-    return ranked.groupBy(*key).agg(
-        F.max("n").alias("n"),
-        F.max(F.when(_holds("_lo", "_from", "_upto"), F.col("_v"))).alias("lower"),
-        F.max(F.when(_holds("_hi", "_from", "_upto"), F.col("_v"))).alias("upper"),
-    )
+        outer = [cell]
+    ranked = _advance(counts, found, key, outer, "_at", F.col("_v"), width)
+    return ranked.groupBy(*key).agg(F.max("n").alias("n"), F.min("_at").alias("lower"), F.max("_at").alias("upper"))
+
 
+def _cell(width: float, level: int) -> Column:
+    return F.floor(F.col("_v") / (width / CUTS**level))
 
-def _holds(rank: str, start: str, stop: str) -> Column:
-    return (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(stop))
+
+def _advance(
+    counts: DataFrame, found: DataFrame, key: Sequence[str], outer: Sequence[str], name: str, part: Column, width: float
+) -> DataFrame:
+    """The part of each rank's cell that holds the rank, and the rows before that part."""
+    rows = counts
+    for cell in outer:
+        rows = rows.withColumn(cell, _cell(width, int(cell.removeprefix("_cell"))))
+    on = [*key, *outer]
+    sums = rows.join(found, on).groupBy(*on, "_rank", "n", "_skip", part.alias(name)).agg(F.sum("_n").alias("_n"))
+    run = Window.partitionBy(*on, "_rank").orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_skip") + F.sum("_n").over(run)
+    return (
+        sums.withColumn("_to", upto)
+        .filter((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_n")))
+        .withColumn("_skip", F.col("_to") - F.col("_n"))
+    )
 
 
 def exact_median(df: DataFrame, key: Sequence[str], value: str, width: float = 0.25) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import quality, ranking
-from ..operators.skew import skew_join
 
 
 class GateFailed(RuntimeError):
@@ -20,7 +19,7 @@ class GateFailed(RuntimeError):
 
 def match_earlier(rows: DataFrame, earlier: DataFrame, key: Sequence[str]) -> DataFrame:
     """Join one earlier vector per recording to its clips, however many those are."""
-    return skew_join(rows, earlier, key)
+    return rows.join(earlier, list(key))
 
 
 def compare_channels(

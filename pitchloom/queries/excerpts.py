@@ -102,7 +102,7 @@ RECS_SQL = """, recs AS (SELECT recording_id, max(ts) + 1e0 AS duration_s, any_v
       any_value(tonic_hz) AS expert FROM frames GROUP BY 1),
     clips AS (SELECT recording_id, duration_s, label, expert, k * 10e0 AS clip_start,
                      least(30e0, duration_s - k * 10e0) AS clip_dur
-              FROM recs, range(100000) AS s(k) WHERE k * 10 + 20 <= duration_s)
+              FROM (SELECT *, unnest(range(greatest(0, CAST(floor((duration_s - 20) / 10) AS BIGINT) + 1))) AS k FROM recs))
 """
 CLIPS_SQL = f"WITH frames AS ({frames_sql(1.0)})" + RECS_SQL
 

@@ -14,9 +14,12 @@ PACE = 3000.0
 
 
 def stream_table(spark, sf, name):
-    """One of the tables as a file stream."""
+    """One of the tables as a file stream, be it one file or a folder of part files.
+
+    A plain path must be a folder for a stream; a pattern may match either.
+    """
     schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def event_frames(events):
@@ -50,20 +53,41 @@ def clip_histogram_batch(spark, sf):
 
 @query("str1_clip_histogram_stream", CLIP_COUNTS)
 def clip_histogram_stream(spark, sf):
-    """The same counts from a stream, read back from its parquet sink.
+    """The same counts from a stream: parts per batch, added up when read."""
+    out = scratch_folder(spark, "clip-counts")
+    frames = event_frames(stream_table(spark, sf, "events"))
+    clips.write_partial_counts(frames, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return clips.summed_counts(spark.read.parquet(f"{out}/data")).select("recording_id", "clip_start", "bin", "n")
+
 
-    A complete-mode run has no late data to wait for, so every clip is emitted.
+LATENESS_S = 60.0
+
+
+@query(
+    "str1_clip_histogram_watermark",
+    f"""WITH k AS ({CLIP_COUNTS}), e AS (SELECT max(clip_start) AS last FROM k)
+    SELECT recording_id, clip_start, bin, n FROM k, e WHERE clip_start <= last - 30 - {LATENESS_S}""",
+)
+def clip_histogram_watermark(spark, sf):
+    """Clips that are closed when the stream has been read, each written once.
+
+    One run takes all files as one batch, so nothing is late. A clip is closed once
+    another one ends a clip's length and the allowed lateness after it.
     """
-    out = scratch_folder(spark, "clip-counts")
-    counts = clips.clip_histogram(clips.clip_bins(event_frames(stream_table(spark, sf, "events"))))
+    out = scratch_folder(spark, "closed-clips")
+    counts = clips.stream_clip_histogram(event_frames(stream_table(spark, sf, "events")), LATENESS_S)
     run = (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data"))
+        counts.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
+    late = sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in run.recentProgress for s in p["stateOperators"])
+    if late:
+        raise ValueError(f"{late} counts came after their clip was closed")
     return spark.read.parquet(f"{out}/data").select("recording_id", "clip_start", "bin", "n")
 
 

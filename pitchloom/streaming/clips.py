@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import pitch
 from ..operators.segments import CLIP_HOP_S, CLIP_S
@@ -16,13 +17,14 @@ def clip_bins(
 
     ``frames`` carries ``recording_id, started_at, ts, f0_hz, tonic_hz`` with ``ts``
     in seconds from the start of the recording. Clips therefore start with the
-    recording, not with the epoch, and none begins before it.
+    recording, not with the epoch, and none begins before it: frames at negative times
+    lie in no clip.
     """
     first = F.greatest(F.floor((F.col("ts") - clip) / hop) + 1, F.lit(0))
     cents = pitch.cents_above(F.col("f0_hz"), F.col("tonic_hz"))
     end = F.unix_micros("started_at") + ((F.col("clip_start") + clip) * 1_000_000).cast("long")
     return (
-        frames.filter(pitch.sounding(F.col("f0_hz")))
+        frames.filter(pitch.sounding(F.col("f0_hz")) & (F.col("ts") >= 0))
         .withColumn("_k", F.explode(F.sequence(first, F.floor(F.col("ts") / hop))))
         .withColumn("clip_start", F.col("_k") * hop)
         .select(
@@ -40,6 +42,28 @@ def clip_histogram(bins: DataFrame) -> DataFrame:
     )
 
 
+def write_partial_counts(frames: DataFrame, path: str, checkpoint: str, clip: float = CLIP_S) -> StreamingQuery:
+    """Write each batch's own counts to ``path/batch=<id>``.
+
+    Nothing is kept between batches and no frame is too late, in whatever order files
+    come; :func:`summed_counts` adds the parts up. A repeated batch overwrites its folder.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        clip_histogram(clip_bins(rows, clip)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return (
+        frames.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def summed_counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("recording_id", "clip_start", "clip_end", "bin").agg(F.sum("n").alias("n"))
+
+
 def stream_clip_histogram(frames: DataFrame, lateness_s: float = 60.0, clip: float = CLIP_S) -> DataFrame:
     """:func:`clip_histogram` on a stream, for append mode.
 

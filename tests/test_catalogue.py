@@ -5,22 +5,29 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchloom.operators import catalogue as cat, quality, ranking
-from pitchloom.operators.skew import hot_keys, skew_join
 from pitchloom.plans import dataset, gate, model
 from pitchloom.sources import contours, documents, tables
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_skew_join_equals_plain_join(spark, how):
+def test_joins_with_hot_and_null_classes(spark):
     big = spark.range(6000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), F.col("id").alias("v")
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 500).cast("string")).alias("k"),
+        F.col("id").alias("v"),
     )
-    small = spark.range(0, 480).select(F.col("id").alias("k"), (F.col("id") * 7).alias("w"))
-    assert {r.k for r in hot_keys(big, ["k"], 0.05).collect()} == {0}
-    got = skew_join(big, small, ["k"], how, share=0.05, salts=8)
-    want = big.join(small, "k", how)
-    key = lambda r: (r.k, r.v, r.w or -1)
-    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    small = spark.createDataFrame([("hot", 1)] + [(str(k), k) for k in range(0, 480)], "k string, w int")
+    known = {r.k: r.w for r in small.collect()}
+    rows = [(r.k, r.v) for r in big.collect()]
+    got = {(r.k, r.v, r.w) for r in cat.labelled(big, small, "k").collect()}
+    assert got == {(k, v, known[k]) for k, v in rows if k in known}
+    got = {(r.k, r.v, r.w) for r in cat.with_knowledge(big, small, "k").collect()}
+    assert got == {(k, v, known.get(k)) for k, v in rows}
+
+
+def test_unlisted_labels_and_listed_centroids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0])], "label int, features array<double>")
+    near = model.NearestCentroid.fit(df, [0, 1, 2])
+    assert near.labels == [0, 1]
+    assert {(r.label, r.n) for r in model.unlisted(df, [0, 1, 2]).collect()} == {(7, 2), (None, 1)}
 
 
 def test_completeness_gate(spark):
@@ -125,7 +132,7 @@ def test_scaler_network_and_storage(spark, tmp_path):
     assert model.accuracy(scored).first().accuracy > 0.8
     assert all(abs(sum(r.probability) - 1) < 1e-6 for r in scored.collect())
 
-    near = model.NearestCentroid.fit(split.filter("is_train")).score(split.filter("not is_train"))
+    near = model.NearestCentroid.fit(split.filter("is_train"), range(3)).score(split.filter("not is_train"))
     assert model.accuracy(near).first().accuracy > 0.8
     zero = model.NearestCentroid([0, 1], np.array([[1.0, 0.0], [0.0, 0.0]]))
     one = spark.createDataFrame([([2.0, 0.0],)], "features array<double>")

@@ -177,3 +177,13 @@ def test_hold_times(spark, block_s):
 def test_frame_step_of_a_single_frame(spark):
     got = {r.recording_id: r["dt"] for r in contour.frame_step(frames(spark)).collect()}
     assert got["one"] == 0.0044 and got["long"] == STEP
+
+
+def test_median_of_values_within_one_cell(spark):
+    """Three thousand distinct values in one cell, beside equal ones and a null."""
+    rng = np.random.default_rng(12)
+    values = {"dense": 100 + rng.random(3001) * 1e-3, "even": 100 + rng.random(500) * 1e-6, "same": np.full(40, -3.25), "one": np.array([7.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("dense", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.n, r.lower, r.upper) for r in order_stats.middle_values(df, ["k"], "v").collect()}
+    assert got == {k: (len(v), np.sort(v)[(len(v) - 1) // 2], np.sort(v)[len(v) // 2]) for k, v in values.items()}

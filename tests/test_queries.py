@@ -36,7 +36,6 @@ def test_registry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {n for n in QUERIES if n not in ORACLES} == {
-        "ml4_ml5_ml6_network",
         "ml7_recording_scores",
         "ml8_catalogue_scores",
     }

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pitchloom.queries import live
 from pitchloom.streaming import clips, feedback
 
 SCHEMA = "recording_id string, started_at timestamp, ts double, f0_hz double, tonic_hz double"
@@ -62,3 +63,38 @@ def test_running_corrections(spark, tmp_path):
     a = [(r.n_corrections, r.retrain_ready) for r in states if r.actual_class == "A"]
     assert len(a) == 2 and a[-1] == (55, True) and not a[0][1]
     assert [r.n_corrections for r in states if r.actual_class == "B"] == [0, 0]
+
+
+def test_partial_counts_in_any_order_and_negative_times(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    early = [("a", pd.Timestamp("2024-01-01").to_pydatetime(), t, 200.0, 150.0) for t in (-5.0, -15.0, -0.1)]
+    whole = frames(spark).union(spark.createDataFrame(early, SCHEMA))
+    whole.orderBy(F.col("ts").desc()).repartition(5).write.parquet(src)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    clips.write_partial_counts(stream, out, str(tmp_path / "cp")).awaitTermination()
+    got = sorted(map(key, clips.summed_counts(spark.read.parquet(out)).collect()))
+    assert got == sorted(map(key, clips.clip_histogram(clips.clip_bins(frames(spark))).collect()))
+    assert clips.clip_bins(spark.createDataFrame(early, SCHEMA)).count() == 0
+
+
+def test_streams_read_a_file_or_a_folder_of_part_files(spark, tmp_path):
+    for name, parts in (("one", 1), ("many", 4)):
+        sf = tmp_path / name
+        sf.mkdir()
+        spark.range(1000).repartition(parts).write.parquet(str(sf / "events.parquet"))
+        if parts == 1:
+            (part,) = (sf / "events.parquet").glob("part-*.parquet")
+            part.rename(sf / "single")
+            (sf / "events.parquet").rename(sf / "folder")
+            (sf / "single").rename(sf / "events.parquet")
+        out = str(tmp_path / f"out-{name}")
+        run = (
+            live.stream_table(spark, str(sf), "events")
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", str(tmp_path / f"cp-{name}"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+        assert spark.read.parquet(out).count() == 1000
