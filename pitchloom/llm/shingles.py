@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=3)
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of ``base`` modulo 2**64, and of its inverse."""
     out = []
@@ -55,12 +55,26 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(begin, borders), prepend=0)
 
 
+CHUNK_BYTES = 500_000
+
+
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """Per text its sorted distinct hashed n-grams.
 
     A text of fewer than ``n`` words has its whole sequence as the only one; null and
-    texts without words have none.
+    texts without words have none. Texts are hashed some at a time, each one whole.
     """
+    out, some, held = [], [], 0
+    for text in texts:
+        if some and held + len(text or b"") > CHUNK_BYTES:
+            out += _sets(some, n)
+            some, held = [], 0
+        some.append(text)
+        held += len(text or b"")
+    return out + _sets(some, n) if some else out
+
+
+def _sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     words, counts = word_hashes([t or b"" for t in texts])
     out = []
     ends = np.cumsum(counts)
