@@ -76,11 +76,12 @@ CLIP_KEY = ("recording_id", "tile", "clip_start")
 
 
 def quarter_segments(
-    recordings: DataFrame, integer: bool = False, duration: str = "duration_s"
+    recordings: DataFrame, integer: bool = False, duration: str = "duration_s", whole_only: str | None = None
 ) -> DataFrame:
     """Three 90 s segments at the quarter points of a long input, else the whole.
 
     ``integer`` is the catalogue rule: whole-second quarters, no shortening.
+    ``whole_only`` names a flag for inputs that are taken as one whatever their length.
     """
     dur = F.col(duration)
     quarter = F.floor(dur / 4) if integer else dur / 4
@@ -100,7 +101,10 @@ def quarter_segments(
         F.lit(0.0).alias("seg_start"),
         dur.cast("double").alias("seg_dur"),
     )
-    segs = F.when(dur > LONG_S, F.array(seg(1), seg(2), seg(3))).otherwise(F.array(whole))
+    long = dur > LONG_S
+    if whole_only:
+        long = long & ~F.col(whole_only)
+    segs = F.when(long, F.array(seg(1), seg(2), seg(3))).otherwise(F.array(whole))
     return recordings.select("*", F.inline(segs))
 
 
@@ -130,3 +134,20 @@ def window_frames(frames: DataFrame, windows: DataFrame, tile_s: float = LONG_S)
 def durations(frames: DataFrame, hop: float) -> DataFrame:
     """Recording length from its last frame."""
     return frames.groupBy("recording_id").agg((F.max("ts") + hop).alias("duration_s"))
+
+
+def known_durations(frames: DataFrame, recordings: DataFrame, hop: float) -> DataFrame:
+    """``recordings`` with every ``duration_s`` filled in, and ``unknown`` where it was missing.
+
+    Null, zero and negative durations are missing; the frames tell how long those
+    recordings are. Only their frames are looked at.
+    """
+    missing = recordings.filter(~F.coalesce(F.col("duration_s") > 0, F.lit(False)))
+    found = durations(frames.join(missing.select("recording_id").distinct(), "recording_id", "left_semi"), hop)
+    found = found.select("recording_id", F.col("duration_s").alias("_found"))
+    given = F.when(F.col("duration_s") > 0, F.col("duration_s").cast("double"))
+    return (
+        recordings.join(found, "recording_id", "left")
+        .withColumns({"duration_s": F.coalesce(given, "_found"), "unknown": given.isNull()})
+        .drop("_found")
+    )

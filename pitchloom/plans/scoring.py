@@ -19,15 +19,17 @@ WINDOW_KEY = ("recording_id", "role", "seg_idx")
 def scoring_windows(recordings: DataFrame) -> DataFrame:
     """Windows to extract: ``whole`` for short inputs, else ``anchor`` and three ``segment``.
 
-    ``recordings`` carries ``recording_id, duration_s, override_hz``.
+    ``recordings`` carries ``recording_id, duration_s, override_hz, unknown``, see
+    :func:`segments.known_durations`; what had no duration is one ``whole``.
     """
-    segs = seg.quarter_segments(recordings)
-    role = F.when(F.col("duration_s") > seg.LONG_S, "segment").otherwise("whole")
+    segs = seg.quarter_segments(recordings, whole_only="unknown")
+    long = (F.col("duration_s") > seg.LONG_S) & ~F.col("unknown")
+    role = F.when(long, "segment").otherwise("whole")
     cols = ["recording_id", "override_hz", "role", "seg_idx", "win_start", "win_dur"]
     parts = segs.withColumns(
         {"role": role, "win_start": F.col("seg_start"), "win_dur": F.col("seg_dur")}
     ).select(*cols)
-    anchors = recordings.filter(F.col("duration_s") > seg.LONG_S).select(
+    anchors = recordings.filter(long).select(
         "recording_id",
         "override_hz",
         F.lit("anchor").alias("role"),
@@ -65,9 +67,10 @@ def score_recordings(
 
     Long inputs average the probabilities of the segments that have enough voice,
     all above one shared tonic; when none has, the anchor window stands in
-    (``fallback``). A recording that gives nothing is ``rejected``.
+    (``fallback``). A recording that gives nothing is ``rejected``. One without a known
+    duration is scored as a whole; its window is then as long as it is.
     """
-    in_windows = seg.window_frames(frames, scoring_windows(recordings))
+    in_windows = seg.window_frames(frames, scoring_windows(seg.known_durations(frames, recordings, hop)))
     found = leading_tonics(in_windows.filter("role <> 'segment'"), WINDOW_KEY, min_voiced)
     override = pitch.positive_or_null(F.col("override_hz"))
     ready = in_windows.join(found, "recording_id", "left").withColumns(
@@ -137,10 +140,12 @@ def score_catalogue(
 
     Whole-second quarters; without an override the first segment with enough
     voice sets the tonic for the later ones. ``items`` carries ``recording_id,
-    duration_s, override_hz``.
+    duration_s, override_hz``. Every item has a row: one whose segments all fail is
+    ``rejected``, one without a known duration is taken as a whole.
     """
     key = ["recording_id", "seg_idx"]
-    wins = seg.quarter_segments(items, integer=True).select(
+    known = seg.known_durations(frames, items, hop)
+    wins = seg.quarter_segments(known, integer=True, whole_only="unknown").select(
         "recording_id", "override_hz", "seg_idx",
         F.col("seg_start").alias("win_start"), F.col("seg_dur").alias("win_dur"),
     )
@@ -155,7 +160,6 @@ def score_catalogue(
         {
             "given_hz": F.coalesce(override, F.col("found_hz")),
             "as_is": F.col("leads") & override.isNull(),
-            "overridden": override.isNotNull(),
         }
     )
     feats = features.detected_features(
@@ -165,21 +169,25 @@ def score_catalogue(
         given="given_hz",
         as_is="as_is",
         min_voiced=min_voiced,
-        keep=["given_hz", "overridden"],
+        keep=["given_hz"],
         **options,
     )
     done = mean_probability(
         scorer(feats),
         ["recording_id"],
         tonic_hz=F.max("given_hz"),
-        tonic_overridden=F.max("overridden"),
     )
-    return done.select(
-        "recording_id",
-        F.col("n_vectors").alias("n_segments"),
-        "probability",
-        "tonic_hz",
-        "tonic_overridden",
+    return (
+        items.select("recording_id", "override_hz")
+        .join(done, "recording_id", "left")
+        .select(
+            "recording_id",
+            F.when(F.col("n_vectors").isNull(), "rejected").otherwise("ok").alias("status"),
+            F.coalesce("n_vectors", F.lit(0).cast("long")).alias("n_segments"),
+            "probability",
+            "tonic_hz",
+            F.coalesce(F.col("override_hz") > 0, F.lit(False)).alias("tonic_overridden"),
+        )
     )
 
 

@@ -244,6 +244,29 @@ def test_catalogue_scores_take_the_first_good_segment(spark):
     assert out["g"].tonic_hz == 99.0 and out["g"].tonic_overridden and out["g"].n_segments == 3
 
 
+@pytest.mark.parametrize("score", [scoring.score_recordings, scoring.score_catalogue])
+def test_unknown_durations_and_rejected_items(spark, score):
+    """Null, zero and negative durations: the whole input, however long; nothing vanishes."""
+    hop, long, short = 2.0, singer(51, 150, 2.0), singer(52, 40, 2.0)
+    silent = [(t, hz, False, 0.0) for t, hz, _, _ in short]
+    cases = {"null": (long, None), "zero": (long, 0.0), "minus": (short, -1.0), "silent": (silent, 80.0), "mute": (silent, None), "none": ([], None), "known": (short, 80.0)}
+    frames = tracked(spark, [(k, *r) for k, (v, _) in cases.items() for r in v])
+    rec = spark.createDataFrame([(k, d, None) for k, (_, d) in cases.items()], "recording_id string, duration_s double, override_hz double")
+    out = {r.recording_id: r for r in score(frames, rec, as_probability, hop=hop, min_voiced=20).collect()}
+    assert set(out) == set(cases)
+    for k, (rows, _) in cases.items():
+        voiced = kept(rows, 20) if rows else None
+        assert out[k].status == ("rejected" if voiced is None else "ok"), k
+        if voiced is None:
+            assert out[k].n_segments == 0 and out[k].probability is None
+            continue
+        hz = [r[1] for r in voiced]
+        tonic = brute.detect(hz)
+        assert out[k].n_segments == 1 and out[k].tonic_hz == pytest.approx(tonic, rel=1e-12)
+        want = brute.detected(hz, tonic, hop)[120:240]
+        assert np.allclose(out[k].probability, want, atol=1e-12), k
+
+
 def test_presentation(spark):
     df = spark.createDataFrame(
         [("a", [0.1, 0.845, 0.055], 138.591, False), ("b", None, None, False)],
