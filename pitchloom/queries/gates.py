@@ -246,23 +246,24 @@ def cosine_to_earlier(spark, sf):
 
 
 COMPARE_SQL = ELEMS + OLD + PICKS + f""",
-  chosen AS (SELECT label, pick, p.vec_id, pos, v, w FROM picks p JOIN pairs USING (vec_id, label)),
-  per AS (SELECT label, 'c' || (pos // 16) AS channel, pick, sum(v * w) / (sqrt(sum(v * v)) * sqrt(sum(w * w))) AS cosine
-          FROM chosen GROUP BY ALL),
+  chosen AS (SELECT label, pick, pos, v, w FROM picks p JOIN pairs USING (vec_id, label)),
   means AS (SELECT label, pos, avg(v) AS m, any_value(w) AS w FROM chosen GROUP BY ALL),
-  whole AS (SELECT label, 'full' AS channel, 'mean' AS pick, sum(m * w) / (sqrt(sum(m * m)) * sqrt(sum(w * w))) AS cosine
-            FROM means GROUP BY 1)
+  sides AS (SELECT label, 'c' || (pos // 16) AS channel, pick, pos % 16 AS bin, v, w FROM chosen
+            UNION ALL SELECT label, 'c' || (pos // 16), 'earlier', pos % 16, w, w FROM means
+            UNION ALL SELECT label, 'full', 'mean', pos, m, w FROM means),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY label, channel, pick ORDER BY v DESC, bin DESC) AS r FROM sides),
+  compared AS (SELECT label, channel, pick,
+      CASE WHEN pick <> 'earlier' THEN sum(v * w) / (sqrt(sum(v * v)) * sqrt(sum(w * w))) END AS cosine,
+      string_agg(CASE WHEN r <= 5 THEN bin END, ',' ORDER BY r) AS peak_bins FROM ranked GROUP BY label, channel, pick)
 """
 
 
-@query(
-    "vec4_channel_comparison",
-    COMPARE_SQL + f"SELECT label, channel, pick, {q6('cosine')} AS cosine FROM per UNION ALL SELECT label, channel, pick, {q6('cosine')} FROM whole",
-)
+@query("vec4_channel_comparison", COMPARE_SQL + f"SELECT label, channel, pick, peak_bins, {q6('cosine')} AS cosine FROM compared")
 def channel_comparison(spark, sf):
     picks = ranking.representatives(blocked_vectors(spark, sf), ["label"], "block", ["vec_id"])
     out = gate.compare_channels(old_features(spark, sf), picks, ["label"], WIDTH, NAMES)
-    return out.select("label", "channel", "pick", r6("cosine").alias("cosine"))
+    bins = F.array_join(F.transform("peaks", lambda p: p["bin"].cast("string")), ",")
+    return out.select("label", "channel", "pick", bins.alias("peak_bins"), r6("cosine").alias("cosine"))
 
 
 @query(
@@ -318,9 +319,13 @@ GATE_SQL = COMPARE_SQL + """,
     UNION ALL SELECT 'summary', 'labels_present', '', count(DISTINCT label) FROM embeddings
     UNION ALL SELECT 'summary', 'class_rows', CAST(n_nationkey AS VARCHAR), coalesce(n, 0) FROM nation LEFT JOIN cnt ON label = n_nationkey
     UNION ALL SELECT 'summary', 'max_over_min', '', max(n) / min(n) FROM cnt
+    UNION ALL SELECT 'summary', 'max_rows', '', max(n) FROM cnt
+    UNION ALL SELECT 'summary', 'min_rows', '', min(n) FROM cnt
     UNION ALL SELECT 'summary', 'median_rows', '', floor(median(n)) FROM cnt
     UNION ALL SELECT 'summary', 'mean_rows', '', avg(n) FROM cnt
     UNION ALL SELECT 'tonic', 'distinct_values', CAST(label AS VARCHAR), count(DISTINCT round(120e0 + label, 6)) FROM embeddings GROUP BY label
+    UNION ALL SELECT 'tonic', 'tonic_hz', CAST(label AS VARCHAR), 120e0 + label FROM cnt
+    UNION ALL SELECT 'tonic', 'clips', CAST(label AS VARCHAR), n FROM cnt
     UNION ALL SELECT 'sanity', 'nan_rows', '', count(*) FILTER (bad) FROM f
     UNION ALL SELECT 'sanity', 'inf_rows', '', count(*) FILTER (inf) FROM f
     UNION ALL SELECT 'sanity', 'zero_rows', channel, count(*) FILTER (zero) FROM z GROUP BY channel
@@ -328,8 +333,15 @@ GATE_SQL = COMPARE_SQL + """,
     UNION ALL SELECT 'sanity', 'std', channel, stddev_pop(v) FROM ch GROUP BY channel
     UNION ALL SELECT 'sanity', 'mean', 'overall', avg(v) FROM ch
     UNION ALL SELECT 'sanity', 'std', 'overall', stddev_pop(v) FROM ch
-    UNION ALL SELECT 'cross', 'cosine', label || '/' || channel || '/' || pick, cosine FROM per
-    UNION ALL SELECT 'cross', 'cosine', label || '/' || channel || '/' || pick, cosine FROM whole)
+    UNION ALL SELECT 'sanity', 'zero_channels', '', count(*) FILTER (zero) FROM z
+    UNION ALL SELECT 'earlier', 'mean', 'c' || (pos // 16), avg(w) FROM means GROUP BY ALL
+    UNION ALL SELECT 'earlier', 'std', 'c' || (pos // 16), stddev_pop(w) FROM means GROUP BY ALL
+    UNION ALL SELECT 'earlier', 'mean', 'overall', avg(w) FROM means
+    UNION ALL SELECT 'earlier', 'std', 'overall', stddev_pop(w) FROM means
+    UNION ALL SELECT 'alignment', 'keys', 'matched', count(*) FROM cnt
+    UNION ALL SELECT 'cross', 'cosine', label || '/' || channel || '/' || pick, cosine FROM compared WHERE pick <> 'earlier'
+    UNION ALL SELECT 'cross', 'peak_bin_' || r, label || '/' || channel || '/' || pick, bin FROM ranked WHERE r <= 5
+    UNION ALL SELECT 'cross', 'peak_value_' || r, label || '/' || channel || '/' || pick, v FROM ranked WHERE r <= 5)
 """
 
 
@@ -338,6 +350,6 @@ def gate_report(spark, sf):
     """All sections of the gate as one long table."""
     rows = blocked_vectors(spark, sf).withColumn("expert_tonic_hz", F.lit(120.0) + F.col("label"))
     out = gate.gate_report(
-        rows, old_features(spark, sf), class_list(spark, sf), ["label"], "block", ["vec_id"], WIDTH, NAMES
+        rows, old_features(spark, sf), class_list(spark, sf), ["label"], "block", ["vec_id"], WIDTH, NAMES, strict=True
     )
     return out.withColumn("value", r6("value"))
