@@ -114,10 +114,12 @@ def _rest(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated(batches: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(batch, shared): n-grams of the batch that other batches have, packed per bucket.
+    """(batch, shared): per bucket how often each n-gram of the batch occurs elsewhere.
 
-    Hashes are cut to the bucket and 32 bits here; two that fall together count as
-    repeated in both batches, which costs a little work and loses nothing.
+    A batch sends its distinct n-grams in order and gets one small number for each, in
+    the same order: 0 if it is the only one to have it, else the order of magnitude of how
+    many have. Hashes are cut to the bucket and 32 bits here; two that fall together count as
+    repeated wherever they are, which costs a little work and loses nothing.
     """
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,30 +138,16 @@ def repeated(batches: DataFrame, n: int, buckets: int) -> DataFrame:
                 )
 
     def answer(bucket: pa.Table) -> pa.Table:
-        parts = [np.unique(np.frombuffer(g, np.uint32)) for g in bucket.column("rest").to_pylist()]
-        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-        rest = np.concatenate(parts)
-        order = np.argsort(rest, kind="stable")
-        value, first, count = np.unique(rest[order], return_index=True, return_counts=True)
-        often = np.repeat(count, count)
-        order, often = order[often > 1], often[often > 1]
-        by_owner = np.argsort(owner[order], kind="stable")
-        order, often = order[by_owner], np.ceil(np.log2(often[by_owner])).astype(np.uint8)
-        cuts = np.searchsorted(owner[order], np.arange(len(parts) + 1))
-        spans = list(zip(cuts, cuts[1:]))
-        return pa.table(
-            [
-                bucket.column("bucket"),
-                bucket.column("batch"),
-                pa.array([rest[order[a:b]].tobytes() for a, b in spans], pa.binary()),
-                pa.array([often[a:b].tobytes() for a, b in spans], pa.binary()),
-            ],
-            ["bucket", "batch", "rest", "often"],
-        )
+        parts = [np.frombuffer(g, np.uint32) for g in bucket.column("rest").to_pylist()]
+        _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        often = np.ceil(np.log2(count)).astype(np.uint8)[place]
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        packed = [zstandard.compress(p.tobytes(), 1) for p in np.split(often, cuts)]
+        return pa.table([bucket.column("bucket"), bucket.column("batch"), pa.array(packed, pa.binary())], ["bucket", "batch", "often"])
 
     sent = batches.select("batch", "sizes", "data").mapInArrow(send, "bucket int, batch long, rest binary")
-    back = sent.groupBy("bucket").applyInArrow(answer, "bucket int, batch long, rest binary, often binary")
-    return back.filter(F.length("rest") > 0).groupBy("batch").agg(F.collect_list(F.struct("bucket", "rest", "often")).alias("shared"))
+    back = sent.groupBy("bucket").applyInArrow(answer, "bucket int, batch long, often binary")
+    return back.groupBy("batch").agg(F.collect_list(F.struct("bucket", "often")).alias("shared"))
 
 
 def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
@@ -185,21 +173,18 @@ def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFram
         for b in rows:
             for nodes, sizes, data, shared in zip(*(b.column(c).to_pylist() for c in range(4))):
                 sets = shingle_sets(_unpack(data, sizes), n)
-                keys, often = [], []
-                for s in shared or ():
-                    keys.append(np.frombuffer(s["rest"], np.uint32) + np.uint64(s["bucket"] << 32))
-                    often.append(np.frombuffer(s["often"], np.uint8))
-                keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-                often = np.concatenate([np.zeros(0, np.uint8), *often])[np.argsort(keys)]
-                keys.sort()
                 # How often an n-gram occurs: 0 once, 1 in this batch alone, else 1 more
                 # than the logarithm of the number of batches.
-                flat = np.concatenate(sets)
-                own, back, count = np.unique(flat, return_inverse=True, return_counts=True)
-                known = (own % np.uint64(buckets)) * np.uint64(1 << 32) + _rest(own, buckets)
-                at = np.minimum(np.searchsorted(keys, known), max(0, len(keys) - 1))
-                elsewhere = keys[at] == known if len(keys) else np.zeros(len(own), bool)
-                level = np.where(elsewhere, often[at] + 1 if len(keys) else 0, count > 1).astype(np.int64)[back]
+                own, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+                bucket = (own % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                level = (count > 1).astype(np.int64)
+                for s in shared or ():
+                    often = np.frombuffer(zstandard.decompress(s["often"]), np.uint8)
+                    place = order[cuts[s["bucket"]] : cuts[s["bucket"] + 1]]
+                    level[place] = np.where(often > 0, often + np.int64(1), level[place])
+                level = level[back]
                 seen, end = set(), 0
                 for node, grams in zip(nodes, sets):
                     grade, end = level[end : end + len(grams)], end + len(grams)
