@@ -48,15 +48,16 @@ def clip_dataset(
 ) -> DataFrame:
     """Labelled clip features; stops when any recording of a known class has no tonic.
 
-    ``recordings`` carries ``recording_id, class_name, duration_s``; classes that
-    the class list does not know are left out.
+    ``recordings`` carries ``recording_id, class_name, duration_s, audio_path``,
+    ``classes`` has ``class_id, class_name, label``; classes that the class list does not
+    know are left out. Every clip tells its class id and the file it comes from.
     """
     known = cat.known_items(recordings, classes, "class_name")
     cat.require_complete(known, tonics, ["recording_id"])
     work = known.join(tonics.withColumnRenamed("tonic_hz", "expert_tonic_hz"), "recording_id").join(
-        classes.select("class_name", "label"), "class_name"
+        classes.select("class_name", "class_id", "label"), "class_name"
     )
-    rows = features.clip_features(frames, work, keep=["label", "class_name"], **options)
+    rows = features.clip_features(frames, work, keep=["label", "class_name", "class_id", "audio_path"], **options)
     return rows.select(
         "*", F.lit("detected").alias("method"), F.lit("clips").alias("source")
     ).withColumns({c: F.round(c, 2) for c in ("clip_start", "clip_dur")})

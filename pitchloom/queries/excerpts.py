@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import histograms, order_stats, segments as seg, tonic
 from ..functions import pitch
-from ..plans import diagnostics, features
+from ..plans import dataset, diagnostics, features
 from .contours import FOLD_SQL, KEPT_SQL, kept_in_excerpts
 from .registry import fold_sql, frames_sql, pc_bin_sql, q6, query, r6
 
@@ -354,3 +354,30 @@ def clip_preflight(spark, sf):
         r6("peak_value").alias("peak_value"),
         "nonzero_bins",
     )
+
+
+@query(
+    "feat5_clip_dataset",
+    CLIP_FEATURES_SQL
+    + """SELECT recording_id, CAST(CAST(recording_id AS BIGINT) % 5 AS INTEGER) AS label,
+           'id-' || CAST(recording_id AS BIGINT) % 5 AS class_id, 'class ' || CAST(recording_id AS BIGINT) % 5 AS class_name,
+           'audio/' || recording_id || '.wav' AS audio_path, 'detected' AS method, 'clips' AS source, clip_start, clip_dur
+    FROM ready WHERE CAST(recording_id AS BIGINT) % 5 <> 4 GROUP BY recording_id, clip_start, clip_dur""",
+)
+def clip_dataset(spark, sf):
+    """The job with its checks: labels, class ids and files of the clips of known classes."""
+    f, r = recs(spark, sf)
+    k = F.col("recording_id").cast("long") % 5
+    rec = r.select(
+        "recording_id",
+        "duration_s",
+        F.concat(F.lit("class "), k).alias("class_name"),
+        F.concat(F.lit("audio/"), "recording_id", F.lit(".wav")).alias("audio_path"),
+    )
+    # The list lacks one of the classes.
+    classes = r.select(k.cast("int").alias("label")).distinct().filter("label <> 4").select(
+        "label", F.concat(F.lit("class "), "label").alias("class_name"), F.concat(F.lit("id-"), "label").alias("class_id")
+    )
+    tonics = r.select("recording_id", F.col("expert_tonic_hz").alias("tonic_hz"))
+    out = dataset.clip_dataset(f, rec, tonics, classes, hop=1.0, min_voiced=15, **LOOSE)
+    return out.select("recording_id", "label", "class_id", "class_name", "audio_path", "method", "source", "clip_start", "clip_dur")

@@ -33,7 +33,10 @@ def _is_content() -> Column:
 
 
 def parse_contour(lines: DataFrame) -> DataFrame:
-    """``recording_id, ts, f0_hz`` from lines of ``seconds hertz``."""
+    """``recording_id, ts, f0_hz`` from lines of ``seconds hertz``.
+
+    Lines that cannot be read are left out; :func:`dropped_lines` counts them.
+    """
     return (
         lines.filter(_is_content())
         .select("recording_id", _field(1).alias("ts"), _field(2).alias("f0_hz"))
@@ -41,6 +44,15 @@ def parse_contour(lines: DataFrame) -> DataFrame:
     )
 
 
+def dropped_lines(lines: DataFrame) -> DataFrame:
+    """``recording_id, reason, n``: content lines of contours that give no frame."""
+    reason = (
+        F.when(_field(1).isNull(), "no time").when(_field(2).isNull(), "no frequency")
+    )
+    bad = lines.filter(_is_content()).select("recording_id", reason.alias("reason")).filter("reason is not null")
+    return bad.groupBy("recording_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_contours(spark: SparkSession, root: str) -> DataFrame:
     return parse_contour(_lines(spark, root, CONTOUR_EXT))
 
@@ -52,9 +64,21 @@ def with_frame_index(contour: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
 
 
 def parse_tonics(files: DataFrame) -> DataFrame:
-    """``recording_id, tonic_hz`` from whole one-number files; unreadable ones drop out."""
-    tonic = F.trim(F.regexp_replace("value", r"\s+", " ")).try_cast("double")
-    return files.select("recording_id", tonic.alias("tonic_hz")).filter("tonic_hz is not null")
+    """``recording_id, tonic_hz`` from whole one-number files.
+
+    Files that cannot be read are left out; :func:`dropped_tonics` names them.
+    """
+    return files.select("recording_id", _tonic().alias("tonic_hz")).filter("tonic_hz is not null")
+
+
+def _tonic() -> Column:
+    return F.trim(F.regexp_replace("value", r"\s+", " ")).try_cast("double")
+
+
+def dropped_tonics(files: DataFrame) -> DataFrame:
+    """``recording_id, reason``: tonic files that are empty or hold no single number."""
+    reason = F.when(F.trim(F.regexp_replace("value", r"\s+", " ")) == "", "empty").otherwise("not a number")
+    return files.filter(_tonic().isNull()).select("recording_id", reason.alias("reason"))
 
 
 def read_tonics(spark: SparkSession, root: str) -> DataFrame:

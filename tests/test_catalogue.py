@@ -231,12 +231,16 @@ def test_clip_dataset_stops_without_tonics(spark):
         [("r", i * 0.5, 150.0 + i % 7, True, 0.9) for i in range(100)],
         "recording_id string, ts double, f0_hz double, voiced boolean, voiced_prob double",
     )
-    rec = spark.createDataFrame([("r", "A", 50.0), ("u", "Unknown", 50.0)], "recording_id string, class_name string, duration_s double")
-    classes = spark.createDataFrame([("A", 4)], "class_name string, label int")
+    rec = spark.createDataFrame(
+        [("r", "A", 50.0, "a/r.wav"), ("u", "Unknown", 50.0, "u.wav")],
+        "recording_id string, class_name string, duration_s double, audio_path string",
+    )
+    classes = spark.createDataFrame([("A", "id-a", 4)], "class_name string, class_id string, label int")
     tonics = spark.createDataFrame([("r", 150.0)], "recording_id string, tonic_hz double")
     rows = dataset.clip_dataset(frames, rec, tonics, classes, hop=0.5).collect()
     assert sorted(r.clip_start for r in rows) == [0.0, 10.0, 20.0, 30.0]
-    assert {(r.label, r.method, r.source, r.expert_tonic_hz) for r in rows} == {(4, "detected", "clips", 150.0)}
+    seen = {(r.label, r.class_id, r.audio_path, r.method, r.source, r.expert_tonic_hz) for r in rows}
+    assert seen == {(4, "id-a", "a/r.wav", "detected", "clips", 150.0)}
     with pytest.raises(cat.IncompleteError):
         dataset.clip_dataset(frames, rec, tonics.filter("false"), classes)
 
@@ -263,3 +267,15 @@ def test_json_documents_and_reports(spark, tmp_path):
     for _ in range(2):
         tables.append_feedback(fb, str(tmp_path / "feedback"))
     assert spark.read.parquet(str(tmp_path / "feedback")).count() == 2
+
+
+def test_unreadable_lines_and_files_are_counted(spark):
+    lines = spark.createDataFrame(
+        [("a", "0.0 100.0"), ("a", "x 1"), ("a", "1.0"), ("a", "2.0 y"), ("a", "# note"), ("a", " "), ("b", "1 2 3")],
+        "recording_id string, value string",
+    )
+    assert {(r.recording_id, r.reason, r.n) for r in contours.dropped_lines(lines).collect()} == {("a", "no time", 1), ("a", "no frequency", 2)}
+    assert contours.parse_contour(lines).count() == 2
+    files = spark.createDataFrame([("a", " 150.5\n"), ("b", ""), ("c", "1 2"), ("d", "\n \t")], "recording_id string, value string")
+    assert {(r.recording_id, r.reason) for r in contours.dropped_tonics(files).collect()} == {("b", "empty"), ("c", "not a number"), ("d", "empty")}
+    assert [r.tonic_hz for r in contours.parse_tonics(files).collect()] == [150.5]
