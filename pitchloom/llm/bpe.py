@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import ship
+
 MEMO_WORDS = 400_000
 CHUNK_CHARS = 2_000_000
 END = "</w>"
@@ -244,6 +246,7 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
     three names that ``df`` already has are replaced; all others and the number of
     rows stay, repeated rows included. Texts are encoded whole, however long.
     """
+    ship(df.sparkSession)
     with open(vocabulary_file, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
     kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])

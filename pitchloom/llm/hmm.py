@@ -333,7 +333,7 @@ def score(
 ) -> DataFrame:
     """Fit on the rows where ``training`` holds and score all rows.
 
-    Adds ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``,
+    Instead of the text there are ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``,
     ``base_score`` (add-0.1 unigram, log10) and ``score`` (the model's log10
     probability of the text). Null counts as the empty text, which is its end alone;
     a null ``training`` counts as false. Columns with these names are replaced,

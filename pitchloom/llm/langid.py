@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import ship
+
 SAMPLE_CHARS = 20_000
 LETTERS = 62
 STRETCH = 1024
@@ -208,6 +210,7 @@ def identify(df: DataFrame, sample: Sample, text: str = "text") -> DataFrame:
     A null text, one without a letter, or an empty sample gives ``und`` and 0.
     Columns of these names are replaced; every row is kept.
     """
+    ship(df.sparkSession)
     out = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("lang string, score double")

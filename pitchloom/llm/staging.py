@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import weakref
+import zipfile
+from pathlib import Path
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
 
+_shipped: weakref.WeakSet[SparkContext] = weakref.WeakSet()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, whose functions run in their Python workers.
+
+    Spark hands the archive out, so it need not be installed there; once per context.
+    """
+    package = Path(__file__).resolve().parents[1]
+    if spark.sparkContext in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(spark.sparkContext)
+
 
 class Stage:
     """Folder of one run of an operator; its tables cut the lineage.
@@ -16,6 +40,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark = spark
         self.folder = scratch_folder(spark, name)
 
