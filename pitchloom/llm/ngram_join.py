@@ -151,7 +151,11 @@ def repeated(batches: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """The repeated n-grams among the first of each node, packed per bucket."""
+    """The repeated n-grams among the first of each node, packed per bucket.
+
+    A node that has any is also a row of its own, with bucket -1, its batch and its text:
+    only these can be in a pair, so the other texts need not travel again.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in COLUMNS]
@@ -164,15 +168,25 @@ def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFram
             for h in held:
                 h.clear()
             total = 0
+            packed = [pa.array([p[c] for _, p in dealt], pa.binary()) for c in range(len(COLUMNS))]
+            return rows_of([b for b, _ in dealt], packed, [None] * len(dealt), None, [None] * len(dealt))
+
+        def rows_of(bucket: list, packed: list, node: list, batch: int | None, text: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in dealt], pa.int32())]
-                + [pa.array([p[c] for _, p in dealt], pa.binary()) for c in range(len(COLUMNS))],
-                ["bucket", *COLUMNS],
+                [
+                    pa.array(bucket, pa.int32()),
+                    *packed,
+                    pa.array([batch] * len(bucket), pa.int64()),
+                    pa.array(node, pa.int64()),
+                    pa.array(text, pa.binary()),
+                ],
+                ["bucket", *COLUMNS, "batch", "_node", "_text"],
             )
 
         for b in rows:
-            for nodes, sizes, data, shared in zip(*(b.column(c).to_pylist() for c in range(4))):
-                sets = shingle_sets(_unpack(data, sizes), n)
+            for batch, nodes, sizes, data, shared in zip(*(b.column(c).to_pylist() for c in range(5))):
+                texts, own_text = _unpack(data, sizes), {}
+                sets = shingle_sets(texts, n)
                 # How often an n-gram occurs: 0 once, 1 in this batch alone, else 1 more
                 # than the logarithm of the number of batches.
                 own, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -186,22 +200,28 @@ def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFram
                     level[place] = np.where(often > 0, often + np.int64(1), level[place])
                 level = level[back]
                 seen, end = set(), 0
-                for node, grams in zip(nodes, sets):
+                for node, grams, text in zip(nodes, sets, texts):
                     grade, end = level[end : end + len(grams)], end + len(grams)
                     if node is None or node in seen:  # a copy adds nothing
                         continue
                     seen.add(node)
                     first = np.lexsort((grams, grade))[: prefix(len(grams), percent)]
                     first = grams[first[grade[first] > 0]]
+                    if len(first):
+                        own_text[node] = text
                     for h, v in zip(held, (first, np.full(len(first), node), np.full(len(first), len(grams), np.int32))):
                         h.append(v)
                     total += len(first)
+                gaps = [pa.nulls(len(own_text), pa.binary()) for _ in COLUMNS]
+                yield rows_of([-1] * len(own_text), gaps, list(own_text), batch, list(own_text.values()))
                 if total >= FLUSH:
                     yield flush()
         yield flush()
 
     packed = ", ".join(f"{c} binary" for c in COLUMNS)
-    return batches.select("nodes", "sizes", "data", "shared").mapInArrow(run, f"bucket int, {packed}")
+    return batches.select("batch", "nodes", "sizes", "data", "shared").mapInArrow(
+        run, f"bucket int, {packed}, batch long, _node long, _text binary"
+    )
 
 
 def chains(packed: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +242,8 @@ def chains(packed: DataFrame, percent: int) -> DataFrame:
         child, parent = forest.edges()
         return pa.table([pa.array(child, pa.int64()), pa.array(parent, pa.int64())], ["child", "parent"])
 
-    return packed.groupBy("bucket").applyInArrow(run, "child long, parent long")
+    entries = packed.filter("bucket >= 0").select("bucket", *COLUMNS)
+    return entries.groupBy("bucket").applyInArrow(run, "child long, parent long")
 
 
 def _may_overlap(a: np.ndarray, b: np.ndarray, least: int, depth: int = 2) -> bool:
@@ -281,26 +302,6 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
     return links
 
 
-TASK = "_task long, _cluster long, _i long, _j long, _block long, _node long"
-
-
-def texts_of(batches: DataFrame) -> DataFrame:
-    """One row per entry of ``asked``: its columns and the text it names in the batch."""
-    names = ["_task", "_cluster", "_i", "_j", "_block", "_node"]
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for sizes, data, asked in zip(*(b.column(c).to_pylist() for c in range(3))):
-                texts = _unpack(data, sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a[c] for a in asked], pa.int64()) for c in names]
-                    + [pa.array([texts[a["_at"]] for a in asked], pa.binary())],
-                    [*names, "_text"],
-                )
-
-    return batches.select("sizes", "data", "asked").mapInArrow(run, f"{TASK}, _text binary")
-
-
 def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
     """Links found in each task."""
 
@@ -323,18 +324,19 @@ def components(rows: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame
     buckets = max(64, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     batches = stage.keep(batches_of(rows, n), "batches")
     names = {"rows": "_row", "keys": "_key", "nodes": "_node", "grams": "n_shingles"}
-    places = batches.select("batch", F.posexplode(F.arrays_zip(*names)).alias("_at", "r"))
-    places = places.select("batch", "_at", *(F.col(f"r.{c}").alias(to) for c, to in names.items()))
+    places = batches.select("batch", F.explode(F.arrays_zip(*names)).alias("r"))
+    places = places.select("batch", *(F.col(f"r.{c}").alias(to) for c, to in names.items()))
     full = places.filter("_node is not null")
     known = batches.join(repeated(batches, n, buckets), "batch", "left")
-    clusters = connected(chains(prefixes(known, n, percent, buckets), percent), stage, "clusters")
+    packed = stage.keep(prefixes(known, n, percent, buckets), "prefixes")
+    clusters = connected(chains(packed, percent), stage, "clusters")
 
     classes = full.groupBy("_node").agg(
-        F.min("_key").alias("_first"), F.min(F.struct("batch", "_at")).alias("_place"), F.min("n_shingles").alias("_size")
+        F.min("_key").alias("_first"), F.min("batch").alias("batch"), F.min("n_shingles").alias("_size")
     )
     classes = stage.keep(classes, "classes")
     members = clusters.withColumnRenamed("node", "_node").join(classes, "_node")
-    members = stage.keep(members.select("_place.*", "_node", F.col("component").alias("_cluster"), "_size"), "members")
+    members = stage.keep(members.select("batch", "_node", F.col("component").alias("_cluster"), "_size"), "members")
     sizes = members.groupBy("_cluster").agg(F.ceil(F.sum("_size") / TASK_GRAMS).alias("_blocks"))
     total = members.agg(F.sum("_size")).first()[0] or 0
     bins = 2 * (total // TASK_GRAMS) + 8
@@ -349,10 +351,10 @@ def components(rows: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame
                 F.xxhash64("_cluster", "_i", "_j")
             ),
         )
-        .groupBy("batch")
-        .agg(F.collect_list(F.struct("_at", "_task", "_cluster", "_i", "_j", "_block", "_node")).alias("asked"))
+        .select("batch", "_node", "_task", "_cluster", "_i", "_j", "_block")
     )
-    tasks = texts_of(batches.select("batch", "sizes", "data").join(asked, "batch"))
+    texts = packed.filter("bucket < 0").select("batch", "_node", "_text")
+    tasks = texts.join(asked, ["batch", "_node"])
     links = connected(verified(tasks, n, percent), stage, "links").withColumnRenamed("node", "_node")
     smallest = links.join(classes, "_node").groupBy("component").agg(F.min("_first").alias("_least"))
     linked = links.join(smallest, "component").select("_node", F.lit(True).alias("_linked"), "_least")
