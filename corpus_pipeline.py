@@ -17,13 +17,19 @@ from pyspark.sql import functions as F
 from pitchloom.llm import bpe, langid, mixing, ngram_join, repeats
 from pitchloom.llm.staging import Stage, with_row_key
 
-# Columns the stages make on the way; a column of ``docs`` with such a name is kept.
 ROW = "_row"
 
 
-def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key per row, written so that the key stays."""
-    return Stage(spark, name).keep(with_row_key(docs, ROW), "rows")
+def _aside(docs: DataFrame, *made: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns out of the way of those a stage makes, and how to get them back."""
+    renamed = {c: f"_docs_{c}" for c in docs.columns if c in made}
+    return docs.withColumnsRenamed(renamed), [F.col(renamed.get(c, c)).alias(c) for c in docs.columns]
+
+
+def _keyed(spark: SparkSession, docs: DataFrame, name: str, *made: str) -> tuple[DataFrame, list[Column]]:
+    """:func:`_aside` with a key per row, written so that the key stays."""
+    rows, columns = _aside(docs, ROW, *made)
+    return Stage(spark, name).keep(with_row_key(rows, ROW), "rows"), columns
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     none has a label to learn from. ``lang`` is left as it is.
     """
     sample = langid.draw_sample(docs)
-    told = langid.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), sample)
-    return told.filter(F.col("lang_pred") != langid.UNKNOWN).select("doc.*")
+    rows, columns = _aside(docs, "lang_pred", "score")
+    return langid.identify(rows, sample).filter(F.col("lang_pred") != langid.UNKNOWN).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +50,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with the smallest id stays (null last), of rows with that id the first one read.
     Texts without words link with nothing and stay, as do groups without any id.
     """
-    rows = _keyed(spark, docs, "near")
+    rows, columns = _keyed(spark, docs, "near")
     found = ngram_join.similar(rows)
     # Without words each row is a group of its own, also where ids repeat.
     alone = F.when(F.col("n_shingles") == 0, F.col(ROW))
     first = found.groupBy("component_id", alone.alias("alone"), F.when(F.col("component_id").isNull(), F.col(ROW)).alias("nameless")).agg(
         F.min(F.struct(F.col("_key").isNull(), "_key", ROW)).alias("kept")
     )
-    return rows.join(first.select(F.col(f"kept.{ROW}").alias(ROW)), ROW).select(*docs.columns)
+    return rows.join(first.select(F.col(f"kept.{ROW}").alias(ROW)), ROW).select(*columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,14 +66,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``n_chars`` follows the text. A document of which nothing is left goes; one that
     was empty or null before stays as it was. Parts of characters at a cut are dropped.
     """
-    rows = _keyed(spark, docs, "passages")
+    rows, columns = _keyed(spark, docs, "passages", "n_removed", "n_bytes", "kept")
     cut = repeats.remove_repeats(rows).filter("n_removed > 0").select(ROW, "n_removed", "n_bytes", "kept")
     text = F.when(F.col("n_removed").isNotNull(), _decoded(F.col("kept"))).otherwise(F.col("text"))
     out = rows.join(cut, ROW, "left").filter("n_removed IS NULL OR n_removed < n_bytes").withColumn("text", text)
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_removed").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns)
 
 
 def _decoded(kept: Column) -> Column:
@@ -86,13 +92,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is there as often as the mix takes its words, to the nearest whole
     number: 0 to 3 times. Documents without words stay once.
     """
-    mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", "text")).rows
+    rows, columns = _aside(docs, "size", "source_size", "target", "taken", "times", ROW)
+    mixed = mixing.mix(rows).rows
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
     return (
-        mixed.select("doc", times.alias("times"))
+        mixed.withColumn("times", times)
         .filter("times > 0")
         .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select("doc.*")
+        .select(*columns)
     )
 
 

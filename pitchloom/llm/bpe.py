@@ -8,8 +8,8 @@ first with a stack of last tokens per depth, so a prefix that many words share i
 worked out once. Whether two tokens may stand side by side follows from the merges
 they were made by (``WordBpe.side_by_side``).
 
-Texts are encoded in Arrow batches on the executors. A worker keeps the words it
-has met and starts over beyond ``MEMO_WORDS``; nothing else outlives a batch.
+Texts are encoded in Arrow batches on the executors. A task keeps the words it
+has met and starts over beyond ``MEMO_WORDS``; nothing outlives the task.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .staging import ship
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 CHUNK_CHARS = 2_000_000
 END = "</w>"
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -255,22 +255,12 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(spec.value)
         gc.disable()  # the memo holds no cycles, and scanning it costs a third of the time
-        for batch in batches:
-            ids, shown, some, held = [], [], [], 0
-            for t in batch:
-                some.append(t.as_py() or "")
-                held += len(some[-1])
-                if held >= CHUNK_CHARS:
-                    for a, b in bpe.encode(some):
-                        ids.append(a)
-                        shown.append(b)
-                    some, held = [], 0
-            for a, b in bpe.encode(some):
-                ids.append(a)
-                shown.append(b)
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())], fields=list(kind)
-            )
+        try:
+            yield from _encoded(bpe, batches, kind)
+        finally:
+            # The worker may go on to other tasks, which need the room.
+            bpe.forget()
+            gc.enable()
 
     both = df.withColumn("_encoded", encoded(F.col(text)))
     return both.withColumns(
@@ -280,3 +270,22 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
             "decoded": F.col("_encoded.decoded"),
         }
     ).drop("_encoded")
+
+
+def _encoded(bpe: WordBpe, batches: Iterator[pa.Array], kind: pa.StructType) -> Iterator[pa.Array]:
+    for batch in batches:
+        ids, shown, some, held = [], [], [], 0
+        for t in batch:
+            some.append(t.as_py() or "")
+            held += len(some[-1])
+            if held >= CHUNK_CHARS:
+                for a, b in bpe.encode(some):
+                    ids.append(a)
+                    shown.append(b)
+                some, held = [], 0
+        for a, b in bpe.encode(some):
+            ids.append(a)
+            shown.append(b)
+        yield pa.StructArray.from_arrays(
+            [pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())], fields=list(kind)
+        )
