@@ -50,15 +50,14 @@ def path_of(url: Column) -> Column:
 def fixed(rules: list[FixedRule]) -> Column:
     """The longest rule that fits ``host`` and ``path``, as a struct, else null.
 
-    A host rule fits the host itself and its subdomains. Of two rules of one length the
+    A rule fits the host itself and its subdomains, where the path begins with the
+    rule's, which begins with a slash; so none fits a URL without a path. Of two rules of one length the
     one with the longer host, then the first by name.
     """
     order = sorted(rules, key=lambda r: (-len(r.name), -len(r.host), r.name))
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in reversed(order):
         fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith("/" + r.path)
-        if not r.path:
-            fits = (F.col("host") == r.host) | F.col("host").endswith("." + r.host)
         found = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
     return found
 

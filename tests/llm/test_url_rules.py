@@ -26,7 +26,7 @@ def plain(url):
     path = rest[: min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])]
     fit = [
         r for r in URL_RULES
-        if (host == r.host or host.endswith("." + r.host)) and (path.startswith("/" + r.path) if r.path else True)
+        if (host == r.host or host.endswith("." + r.host)) and path.startswith("/" + r.path)
     ]
     best = max(fit, key=lambda r: len(r.name), default=None)
     return host, path, best and best.name, best and best.verdict
