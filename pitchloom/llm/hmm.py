@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import Stage, with_row_key
 
@@ -138,7 +139,14 @@ def encode(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(vocab.frequent)
     first, classes = vocab.end + 1, len(vocab.distinct)
     extra = [f for f in df.schema.fields if f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)
+    schema = T.StructType(
+        [
+            *extra,
+            T.StructField("symbols", T.BinaryType()),
+            T.StructField("rare", T.ArrayType(T.BinaryType())),
+            T.StructField("often", T.ArrayType(T.LongType())),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, crc = shared.value.get, zlib.crc32
@@ -167,7 +175,7 @@ def encode(df: DataFrame, vocab: Vocabulary) -> DataFrame:
                 [f.name for f in extra] + ["symbols", "rare", "often"],
             )
 
-    return df.mapInArrow(run, f"{schema}, symbols binary, rare array<binary>, often array<long>")
+    return df.mapInArrow(run, schema)
 
 
 @dataclass
@@ -345,12 +353,11 @@ def score(
     kept = [c for c in df.columns if c not in (text, *made)]
     counts = stage.keep(word_counts(df.filter(trained).select(F.col(text).alias("_text"))), "counts")
     vocab = vocabulary(counts, frequent, classes)
-    source = df.withColumns({"_text": F.encode(F.col(text), "utf-8"), "_trained": trained})
+    # Other columns travel in a struct, out of the way of those made here.
+    aside = F.struct(*kept) if kept else F.lit(None).cast("string")
+    source = df.select(aside.alias("_kept"), trained.alias("_trained"), F.encode(F.col(text), "utf-8").alias("_text"))
     # A key that is written with the rows stays theirs whatever is run again.
-    rows = stage.keep(
-        encode(with_row_key(source.select(*kept, "_trained", "_text"), "_row"), vocab),
-        "symbols",
-    )
+    rows = stage.keep(encode(with_row_key(source, "_row"), vocab), "symbols")
     model = first_guess(vocab, states)
     for _ in range(rounds):
         model = reestimate(vocab, *expected_counts(rows.filter("_trained"), model))
@@ -393,12 +400,12 @@ def score(
     known = F.col("_words") if vocab.tokens else F.lit(0)
     none = {"_rare_known": 0, "_rare_logs": 0.0}
     return (
-        rows.select("_row", *kept)
+        rows.select("_row", "_kept")
         .join(walked, "_row")
         .join(looked_up, "_row", "left")
         .na.fill(none)
         .select(
-            *kept,
+            *(F.col("_kept").getField(c).alias(c) for c in kept),
             "n_tokens",
             (known + F.col("_rare_known")).cast("long").alias("n_known"),
             F.lit(vocab.tokens).cast("long").alias("train_tokens"),

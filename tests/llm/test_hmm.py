@@ -59,6 +59,7 @@ def test_base_and_counts_and_a_proper_model(spark):
         (6, "É\xa0b é\xa0B Σ"), (2, "the the cat"), (None, "the bird"), (7, "cat " * 3000),
     ]
     df = spark.createDataFrame([(*r, r[0] not in (5, 6), "x") for r in rows], "doc_id long, text string, learn boolean, score string")
+    df = df.withColumns({c: F.lit("y") for c in ("symbols", "rare", "_row", "word", "_kept")})
     got = hmm.score(df, F.col("learn"), frequent=2, classes=3, states=2, rounds=2)
     tokens = {r: [*hmm.words((r[1] or "").encode()), hmm.END] for r in rows}
     assert tokens[rows[5]] == ["É\xa0b".encode(), "é\xa0b".encode(), "Σ".encode(), hmm.END]
