@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .staging import ship
 
-MEMO_WORDS = 300_000
-CHUNK_CHARS = 2_000_000
+MEMO_WORDS = 120_000
+CHUNK_CHARS = 500_000
 END = "</w>"
 CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -274,18 +274,13 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
 
 def _encoded(bpe: WordBpe, batches: Iterator[pa.Array], kind: pa.StructType) -> Iterator[pa.Array]:
     for batch in batches:
-        ids, shown, some, held = [], [], [], 0
-        for t in batch:
-            some.append(t.as_py() or "")
-            held += len(some[-1])
-            if held >= CHUNK_CHARS:
-                for a, b in bpe.encode(some):
-                    ids.append(a)
-                    shown.append(b)
+        done, some, held = [], [], 0
+        for k in range(len(batch) + 1):
+            if k == len(batch) or held >= CHUNK_CHARS:
+                ids, shown = zip(*bpe.encode(some)) if some else ((), ())
+                done.append((pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())))
                 some, held = [], 0
-        for a, b in bpe.encode(some):
-            ids.append(a)
-            shown.append(b)
-        yield pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())], fields=list(kind)
-        )
+            if k < len(batch):
+                some.append(batch[k].as_py() or "")
+                held += len(some[-1])
+        yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*done)], fields=list(kind))
