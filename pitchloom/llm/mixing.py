@@ -31,7 +31,7 @@ SLOTS = 1 << 20  # slots in a mix, unless blocks reach MOST_WORDS
 MOST_WORDS = 4_096
 CHUNK_SLOTS = 1 << 14
 STRETCH_ROWS = 20_000
-BUCKET_BITS = 20
+BUCKET_SHIFT = 22  # points are dealt to 1024 tasks by their leading bits
 
 
 @dataclass
@@ -109,10 +109,10 @@ def _schedule(sources: DataFrame, total: int, words: int, stage: Stage) -> DataF
         F.floor(F.col("_low") / whole * POINTS).cast("long").alias("low"),
         F.floor((F.col("_low") + fine) / whole * POINTS).cast("long").alias("high"),
     ).filter("low < high")
-    bucket = lambda c: F.shiftright(c, 32 - BUCKET_BITS // 2)
+    bucket = lambda c: F.shiftright(c, BUCKET_SHIFT)
     starts = ends.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high") - 1)))).select(
         "bucket",
-        F.greatest("low", F.shiftleft("bucket", 32 - BUCKET_BITS // 2)).alias("point"),
+        F.greatest("low", F.shiftleft("bucket", BUCKET_SHIFT)).alias("point"),
         F.lit(None).cast("long").alias("slot"),
         "rank",
     )
