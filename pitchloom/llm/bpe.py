@@ -260,6 +260,7 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
         finally:
             # The worker may go on to other tasks, which need the room.
             bpe.forget()
+            vocabulary.cache_clear()
             gc.enable()
 
     both = df.withColumn("_encoded", encoded(F.col(text)))

@@ -32,7 +32,7 @@ from .staging import ship
 SAMPLE_CHARS = 20_000
 LETTERS = 62
 STRETCH = 1024
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 UNKNOWN = "und"
 
 Sample = tuple[tuple[str, str], ...]
