@@ -51,13 +51,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words link with nothing and stay, as do groups without any id.
     """
     rows, columns = _keyed(spark, docs, "near")
-    found = ngram_join.similar(rows)
+    stage = Stage(spark, "ngrams")
+    found = ngram_join.similar(rows, stage=stage)
     # Without words each row is a group of its own, also where ids repeat.
     alone = F.when(F.col("n_shingles") == 0, F.col(ROW))
     first = found.groupBy("component_id", alone.alias("alone"), F.when(F.col("component_id").isNull(), F.col(ROW)).alias("nameless")).agg(
         F.min(F.struct(F.col("_key").isNull(), "_key", ROW)).alias("kept")
     )
-    return rows.join(first.select(F.col(f"kept.{ROW}").alias(ROW)), ROW).select(*columns)
+    # Once it is known which rows stay, the tables that told are not needed.
+    kept = Stage(spark, "near").keep(first.select(F.col(f"kept.{ROW}").alias(ROW)), "kept")
+    stage.drop()
+    return rows.join(kept, ROW).select(*columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +70,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``n_chars`` follows the text. A document of which nothing is left goes; one that
     was empty or null before stays as it was. Parts of characters at a cut are dropped.
     """
-    rows, columns = _keyed(spark, docs, "passages", "n_removed", "n_bytes", "kept")
-    cut = repeats.remove_repeats(rows).filter("n_removed > 0").select(ROW, "n_removed", "n_bytes", "kept")
-    text = F.when(F.col("n_removed").isNotNull(), _decoded(F.col("kept"))).otherwise(F.col("text"))
-    out = rows.join(cut, ROW, "left").filter("n_removed IS NULL OR n_removed < n_bytes").withColumn("text", text)
+    rows, columns = _keyed(spark, docs, "passages", "n_removed", "n_bytes", "kept", "_had_text")
+    cut = repeats.remove_repeats(rows).select(ROW, "n_removed", "n_bytes", "kept")
+    # Texts come back from the operator, so those of ``rows`` need not meet them.
+    rest = rows.withColumn("_had_text", F.col("text").isNotNull()).drop("text")
+    out = rest.join(cut.filter("n_removed = 0 OR n_removed < n_bytes"), ROW)
+    out = out.withColumn("text", F.when(F.col("_had_text"), _decoded(F.col("kept"))))
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+        chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
 

@@ -366,7 +366,9 @@ def components(rows: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame
     return found.unionByName(apart)
 
 
-def similar(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(
+    df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", stage: Stage | None = None
+) -> DataFrame:
     """(_row, _key, n_shingles, component_id), one row per row of ``df``.
 
     Two rows link when the Jaccard similarity of their sets of ``n``-word n-grams is
@@ -375,8 +377,9 @@ def similar(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", t
     without words, and null, have 0 n-grams and link with nothing. Null keys count as
     no id: they take the component of their group, null if it has no other. Repeated
     rows link with each other. A column ``_row`` of distinct longs is used as row key; else one is made.
+    ``stage`` is where intermediate tables go, for callers that drop them.
     """
-    stage = Stage(df.sparkSession, "ngrams")
+    stage = stage or Stage(df.sparkSession, "ngrams")
     if "_row" not in df.columns:
         df = with_row_key(df, "_row")
     rows = df.select("_row", F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))

@@ -49,6 +49,11 @@ class Stage:
         df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Delete the tables, once nothing that is still to be computed reads them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """A key per row, also of equal rows. Stable only once the rows are written."""
