@@ -49,6 +49,19 @@ class Stage:
         df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_only(self, df: DataFrame, name: str) -> DataFrame:
+        """:meth:`keep`, and what was shuffled for the table goes once it is written."""
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, None)
+        self.spark.conf.set(setting, "true")
+        try:
+            return self.keep(df, name)
+        finally:
+            if before is None:
+                self.spark.conf.unset(setting)
+            else:
+                self.spark.conf.set(setting, before)
+
     def drop(self) -> None:
         """Delete the tables, once nothing that is still to be computed reads them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

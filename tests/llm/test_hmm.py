@@ -100,3 +100,23 @@ def test_training_raises_held_out_probability(spark):
     got = entry.queries()["op2_hidden_markov_score"](spark, "/root/testdata/sf0.001")
     r = got.filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
     assert r.n > 5 and r.s > r.b
+
+
+def test_what_is_rare_does_not_depend_on_how_many_words_there_are(spark):
+    few = [f"often often often w{k} w{k} w{k} once{k}" for k in range(20)]
+    many = few + [f"x{k} x{k} x{k}" for k in range(101_000)]
+    for texts in (few, many):
+        df = spark.createDataFrame([(t.encode(),) for t in texts], "_text binary")
+        vocab = hmm.vocabulary(hmm.word_counts(df), None, 64, hmm.OFTEN)
+        assert vocab.cut == hmm.OFTEN and vocab.n_frequent == 21 + len(texts) - 20
+        assert vocab.distinct.sum() == 20
+
+
+def test_parts_do_not_change_scores(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * j) % 17} v{k % 5}" for j in range(30)), k % 4 > 0) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").coalesce(2)
+    run = lambda: {r.doc_id: r.score for r in hmm.score(df, F.col("learn"), states=3, rounds=2, classes=8).collect()}
+    whole = run()
+    monkeypatch.setattr(hmm, "PART", 200)
+    parts = run()
+    assert len(whole) == 60 and all(parts[k] == pytest.approx(whole[k], rel=1e-3) for k in whole)
