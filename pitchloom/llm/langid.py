@@ -20,11 +20,11 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import ship
@@ -41,38 +41,69 @@ Sample = tuple[tuple[str, str], ...]
 def draw_sample(df: DataFrame, lang: str = "lang", text: str = "text", chars: int = SAMPLE_CHARS) -> Sample:
     """(language, text) pairs, sorted; rows without label, text or letters are left out.
 
-    Documents longer than a quarter of the sample are not drawn, so no single one
-    makes up a language, unless a language has no shorter ones.
+    Documents longer than a quarter of the sample are drawn only where all shorter ones
+    of the language do not fill it, so that no single one makes up a language that has others.
     """
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     rows = rows.withColumn("n", F.length("text")).withColumn("draw", F.xxhash64("text"))
+    # Copies count once: they share a draw and are drawn together. One small row per
+    # language comes to the driver.
     short = F.col("n") <= chars // 4
-    sizes = rows.groupBy("lang").agg(
-        F.sum(F.when(short, F.col("n"))).alias("short"),
-        F.min(F.when(~short, F.struct("n", "draw"))).alias("least"),
-    )
-    # Per language the part of the hash range to draw, twice what the sample needs so
-    # that it fills up. One small row per language comes to the driver.
-    drawn = F.lit(False)
-    for r in sizes.collect():
-        if r.short:
-            share = min(1.0, 2.0 * chars / r.short)
-            cut = 2**63 - 1 if share >= 1 else int(share * 2.0**64 - 2.0**63)
-            own = short & (F.col("draw") <= cut)
-        else:
-            own = (F.col("n") == r.least.n) & (F.col("draw") == r.least.draw)
-        drawn = drawn | ((F.col("lang") == r.lang) & own)
-    drawn = rows.filter(drawn)
-    texts: dict[str, str] = {}
-    for r in sorted(drawn.select("lang", "draw", "text").distinct().collect(), key=lambda r: (r.lang, r.draw, r.text)):
-        had = texts.get(r.lang, "")
-        if len(had) < chars:
-            texts[r.lang] = (had + " " + r.text)[: chars + 1]
+    alone = rows.select("lang", "draw", "n").distinct()
+    size = F.sum(F.when(short, F.col("n"))).alias("short")
+    sizes = {r.lang: r.short or 0 for r in alone.groupBy("lang").agg(size).collect()}
+    found: dict[str, set[tuple[int, str]]] = {lang: set() for lang in sizes}
+
+    def draw(own: dict[str, Column]) -> None:
+        drawn = functools.reduce(lambda a, b: a | b, ((F.col("lang") == lang) & c for lang, c in own.items()))
+        for r in rows.filter(drawn).select("lang", "draw", "text").distinct().collect():
+            found[r.lang].add((r.draw, r.text))
+
+    def lacking(langs: Iterable[str]) -> list[str]:
+        return [lang for lang in langs if sum(len(t) for _, t in found[lang]) < chars]
+
+    # Per language the part of the hash range to draw, twice what the sample needs, and
+    # more of it as long as the sample is not full.
+    share = {lang: min(1.0, 2.0 * chars / n) for lang, n in sizes.items() if n}
+    todo = list(share)
+    while todo:
+        draw({lang: short & (F.col("draw") <= _cut(share[lang])) for lang in todo})
+        todo = [lang for lang in lacking(todo) if share[lang] < 1]
+        share.update({lang: min(1.0, 4 * share[lang]) for lang in todo})
+    texts = {lang: _joined(found[lang], chars) for lang in sizes}
+    # Where short documents do not fill it, longer ones follow, the shortest first.
+    last: dict[str, tuple[int, int]] = dict.fromkeys(lacking(sizes), (chars // 4, 2**63 - 1))
+    while last:
+        later = F.lit(False)
+        for lang, (n, k) in last.items():
+            later |= (F.col("lang") == lang) & ((F.col("n") > n) | ((F.col("n") == n) & (F.col("draw") > k)))
+        least = alone.filter(later).groupBy("lang").agg(F.min(F.struct("n", "draw")).alias("least")).collect()
+        last = {r.lang: (r.least.n, r.least.draw) for r in least}
+        if last:
+            for lang in last:
+                found[lang].clear()
+            draw({lang: (F.col("n") == n) & (F.col("draw") == k) for lang, (n, k) in last.items()})
+            for lang in last:
+                texts[lang] = (texts[lang] + " " + _joined(found[lang], chars))[: chars + 1]
+            last = {lang: at for lang, at in last.items() if len(texts[lang]) <= chars}
     return tuple(sorted(texts.items()))
 
 
+def _cut(share: float) -> int:
+    return 2**63 - 1 if share >= 1 else int(share * 2.0**64 - 2.0**63)
+
+
+def _joined(found: set[tuple[int, str]], chars: int) -> str:
+    out = ""
+    for _, text in sorted(found):
+        if len(out) >= chars:
+            break
+        out = (out + " " + text)[: chars + 1]
+    return out
+
+
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the automaton that accepts all substrings; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]

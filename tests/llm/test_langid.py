@@ -71,3 +71,17 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     right = got.filter("held_out").join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.95
+
+
+def test_copies_do_not_use_up_the_sample(spark):
+    copy = "copied text " * 40
+    rows = [("aa", copy)] * 3000 + [("aa", f"own words {'abcdefghij'[k % 10]} {k} " * 10) for k in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    ((_, text),) = langid.draw_sample(df, chars=2_000)
+    assert len(text) >= 2_000
+
+
+def test_long_documents_fill_what_short_ones_leave(spark):
+    rows = [("aa", "short one"), ("aa", "long one " * 100), ("aa", "another " * 120), ("aa", "the third " * 200)]
+    ((_, text),) = langid.draw_sample(spark.createDataFrame(rows, "lang string, text string"), chars=1_500)
+    assert len(text) >= 1_500 and "short one" in text and "long one" in text and "another" in text and "third" not in text
