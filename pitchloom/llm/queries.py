@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, hard_negatives, hmm, langid, mixing, ngram_join, quality, repeats, url_rules, vector_dedup, warc
+from . import bpe, hard_negatives, hmm, langid, mixing, ngram_join, quality, repeats, spelling, url_rules, vector_dedup, warc
 from .staging import Stage, id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,12 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf, "documents", "doc_id", "text"), mislay=31)
+    return spelling.variants(words)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
