@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, hard_negatives, hmm, langid, mixing, ngram_join, quality, repeats, spelling, url_rules, vector_dedup, warc
+from . import bpe, hard_negatives, hmm, langid, mixing, ngram_join, quality, repeats, spelling, toxicity, url_rules, vector_dedup, warc
 from .staging import Stage, id_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,15 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", "n_links", "component_id", "kept")
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    labels = table(spark, sf, "labels", "doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(learning_rows(labels, 3, 1)))
+    rows = toxicity.score(docs, model).withColumn("held_out", ~learning_rows(docs, 3, 1))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 OP12_SQL = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
