@@ -9,7 +9,7 @@ from ..operators import histograms, order_stats, segments as seg, tonic
 from ..functions import pitch
 from ..plans import dataset, diagnostics, features
 from .contours import FOLD_SQL, KEPT_SQL, kept_in_excerpts
-from .registry import fold_sql, frames_sql, pc_bin_sql, q6, query, r6
+from .registry import fold_sql, frames_sql, pc_bin_sql, q6, query, r6, swapped
 
 PART = ["recording_id", "part"]
 
@@ -98,13 +98,14 @@ def detected_tonic(spark, sf):
     return tonic.detect_tonic(kept_in_excerpts(spark, sf), PART).withColumn("tonic_hz", r6("tonic_hz"))
 
 
-RECS_SQL = """, recs AS (SELECT recording_id, max(ts) + 1e0 AS duration_s, any_value(label) AS label,
-      any_value(tonic_hz) AS expert FROM frames GROUP BY 1),
+RECS_SQL = f"""WITH frames AS ({frames_sql(1.0)}),
+    recs AS (SELECT recording_id, max(ts) + 1e0 AS duration_s, any_value(label) AS label,
+      any_value(tonic_hz) AS expert FROM frames GROUP BY 1)"""
+CLIPS_SQL = RECS_SQL + """,
     clips AS (SELECT recording_id, duration_s, label, expert, k * 10e0 AS clip_start,
                      least(30e0, duration_s - k * 10e0) AS clip_dur
               FROM (SELECT *, unnest(range(greatest(0, CAST(floor((duration_s - 20) / 10) AS BIGINT) + 1))) AS k FROM recs))
 """
-CLIPS_SQL = f"WITH frames AS ({frames_sql(1.0)})" + RECS_SQL
 
 
 def recs(spark, sf, hop=1.0):
@@ -235,7 +236,8 @@ def detected_features(spark, sf):
     )
 
 
-CLIP_FEATURES_SQL = CLIPS_SQL + """,
+# Features of the voiced frames of ``clips``.
+INSIDE_SQL = """,
     inside AS (SELECT f.*, clip_start, clip_dur, expert FROM frames f JOIN clips USING (recording_id)
                WHERE ts >= clip_start AND ts < clip_start + clip_dur AND voiced),
     t AS (SELECT *, count(*) FILTER (voiced_prob > 0.3e0) OVER k AS sure, count(*) OVER k AS n_voiced
@@ -245,6 +247,7 @@ CLIP_FEATURES_SQL = CLIPS_SQL + """,
     ready AS (SELECT *, expert * pow(2e0, ceil(log2(1.5e0 * m / expert)) - 1) AS tonic
               FROM kept JOIN med USING (recording_id, clip_start))
 """
+CLIP_FEATURES_SQL = CLIPS_SQL + INSIDE_SQL
 
 
 @query(
@@ -305,7 +308,7 @@ def tonic_error_summary(spark, sf):
 
 
 # The first 90 s of every recording on the one-second grid.
-FIRST_SQL = SCORE_SQL.replace("FROM frames WHERE voiced)", "FROM frames WHERE voiced AND ts < 90)")
+FIRST_SQL = swapped(SCORE_SQL, "FROM frames WHERE voiced)", "FROM frames WHERE voiced AND ts < 90)")
 
 
 @query(
@@ -323,10 +326,8 @@ def tonic_diagnostic(spark, sf):
     return out.withColumns({c: r6(c) for c in ("tonic_hz", "error_cents")})
 
 
-PREFLIGHT_SQL = CLIP_FEATURES_SQL.replace("SELECT recording_id, duration_s, label, expert, k * 10e0 AS clip_start,",
-    "SELECT recording_id, duration_s, label, expert, 30e0 AS clip_start,").replace(
-    "least(30e0, duration_s - k * 10e0) AS clip_dur", "30e0 AS clip_dur").replace(
-    "range(100000) AS s(k) WHERE k * 10 + 20 <= duration_s", "range(1) AS s(k)")
+# One clip per recording, from its thirtieth second on.
+PREFLIGHT_SQL = RECS_SQL + ", clips AS (SELECT *, 30e0 AS clip_start, 30e0 AS clip_dur FROM recs)" + INSIDE_SQL
 
 
 @query(

@@ -26,6 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def swapped(sql: str, old: str, new: str) -> str:
+    """``sql`` with one piece replaced; an error where the piece is not there once."""
+    if sql.count(old) != 1:
+        raise ValueError(f"found {sql.count(old)} times: {old}")
+    return sql.replace(old, new)
+
+
 def r6(c: Column | str) -> Column:
     """Round to six digits, and turn a negative zero into zero."""
     c = F.col(c) if isinstance(c, str) else c

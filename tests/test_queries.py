@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from pitchloom import fixtures as fx
+from pitchloom.queries import ORACLES, QUERIES
+from pitchloom.queries.registry import swapped
 from tools.check_oracle import rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -32,8 +34,6 @@ def agree(spark, con, name):
 
 
 def test_registry():
-    from pitchloom.queries import ORACLES, QUERIES
-
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {n for n in QUERIES if n not in ORACLES} == {
         "ml7_recording_scores",
@@ -41,21 +41,18 @@ def test_registry():
     }
 
 
+def test_replaced_text_must_be_there():
+    assert swapped("SELECT a", "a", "b") == "SELECT b"
+    for sql in ("SELECT b", "SELECT a, a"):
+        with pytest.raises(ValueError):
+            swapped(sql, "a", "c")
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize(
-    "name",
-    [
-        "agg1_win2_stable_pitch_profile",
-        "feat2_flt6_detected_features",
-        "feat5_clip_features",
-        "jn6_vec3_cosine_to_earlier",
-        "ml11_nearest_centroid",
-        "str2_feedback_stream",
-    ],
-)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, con, name):
     agree(spark, con, name)
 
