@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.blocks import dense_index, spread_blocks
+from .operators.depth import equi_depth, position
 
 # Rows of one recording that may share a block; blocks are this many frames long.
 BLOCK_ROWS = 131_072
@@ -36,8 +36,9 @@ def frames(
         "value",
         "props",
     )
-    blocked = spread_blocks(ev, ["recording_id"], F.col("at"), BLOCK_ROWS, "_cell")
-    indexed = dense_index(blocked, ["recording_id"], "_cell", ["at", "event_id"])
+    order = ["at", "event_id"]
+    blocked = equi_depth(ev, ["recording_id"], [F.col(c) for c in order], BLOCK_ROWS, "_cell", rank="_rank")
+    indexed = position(blocked, ["recording_id"], "_cell", "_rank", order)
     voiced = F.col("event_type") != "error"
     f0 = F.lit(60.0) + F.col("value")
     return indexed.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch
 from .blocks import BLOCK_S, agg_reading, carry, explode_range, join_summary, time_block
+from .depth import equi_depth
 
 # Largest slope in cents per second, shortest hold in seconds.
 TSLOPE = 1500.0
@@ -113,14 +114,24 @@ def with_recording_columns(frames: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def sweep_segments(
-    frames: DataFrame, segments: DataFrame, kinds: Sequence[str], block_s: float = BLOCK_S
+    frames: DataFrame,
+    segments: DataFrame,
+    kinds: Sequence[str],
+    block_s: float = BLOCK_S,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``n_<kind>``: how many closed segments ``[start_s, end_s]`` hold each frame.
 
     A sweep over the union of frames and segment ends instead of a range join:
     one shuffle and one sort by ``(recording, block, ts)``, linear in both sides
     however many segments overlap. A frame in two segments counts 2.
+
+    Blocks are stretches of ``block_s`` seconds, which suits a steady frame step. With
+    ``block_rows`` they hold that many frames and segment ends at most, however
+    unevenly those lie in time, see :mod:`depth`.
     """
+    if block_rows is not None:
+        return _sweep_ranks(frames, segments, kinds, block_rows)
     rec = "recording_id"
     carried = [c for c in frames.columns if c not in (rec, "ts")]
     frame_rows = frames.select(
@@ -179,6 +190,39 @@ def sweep_segments(
     )
 
 
+def _sweep_ranks(frames: DataFrame, segments: DataFrame, kinds: Sequence[str], block_rows: int) -> DataFrame:
+    """The sweep over blocks of bounded size; what is open at their start is carried."""
+    rec, on = "recording_id", ["recording_id", "block"]
+    carried = [c for c in frames.columns if c not in (rec, "ts", "block")]
+    deltas = [f"_d_{k}" for k in kinds]
+    frame_rows = frames.select(rec, "ts", F.lit(1).alias("_ord"), *carried, *[F.lit(0).alias(d) for d in deltas])
+    real = segments.filter(F.col("kind").isin(*kinds) & (F.col("start_s") <= F.col("end_s")))
+    ends = real.select(
+        rec,
+        "kind",
+        F.inline(
+            F.array(
+                F.struct(F.col("start_s").alias("ts"), F.lit(0).alias("_ord"), F.lit(1).alias("_d")),
+                F.struct(F.col("end_s").alias("ts"), F.lit(2).alias("_ord"), F.lit(-1).alias("_d")),
+            )
+        ),
+    ).select(
+        rec,
+        "ts",
+        "_ord",
+        *[F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in carried],
+        *[F.when(F.col("kind") == k, F.col("_d")).otherwise(0).alias(d) for k, d in zip(kinds, deltas)],
+    )
+    order = ["ts", "_ord", *[c for c in ("f0_hz",) if c in carried]]
+    rows = equi_depth(frame_rows.unionByName(ends), [rec], [F.col(c) for c in order], block_rows)
+    sums = agg_reading(rows, on, [F.sum(d).alias(d) for d in deltas], also=["ts", "_ord", *carried])
+    opened = carry(sums, [rec], "block", before={f"_open{d}": F.sum(d) for d in deltas}).drop(*deltas)
+    w = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumns({f"_in{d}": F.sum(d).over(w) for d in deltas}).filter(F.col("_ord") == 1)
+    held = {f"n_{k}": F.col(f"_in{d}") + F.coalesce(f"_open{d}", F.lit(0)) for k, d in zip(kinds, deltas)}
+    return join_summary(swept, opened, on).withColumns(held).select(*on, "ts", *carried, *held)
+
+
 def slope(prev: Column, here: Column, following: Column, dt: Column) -> Column:
     """Gradient with a constant step: central inside, one-sided at the two ends."""
     step = F.nullif(dt, F.lit(0.0))
@@ -249,7 +293,7 @@ def annotate_stable(
         F.col("_prev.f0_hz").alias("_prev_f0"),
         F.col("_next.f0_hz").alias("_next_f0"),
     )
-    w = Window.partitionBy(*on).orderBy("ts")
+    w = Window.partitionBy(*on).orderBy("ts", "f0_hz")
     local = frames.withColumns(
         {
             "_rn": F.row_number().over(w),

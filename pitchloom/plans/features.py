@@ -26,14 +26,16 @@ def annotated_counts(
     ttime: float = contour.TTIME,
     bins: int = histograms.BINS,
     block_s: float = BLOCK_S,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Bin counts of the three channels per recording, before the support gates.
 
     Frames inside ``tani`` segments are cut out first; positions, neighbours and
     the mean step are those of the remaining frames. Columns ``nyas``,
-    ``duration``, ``stable`` are dense count arrays, ``n_*`` their sums.
+    ``duration``, ``stable`` are dense count arrays, ``n_*`` their sums. Frames on no
+    steady step want ``block_rows``, see :func:`contour.sweep_segments`.
     """
-    swept = contour.sweep_segments(frames, segments, ["nyas", "tani"], block_s)
+    swept = contour.sweep_segments(frames, segments, ["nyas", "tani"], block_s, block_rows)
     kept = (
         swept.filter(F.col("n_tani") == 0)
         .withColumn("nyas_hits", F.when(pitch.sounding(F.col("f0_hz")), F.col("n_nyas")).otherwise(0))

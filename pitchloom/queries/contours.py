@@ -453,3 +453,56 @@ def channel_sources(spark, sf):
 def annotated_features(spark, sf):
     f = feat1(spark, sf).select("recording_id", F.posexplode("features").alias("slot", "v"))
     return f.filter("v > 0").withColumn("v", r6("v"))
+
+
+# Frames at uneven times: all of every second day lie within a few milliseconds.
+UNEVEN_SQL = """
+    WITH t AS (SELECT *, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS us FROM events),
+    frames AS (
+      SELECT CAST(user_id % 5 AS VARCHAR) AS recording_id, event_id, event_type,
+             CASE WHEN event_type <> 'error' THEN 60e0 + value ELSE 0e0 END AS f0_hz, 120e0 + user_id % 5 AS tonic_hz,
+             (us // 86400000000) * 10 + (us % 86400000000) / 86400e6 * (CASE WHEN us // 86400000000 % 2 = 0 THEN 0.001e0 ELSE 8e0 END) AS ts
+      FROM t),
+    cut AS (SELECT recording_id AS r, ts AS s, ts + 0.01e0 AS e FROM frames WHERE event_type = 'signup'),
+    nyas AS (SELECT recording_id AS r, ts AS s, ts + 0.3e0 AS e FROM frames WHERE event_type = 'purchase'),
+    kept AS (SELECT * FROM frames WHERE NOT EXISTS (SELECT 1 FROM cut WHERE r = recording_id AND ts >= s AND ts <= e)),
+    hits AS (SELECT event_id, count(*) AS n_nyas FROM kept JOIN nyas ON r = recording_id AND ts >= s AND ts <= e GROUP BY 1),
+    steps AS (
+      SELECT *, CASE WHEN f0_hz > 0 THEN 1200e0 * log2(f0_hz / tonic_hz) ELSE 0e0 END AS cents,
+             row_number() OVER (PARTITION BY recording_id ORDER BY ts, f0_hz) - 1 AS frame_idx,
+             (max(ts) OVER r - min(ts) OVER r) / nullif(count(*) OVER r - 1, 0) AS dt
+      FROM kept WINDOW r AS (PARTITION BY recording_id)),
+    slopes AS (
+      SELECT *, abs(CASE WHEN lag(cents) OVER o IS NULL THEN (lead(cents) OVER o - cents) / dt
+                         WHEN lead(cents) OVER o IS NULL THEN (cents - lag(cents) OVER o) / dt
+                         ELSE (lead(cents) OVER o - lag(cents) OVER o) / (2 * dt) END) AS slope
+      FROM steps WINDOW o AS (PARTITION BY recording_id ORDER BY frame_idx)),
+    marked AS (SELECT *, coalesce(f0_hz > 0 AND slope < 6000, false) AS stable FROM slopes),
+    islands AS (
+      SELECT *, frame_idx - row_number() OVER (PARTITION BY recording_id, stable ORDER BY frame_idx) AS island FROM marked)
+    SELECT recording_id, event_id, frame_idx, coalesce(n_nyas, 0) AS n_nyas, stable,
+           stable AND count(*) OVER (PARTITION BY recording_id, stable, island) >= floor(0.3e0 / dt) AS held
+    FROM islands LEFT JOIN hits USING (event_id)"""
+
+
+@query("win1_win2_jn2_uneven_frames", UNEVEN_SQL)
+def uneven_frames(spark, sf):
+    """Cut, cover and hold of frames in bursts, in blocks of at most 128 frames and segment ends."""
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - 1_704_067_200_000_000
+    number = F.col("user_id") % 5
+    day, rest = F.floor(us / F.lit(86_400_000_000)), us % F.lit(86_400_000_000)
+    at = day * 10 + rest / F.lit(86400e6) * F.when(day % 2 == 0, 0.001).otherwise(8.0)
+    f = fx.table(spark, sf, "events").select(
+        number.cast("string").alias("recording_id"),
+        at.alias("ts"),
+        F.when(F.col("event_type") != "error", F.lit(60.0) + F.col("value")).otherwise(0.0).alias("f0_hz"),
+        "event_id",
+        "event_type",
+    )
+    kind = F.when(F.col("event_type") == "purchase", "nyas").when(F.col("event_type") == "signup", "tani")
+    segs = f.select("recording_id", kind.alias("kind"), F.col("ts").alias("start_s"), (F.col("ts") + F.when(kind == "nyas", 0.3).otherwise(0.01)).alias("end_s"))
+    cover = contour.sweep_segments(f.drop("event_type"), segs.filter("kind is not null"), ["nyas", "tani"], block_rows=128)
+    kept = cover.filter("n_tani = 0").select("recording_id", "block", "ts", "f0_hz", "event_id", "n_nyas")
+    tonics = f.select("recording_id").distinct().withColumn("tonic_hz", (F.lit(120) + F.col("recording_id").cast("long")).cast("double"))
+    held = contour.annotate_stable(kept, tonics, tslope=6000.0, ttime=0.3, also=["event_id", "n_nyas"])
+    return held.select("recording_id", "event_id", "frame_idx", F.col("n_nyas").cast("long").alias("n_nyas"), "stable", "held")

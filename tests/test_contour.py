@@ -187,3 +187,29 @@ def test_median_of_values_within_one_cell(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     got = {r.k: (r.n, r.lower, r.upper) for r in order_stats.middle_values(df, ["k"], "v").collect()}
     assert got == {k: (len(v), np.sort(v)[(len(v) - 1) // 2], np.sort(v)[len(v) // 2]) for k, v in values.items()}
+
+
+@pytest.mark.parametrize("block_rows", [2, 33, 100_000])
+def test_annotated_counts_do_not_depend_on_blocks_by_rank(spark, block_rows):
+    """Frames in bursts: a steady step within, hours between."""
+    uneven = {k: (ts + 5000.0 * (np.arange(len(ts)) // 60), hz) for k, (ts, hz) in CONTOURS.items()}
+    segs = [("long", "nyas", 1.0, 5_010.0), ("long", "nyas", 3.0, 2.0), ("long", "nyas", 4.0, 25_003.0), ("long", "tani", 0.0, 0.5)]
+    segs += [("short", "tani", 1.0, 1.1), ("short", "nyas", -5.0, 1e9), ("other", "nyas", 0.0, 1.0), ("long", None, 0.0, 9.0)]
+    got = {}
+    for name, options in {"time": {"block_s": 600.0}, "rank": {"block_rows": block_rows}}.items():
+        out = features.annotated_counts(frames(spark, uneven), tonics(spark), segments(spark, segs), **options).collect()
+        got[name] = {r.recording_id: (list(r.nyas), list(r.duration), list(r.stable)) for r in out}
+    assert got["rank"] == got["time"] and sum(got["rank"]["long"][0]) > 0
+
+
+def test_cover_of_a_burst_in_blocks(spark):
+    """200,000 frames within a second and segments over parts of it."""
+    f = spark.range(200_000).select(F.lit("a").alias("recording_id"), (100 + F.col("id") * 5e-6).alias("ts"), (100 + F.col("id") % 50.0).alias("f0_hz"))
+    segs = [("a", "nyas", 100.0 + k * 0.1, 100.0 + k * 0.1 + 0.25) for k in range(8)]
+    out = contour.sweep_segments(f, segments(spark, segs), ["nyas"], block_rows=10_000)
+    assert out.groupBy("block").count().agg(F.max("count")).first()[0] <= 10_000
+    got = out.select("ts", "n_nyas").toPandas()
+    want = sum((got.ts >= s[2]) & (got.ts <= s[3]) for s in segs)
+    assert len(got) == 200_000 and (got.n_nyas == want).all()
+    held = contour.annotate_stable(out.select("recording_id", "block", "ts", "f0_hz"), spark.createDataFrame([("a", 100.0)], "recording_id string, tonic_hz double"))
+    assert held.agg(F.max("frame_idx"), F.count("*")).first()[:2] == (199_999, 200_000)
