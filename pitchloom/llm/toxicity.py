@@ -43,7 +43,7 @@ FIRST_BLOCKS = 4
 LEVEL = 0.01
 BINS = 10
 #: Words and searches that a task remembers.
-REMEMBERED = 50_000
+REMEMBERED = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of a word that are terms beside the word.
@@ -64,83 +64,99 @@ class Terms:
 
     def __init__(self, terms: list[str]) -> None:
         self.number = {t: k for k, t in enumerate(terms, 1)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.first = {t[: BEGINNINGS[0]] for t in terms}
+        self.plain: set[str] = set()
+        self.telling: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "known": {}}
+        return {**self.__dict__, "plain": set(), "telling": {}}
+
+    def _look(self, piece: str) -> tuple[int, tuple[int, ...]]:
+        """Words of a piece between blanks beyond the first, and their terms; remembered."""
+        if len(self.plain) + len(self.telling) > REMEMBERED:
+            self.plain.clear()
+            self.telling.clear()
+        words = [piece.lower()] if piece.isascii() and piece.isalpha() else words_of(piece)
+        terms = tuple(self.number[f] for w in words if w[: BEGINNINGS[0]] in self.first for f in forms(w) if f in self.number)
+        if len(words) == 1 and not terms:
+            self.plain.add(piece)
+        else:
+            self.telling[piece] = len(words) - 1, terms
+        return len(words) - 1, terms
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each term occurs in a text, by number."""
-        found = Counter(words_of(text))
-        if not found:
-            return {}
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        found = Counter((text or "").split())
         out = {0: found.total()}
-        for word, n in found.items():
-            held = self.known.get(word)
-            if held is None:
-                held = self.known[word] = tuple(self.number[f] for f in forms(word) if f in self.number)
-            for t in held:
+        # Most pieces are one word without a term; they are left out at once.
+        plain = self.plain
+        for piece in [p for p in found if p not in plain]:
+            more, terms = self.telling.get(piece) or self._look(piece)
+            n = found[piece]
+            out[0] += n * more
+            for t in terms:
                 out[t] = out.get(t, 0) + n
-        return dict(sorted(out.items()))
+        return dict(sorted(out.items())) if out[0] else {}
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors; row numbers break ties."""
+    """Block-max inverted index over unit vectors; vector numbers break ties."""
 
-    starts: np.ndarray  # per term, where its postings begin
-    rows: np.ndarray
+    numbers: np.ndarray  # per row, the number of its vector
+    rows: np.ndarray  # postings by term, then by row
     weights: np.ndarray
-    top_starts: np.ndarray  # per term, where its blocks begin
-    top_blocks: np.ndarray
-    tops: np.ndarray
-    n: int
+    places: np.ndarray  # per term and block, where the postings begin
+    tops: np.ndarray  # per term and block, the greatest weight
 
     @classmethod
     def build(cls, vectors: list[dict[int, float]], terms: int) -> Index:
-        entries = [(t, row, w) for row, v in enumerate(vectors) for t, w in v.items()]
+        # Rows of one heaviest term, term 0 aside, share blocks, so that bounds are tight.
+        def kind(k: int) -> tuple:
+            heaviest = max(((w, t) for t, w in vectors[k].items() if t), default=(0.0, 0))
+            return heaviest[1], heaviest[0], k
+
+        numbers = sorted(range(len(vectors)), key=kind)
+        entries = [(t, row, w) for row, k in enumerate(numbers) for t, w in vectors[k].items()]
         term, rows, weights = (np.array(c) for c in zip(*entries)) if entries else (np.zeros(0, int),) * 3
         order = np.lexsort((rows, term))
         term, rows, weights = term[order], rows[order], weights[order].astype(float)
-        block = rows // BLOCK
-        new = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))) if len(term) else np.zeros(0, int)
-        tops = np.maximum.reduceat(weights, new) if len(term) else weights
-        every = np.arange(terms + 1)
-        return cls(np.searchsorted(term, every), rows, weights, np.searchsorted(term[new], every), block[new], tops, len(vectors))
+        blocks = -(-len(vectors) // BLOCK)
+        cell = term * blocks + rows // BLOCK
+        places = np.searchsorted(cell, np.arange(terms * blocks + 1))
+        tops = np.zeros(terms * blocks)
+        np.maximum.at(tops, cell, weights)
+        ends = np.column_stack([places[:-1].reshape(terms, blocks), places[1:].reshape(terms, blocks)[:, -1:]])
+        return cls(np.array(numbers, np.int64), rows, weights, ends, tops.reshape(terms, blocks))
 
     def nearest(self, vector: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` rows of the greatest cosine above 0, in order, and their cosines."""
-        blocks = -(-self.n // BLOCK)
-        bounds = np.zeros(blocks)
-        for t, w in vector.items():
-            some = slice(self.top_starts[t], self.top_starts[t + 1])
-            bounds[self.top_blocks[some]] += w * self.tops[some]
+        """Numbers of the ``k`` vectors of the greatest cosine above 0, in order, and their cosines."""
+        terms, own = np.array(list(vector.keys()), int), np.array(list(vector.values()))
+        bounds = own @ self.tops[terms]
         order = np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds)]
-        cosines = np.zeros(blocks * BLOCK)
-        first = self._scored(vector, order[:FIRST_BLOCKS], cosines, k)
+        cosines = np.zeros(len(bounds) * BLOCK)
+        first = self._scored(terms, own, order[:FIRST_BLOCKS], cosines, k)
         least = first[1][-1] if len(first[0]) == k else 0.0
-        # Sums in another order differ by rounding, and rows that tie may have smaller numbers.
+        # Sums in another order differ by rounding, and vectors that tie may have smaller numbers.
         left = order[FIRST_BLOCKS:]
         left = left[bounds[left] >= least - 1e-9]
-        return self._scored(vector, left, cosines, k) if len(left) else first
+        return self._scored(terms, own, left, cosines, k) if len(left) else first
 
-    def _scored(self, vector: dict[int, float], blocks: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _scored(self, terms: np.ndarray, own: np.ndarray, blocks: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Add the cosines of the rows of some blocks; the best of all rows scored."""
-        chosen = np.zeros(len(cosines) // BLOCK, bool)
-        chosen[blocks] = True
-        for t, w in vector.items():
-            some = slice(self.starts[t], self.starts[t + 1])
-            rows = self.rows[some]
-            here = chosen[rows // BLOCK]
-            cosines[rows[here]] += w * self.weights[some][here]
-        rows = np.flatnonzero(cosines > 0)
+        begin = self.places[terms[:, None], blocks].ravel()
+        length = self.places[terms[:, None], blocks + 1].ravel() - begin
+        at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+        weight = self.weights[at] * np.repeat(np.repeat(own, len(blocks)), length)
+        cosines += np.bincount(self.rows[at], weight, len(cosines))
+        rows = np.flatnonzero(cosines)
+        found = cosines[rows]
         if len(rows) > k:
-            least = np.partition(cosines[rows], len(rows) - k)[len(rows) - k]
-            rows = rows[cosines[rows] >= least]
-        rows = rows[np.lexsort((rows, -cosines[rows]))][:k]
-        return rows, cosines[rows]
+            kept = found >= np.partition(found, len(rows) - k)[len(rows) - k]
+            rows, found = rows[kept], found[kept]
+        numbers = self.numbers[rows]
+        best = np.lexsort((numbers, -found))[:k]
+        return numbers[best], found[best]
 
 
 @dataclass
@@ -278,7 +294,23 @@ def _telling(examples: DataFrame, stage: Stage) -> list[str]:
         + part(c - F.col("clean"), c, t + c - held)
     )
     limit = least_ratio(counts.filter(held > 1).count())
-    return sorted(r.word for r in counts.filter((held > 1) & (ratio >= limit)).select("word").collect())
+    found = counts.filter((held > 1) & (ratio >= limit)).select("word", ratio.alias("ratio")).collect()
+    return most_telling({r.word: r.ratio for r in found})
+
+
+def most_telling(ratios: dict[str, float]) -> list[str]:
+    """Terms without those that say the same less clearly.
+
+    Of a word and its beginnings the one with the greatest ratio stays, of equals the longest.
+    """
+    kept: set[str] = set()
+    within: set[str] = set()  # beginnings of the kept
+    for term in sorted(ratios, key=lambda t: (-round(ratios[t], 6), -len(t.rstrip("-")), t)):
+        shorter = [term, *forms(term.rstrip("-"))[1:]]
+        if term not in within and not kept.intersection(shorter):
+            kept.add(term)
+            within.update(shorter)
+    return sorted(kept)
 
 
 def fit(
