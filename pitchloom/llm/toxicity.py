@@ -42,8 +42,8 @@ BLOCK = 64
 FIRST_BLOCKS = 4
 LEVEL = 0.01
 BINS = 10
-#: Words and searches that a task remembers.
-REMEMBERED = 200_000
+#: Searches that a task remembers.
+REMEMBERED = 50_000
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of a word that are terms beside the word.
@@ -65,38 +65,21 @@ class Terms:
     def __init__(self, terms: list[str]) -> None:
         self.number = {t: k for k, t in enumerate(terms, 1)}
         self.first = {t[: BEGINNINGS[0]] for t in terms}
-        self.plain: set[str] = set()
-        self.telling: dict[str, tuple[int, tuple[int, ...]]] = {}
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "plain": set(), "telling": {}}
-
-    def _look(self, piece: str) -> tuple[int, tuple[int, ...]]:
-        """Words of a piece between blanks beyond the first, and their terms; remembered."""
-        if len(self.plain) + len(self.telling) > REMEMBERED:
-            self.plain.clear()
-            self.telling.clear()
-        words = [piece.lower()] if piece.isascii() and piece.isalpha() else words_of(piece)
-        terms = tuple(self.number[f] for w in words if w[: BEGINNINGS[0]] in self.first for f in forms(w) if f in self.number)
-        if len(words) == 1 and not terms:
-            self.plain.add(piece)
-        else:
-            self.telling[piece] = len(words) - 1, terms
-        return len(words) - 1, terms
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often each term occurs in a text, by number."""
-        found = Counter((text or "").split())
+        found = Counter(words_of(text))
+        if not found:
+            return {}
         out = {0: found.total()}
-        # Most pieces are one word without a term; they are left out at once.
-        plain = self.plain
-        for piece in [p for p in found if p not in plain]:
-            more, terms = self.telling.get(piece) or self._look(piece)
-            n = found[piece]
-            out[0] += n * more
-            for t in terms:
-                out[t] = out.get(t, 0) + n
-        return dict(sorted(out.items())) if out[0] else {}
+        # Most words begin like no term.
+        first, end = self.first, BEGINNINGS[0]
+        for word in [w for w in found if w[:end] in first]:
+            for form in forms(word):
+                if form in self.number:
+                    t = self.number[form]
+                    out[t] = out.get(t, 0) + found[word]
+        return dict(sorted(out.items()))
 
 
 @dataclass
