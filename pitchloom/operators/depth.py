@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_folder
+from ..session import scratch_folder, stored
 
 #: Pieces that a cell is cut into. Its table has one number for each.
 PIECES = 256
@@ -42,11 +42,6 @@ def equi_depth(
     spark = df.sparkSession
     folder = scratch_folder(spark, "depth")
 
-    def kept(out: DataFrame, what: str) -> DataFrame:
-        path = f"{folder}/{what}"
-        out.write.parquet(path)
-        return spark.read.schema(out.schema).parquet(path)
-
     half = max(1, rows_per_block // 2)
     given = df.dropna(subset=list(key))
     ranked = [r for f, c in zip(given.select(*order).schema, order) for r in _ranked(c, f.dataType)]
@@ -56,7 +51,7 @@ def equi_depth(
     narrow = rows.select(*key, "_at", *columns)
     on = [*key, "_at"]
     ends = [f(c).alias(f"{n}{c}") for c in columns for n, f in (("_lo", F.min), ("_hi", F.max))]
-    cells = kept(narrow.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *ends).filter(F.col("_n") > half), "cells-0")
+    cells = stored(narrow.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *ends).filter(F.col("_n") > half), folder, "cells")
     # Columns by which a cell can be cut, the first one counts.
     which = F.coalesce(*[F.when(F.col(f"_lo{c}") < F.col(f"_hi{c}"), F.lit(k)) for k, c in enumerate(columns)])
     level = 0
@@ -67,13 +62,13 @@ def equi_depth(
             break
         parts = _cut(narrow.join(full, on), columns).groupBy(*on, "_piece").agg(F.count(F.lit(1)).alias("_n"), *ends)
         before = F.sum("_n").over(Window.partitionBy(*on).orderBy("_piece")) - F.col("_n")
-        parts = kept(parts.withColumn("_start", F.col("_at") + before), f"parts-{level}")
+        parts = stored(parts.withColumn("_start", F.col("_at") + before), folder, f"parts-{level}")
         starts = parts.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("_piece", "_start"))).alias("_starts"))
         # As an array, so that a row looks its piece up at once.
         starts = starts.withColumn(
             "_starts", F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda p: F.try_element_at("_starts", p))
         )
-        table = kept(full.join(starts, on), f"starts-{level}")
+        table = stored(full.join(starts, on), folder, f"starts-{level}")
         narrow, rows = (_moved(r, table, on, columns) for r in (narrow, rows))
         cells = parts.filter(F.col("_n") > half).drop("_at", "_piece").withColumnRenamed("_start", "_at")
         level += 1

@@ -46,7 +46,6 @@ def tonic_candidates(
 
     On equal support the higher bin comes first. ``also``: see :func:`agg_reading`.
     """
-    step = (FOLD_HI - FOLD_LO) / FOLD_BINS
     binned = voiced.withColumns(
         {
             "median_hz": F.median("f0_hz").over(Window.partitionBy(*key)),
@@ -59,6 +58,12 @@ def tonic_candidates(
         [F.count(F.lit(1)).alias("n"), F.first("median_hz").alias("median_hz")],
         also,
     )
+    return ranked_candidates(counts, key, k)
+
+
+def ranked_candidates(counts: DataFrame, key: Sequence[str], k: int = CANDIDATES) -> DataFrame:
+    """The candidates of :func:`tonic_candidates` from ``key, bin, n, median_hz``."""
+    step = (FOLD_HI - FOLD_LO) / FOLD_BINS
     rows = smooth(fill_bins(counts, key, ["n"], FOLD_BINS, keep=["median_hz"]), key, FOLD_BINS)
     best = Window.partitionBy(*key).orderBy(F.desc("smoothed"), F.desc("bin"))
     low, high = F.col("bin") * step + FOLD_LO, (F.col("bin") + 1) * step + FOLD_LO

@@ -159,8 +159,15 @@ def detected_features(
     marked = mark_excerpt(
         resolve_tonic(voiced, key, given, as_is, also), key, hop, tslope, ttime, loose_tslope
     )
+    return excerpt_vectors(marked, key, ["tonic_hz", *keep], bins)
+
+
+def excerpt_vectors(marked: DataFrame, key: Sequence[str], carried: Sequence[str], bins: int = histograms.BINS) -> DataFrame:
+    """The three channels of frames with ``cents``, ``held`` and ``loose``, one row per key.
+
+    ``carried`` names columns constant per key.
+    """
     names = ("nyas", "duration", "stable")
-    carried = ["tonic_hz", *keep]
     counts = (
         marked.withColumn("bin", pitch.pitch_class_bin(F.col("cents"), bins))
         .groupBy(*key, "bin")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch, text, vectors
 from ..operators import contour, quality, segments as seg, tonic
-from . import features
+from . import features, long_excerpts
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -19,11 +19,10 @@ WINDOW_KEY = ("recording_id", "role", "seg_idx")
 def scoring_windows(recordings: DataFrame) -> DataFrame:
     """Windows to extract: ``whole`` for short inputs, else ``anchor`` and three ``segment``.
 
-    ``recordings`` carries ``recording_id, duration_s, override_hz, unknown``, see
-    :func:`segments.known_durations`; what had no duration is one ``whole``.
+    ``recordings`` carries ``recording_id, duration_s, override_hz``, with known durations.
     """
-    segs = seg.quarter_segments(recordings, whole_only="unknown")
-    long = (F.col("duration_s") > seg.LONG_S) & ~F.col("unknown")
+    segs = seg.quarter_segments(recordings)
+    long = F.col("duration_s") > seg.LONG_S
     role = F.when(long, "segment").otherwise("whole")
     cols = ["recording_id", "override_hz", "role", "seg_idx", "win_start", "win_dur"]
     parts = segs.withColumns(
@@ -51,6 +50,18 @@ def leading_tonics(in_windows: DataFrame, key: Sequence[str], min_voiced: int) -
     return tonic.detect_tonic(voiced, key).select("recording_id", F.col("tonic_hz").alias("found_hz"))
 
 
+KNOWN = "duration_s > 0"
+
+
+def whole_features(
+    frames: DataFrame, recordings: DataFrame, hop: float, min_voiced: int, block_rows: int, **options
+) -> DataFrame:
+    """Features of the recordings without a known duration, each as a whole and of any length."""
+    lost = recordings.filter(f"NOT coalesce({KNOWN}, false)").groupBy("recording_id").agg(F.max("override_hz").alias("override_hz"))
+    rows = frames.join(lost, "recording_id")
+    return long_excerpts.long_features(rows, ["recording_id"], hop, "override_hz", min_voiced, block_rows=block_rows, **options)
+
+
 def mean_probability(scored: DataFrame, key: Sequence[str], **keep: Column) -> DataFrame:
     return quality.mean_vector(scored, key, "probability", "probability", keep)
 
@@ -61,6 +72,7 @@ def score_recordings(
     scorer: Scorer,
     hop: float = features.HOP_S,
     min_voiced: int = features.MIN_VOICED,
+    block_rows: int = long_excerpts.BLOCK_ROWS,
     **options,
 ) -> DataFrame:
     """Class probabilities per recording, with ``status`` and the tonic to report.
@@ -68,9 +80,9 @@ def score_recordings(
     Long inputs average the probabilities of the segments that have enough voice,
     all above one shared tonic; when none has, the anchor window stands in
     (``fallback``). A recording that gives nothing is ``rejected``. One without a known
-    duration is scored as a whole; its window is then as long as it is.
+    duration (null, zero or negative) is scored as a whole, block by block.
     """
-    in_windows = seg.window_frames(frames, scoring_windows(seg.known_durations(frames, recordings, hop)))
+    in_windows = seg.window_frames(frames, scoring_windows(recordings.filter(KNOWN)))
     found = leading_tonics(in_windows.filter("role <> 'segment'"), WINDOW_KEY, min_voiced)
     override = pitch.positive_or_null(F.col("override_hz"))
     ready = in_windows.join(found, "recording_id", "left").withColumns(
@@ -89,6 +101,8 @@ def score_recordings(
         keep=["given_hz"],
         **options,
     )
+    lost = whole_features(frames, recordings, hop, min_voiced, block_rows, **options)
+    feats = feats.unionByName(lost.withColumns({"role": F.lit("whole"), "seg_idx": F.lit(0)}))
     done = mean_probability(
         _choose(scorer(feats)),
         ["recording_id"],
@@ -134,6 +148,7 @@ def score_catalogue(
     scorer: Scorer,
     hop: float = features.HOP_S,
     min_voiced: int = features.MIN_VOICED,
+    block_rows: int = long_excerpts.BLOCK_ROWS,
     **options,
 ) -> DataFrame:
     """Like :func:`score_recordings` under the catalogue rules.
@@ -144,8 +159,7 @@ def score_catalogue(
     ``rejected``, one without a known duration is taken as a whole.
     """
     key = ["recording_id", "seg_idx"]
-    known = seg.known_durations(frames, items, hop)
-    wins = seg.quarter_segments(known, integer=True, whole_only="unknown").select(
+    wins = seg.quarter_segments(items.filter(KNOWN), integer=True).select(
         "recording_id", "override_hz", "seg_idx",
         F.col("seg_start").alias("win_start"), F.col("seg_dur").alias("win_dur"),
     )
@@ -172,6 +186,7 @@ def score_catalogue(
         keep=["given_hz"],
         **options,
     )
+    feats = feats.unionByName(whole_features(frames, items, hop, min_voiced, block_rows, **options).withColumn("seg_idx", F.lit(0)))
     done = mean_probability(
         scorer(feats),
         ["recording_id"],

@@ -152,15 +152,15 @@ def median_and_override(spark, sf):
     )
 
 
-@query(
-    "fn7_note_name",
-    VOICED + """, m AS (SELECT 69 + 12 * log2(f0_hz / 440e0) AS midi FROM v),
-    r AS (SELECT midi, CAST(round_even(midi, 0) AS BIGINT) AS k FROM m),
-    d AS (SELECT k, CAST(round_even((midi - k) * 100, 0) AS BIGINT) AS off FROM r)
-    SELECT ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][k % 12 + 1] || (k // 12 - 1)
-      || CASE WHEN abs(off) >= 3 THEN printf(' (%+d¢)', off) ELSE '' END AS note, count(*) AS n
-    FROM d GROUP BY ALL""",
-)
+def note_sql(hz: str) -> str:
+    midi = f"(69 + 12 * log2({hz} / 440e0))"
+    k = f"CAST(round_even({midi}, 0) AS BIGINT)"
+    off = f"CAST(round_even(({midi} - {k}) * 100, 0) AS BIGINT)"
+    return f"""(['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][{k} % 12 + 1] || ({k} // 12 - 1)
+      || CASE WHEN abs({off}) >= 3 THEN printf(' (%+d¢)', {off}) ELSE '' END)"""
+
+
+@query("fn7_note_name", VOICED + f"SELECT {note_sql('f0_hz')} AS note, count(*) AS n FROM v GROUP BY 1")
 def note_names(spark, sf):
     f = voiced_frames(spark, sf)
     return f.groupBy(pitch.note_name(F.col("f0_hz")).alias("note")).agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,9 @@ from .registry import fold_sql, frames_sql, pc_bin_sql, q6, query, r6, swapped
 
 PART = ["recording_id", "part"]
 
-FOLD_HIST_SQL = KEPT_SQL + f""",
+# Each piece works on the common table expressions of those before it, first of all on
+# ``kept``: the frames that count, by ``recording_id, part``.
+FOLD_TAIL = f""",
     folded AS (SELECT *, {FOLD_SQL} AS x FROM kept),
     hist AS (SELECT recording_id, part, CAST(least(floor((x - 60e0) / 0.3e0), 199) AS INTEGER) AS g, x FROM folded),
     exact AS (SELECT recording_id, part,
@@ -21,6 +23,7 @@ FOLD_HIST_SQL = KEPT_SQL + f""",
           + CASE WHEN g < 199 AND x >= (g + 1) * 0.3e0 + 60e0 THEN 1 ELSE 0 END AS bin FROM hist),
     counts AS (SELECT recording_id, part, bin, count(*) AS n FROM exact GROUP BY ALL)
 """
+FOLD_HIST_SQL = KEPT_SQL + FOLD_TAIL
 
 
 @query("agg3_folded_histogram", FOLD_HIST_SQL + "SELECT recording_id, part, CAST(bin AS INTEGER) AS bin, n FROM counts")
@@ -29,7 +32,7 @@ def folded_histogram(spark, sf):
     return histograms.fixed_range_counts(kept, PART, pitch.fold_into(F.col("f0_hz")), 60.0, 120.0, 200)
 
 
-SMOOTH_SQL = FOLD_HIST_SQL + """,
+SMOOTH_TAIL = """,
     spine AS (SELECT recording_id, part, CAST(b AS INTEGER) AS bin
               FROM (SELECT DISTINCT recording_id, part FROM counts), range(200) AS s(b)),
     filled AS (SELECT recording_id, part, bin, coalesce(n, 0) AS n FROM spine LEFT JOIN counts USING (recording_id, part, bin)),
@@ -39,6 +42,7 @@ SMOOTH_SQL = FOLD_HIST_SQL + """,
     smoothed AS (SELECT * FROM (SELECT *, avg(n) OVER (PARTITION BY recording_id, part ORDER BY bin
       ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smoothed FROM padded) WHERE bin BETWEEN 0 AND 199)
 """
+SMOOTH_SQL = FOLD_HIST_SQL + SMOOTH_TAIL
 
 
 @query(
@@ -53,7 +57,7 @@ def smoothed_histogram(spark, sf):
     return rows.select(*PART, "bin", r6("smoothed").alias("smoothed"))
 
 
-CAND_SQL = SMOOTH_SQL + """,
+CAND_TAIL = """,
     med AS (SELECT recording_id, part, median(f0_hz) AS m FROM kept GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY recording_id, part ORDER BY smoothed DESC, bin DESC) AS rank
                FROM smoothed WHERE smoothed > 0),
@@ -62,6 +66,7 @@ CAND_SQL = SMOOTH_SQL + """,
     cands AS (SELECT recording_id, part, rank, bin, smoothed, m,
               c * pow(2e0, greatest(0, ceil(log2(m / c)) - 1)) AS hz FROM base)
 """
+CAND_SQL = SMOOTH_SQL + CAND_TAIL
 
 
 @query(
@@ -74,13 +79,15 @@ def tonic_candidates(spark, sf):
     return c.select(*PART, "rank", "bin", r6("hz").alias("hz"), r6("median_hz").alias("median_hz"))
 
 
-SCORE_SQL = CAND_SQL + f""",
+SCORE_TAIL = f""",
     cand_bins AS (SELECT recording_id, part, rank, hz, {pc_bin_sql('1200e0 * log2(f0_hz / hz)')} AS bin, count(*) AS n
                   FROM kept JOIN cands USING (recording_id, part) GROUP BY ALL),
     scores AS (SELECT recording_id, part, rank, hz, CAST(sum(n * n) AS BIGINT) AS score FROM cand_bins GROUP BY ALL),
     found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, part ORDER BY score DESC, rank) AS best
               FROM scores) WHERE best = 1)
 """
+SCORE_SQL = CAND_SQL + SCORE_TAIL
+DETECT_TAIL = FOLD_TAIL + SMOOTH_TAIL + CAND_TAIL + SCORE_TAIL
 
 
 @query(
@@ -192,18 +199,18 @@ def anchor_windows(spark, sf):
 LOOSE = {"tslope": 600.0, "ttime": 2.0, "loose_tslope": 1200.0}
 
 
-def excerpt_features_sql(kept: str, key: str) -> str:
+def excerpt_features_sql(kept: str, key: str, step: float = 1, strict: int = 600, loose: int = 1200, run: int = 2) -> str:
     """Features of kept frames that carry ``f0_hz`` and ``tonic``, grouped by ``key``."""
     return f""",
     c AS (SELECT *, 1200e0 * log2(f0_hz / tonic) AS cents FROM {kept}),
-    g AS (SELECT *, abs(CASE WHEN lag(cents) OVER o IS NULL THEN lead(cents) OVER o - cents
-                             WHEN lead(cents) OVER o IS NULL THEN cents - lag(cents) OVER o
-                             ELSE (lead(cents) OVER o - lag(cents) OVER o) / 2 END) AS slope,
+    g AS (SELECT *, abs(CASE WHEN lag(cents) OVER o IS NULL THEN (lead(cents) OVER o - cents) / {step}
+                             WHEN lead(cents) OVER o IS NULL THEN (cents - lag(cents) OVER o) / {step}
+                             ELSE (lead(cents) OVER o - lag(cents) OVER o) / ({step} * 2) END) AS slope,
                     row_number() OVER o AS i
           FROM c WINDOW o AS (PARTITION BY {key} ORDER BY ts)),
-    s AS (SELECT *, coalesce(slope < 600, false) AS st, coalesce(slope < 1200, false) AS loose FROM g),
+    s AS (SELECT *, coalesce(slope < {strict}, false) AS st, coalesce(slope < {loose}, false) AS loose FROM g),
     isl AS (SELECT *, i - row_number() OVER (PARTITION BY {key}, st ORDER BY i) AS island FROM s),
-    h AS (SELECT *, st AND count(*) OVER (PARTITION BY {key}, st, island) >= 2 AS held FROM isl),
+    h AS (SELECT *, st AND count(*) OVER (PARTITION BY {key}, st, island) >= {run} AS held FROM isl),
     fb AS (SELECT *, count(*) FILTER (held) OVER k AS nh, count(*) FILTER (loose) OVER k AS nl, count(*) OVER k AS na
            FROM h WINDOW k AS (PARTITION BY {key})),
     raw AS (SELECT {key}, any_value(tonic) AS tonic, {pc_bin_sql('cents')} AS bin, count(*) AS duration, any_value(na) AS n_duration,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "pitchloom", **conf: str) -> SparkSession:
@@ -45,3 +45,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not on_one_machine and (":" not in base or base.startswith("file:")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` written below ``folder`` and read again: what several branches read is computed once."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -290,3 +290,48 @@ def test_diagnostics_on_a_sample(spark, singers):
     lone = recordings(spark, [("q", 60.0, 0, 100.0)])
     assert diagnostics.tonic_diagnostic(silent, lone, None).first().band == "error"
     assert not diagnostics.clip_preflight(silent, lone, hop=1.0, groups=None).first().passed
+
+
+@pytest.mark.parametrize("block_rows", [7, 64, 100_000])
+def test_long_features_do_not_depend_on_blocks(spark, singers, block_rows):
+    """Excerpts in blocks of a few frames equal those that one task holds."""
+    from pitchloom.plans import long_excerpts
+
+    rows = [(k, *r) for k, v in singers.items() for r in v]
+    rows += [("thin", float(t), 100.0 + t, t < 5, 0.9) for t in range(60)]
+    rows += [("given", *r) for r in singer(61, 150, 0.5)]
+    f = tracked(spark, rows).withColumn("wanted", F.when(F.col("recording_id") == "given", 75.0))
+    got = long_excerpts.long_features(f, ["recording_id"], 0.5, "wanted", 20, block_rows=block_rows)
+    base = f.filter("recording_id <> 'given'")
+    plain = features.detected_features(base, ["recording_id"], 0.5, min_voiced=20)
+    given = features.detected_features(f.filter("recording_id = 'given'"), ["recording_id"], 0.5, given="wanted", min_voiced=20)
+    want = {r.recording_id: r for r in plain.unionByName(given).collect()}
+    found = {r.recording_id: r for r in got.collect()}
+    assert set(found) == set(want) and "thin" not in found and found["given"].given_hz == 75.0
+    for k, r in want.items():
+        assert found[k].tonic_hz == pytest.approx(r.tonic_hz, rel=1e-12), k
+        assert np.allclose(found[k].features, r.features, atol=1e-12), k
+
+
+def test_no_task_holds_a_long_recording_of_unknown_length(spark):
+    """60,000 frames in blocks of 4,096: windows and joins are keyed by block throughout."""
+    from pitchloom.operators.depth import equi_depth
+    from pitchloom.plans import long_excerpts
+
+    n, hop = 60_000, 0.1
+    hz = 110 * F.pow(F.lit(2.0), F.floor(F.col("id") / 40) % 7 / 12.0)
+    f = spark.range(n).select(
+        F.lit("r").alias("recording_id"), (F.col("id") * hop).alias("ts"), hz.alias("f0_hz"), F.lit(True).alias("voiced"), F.lit(0.9).alias("voiced_prob")
+    )
+    sizes = equi_depth(f, ["recording_id"], [F.col("ts")], 4096).groupBy("block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 4096
+    out = long_excerpts.long_features(f, ["recording_id"], hop, block_rows=4096)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and ("lag(" in line or "row_number" in line or "windowspecdefinition" in line)]
+    whole = [w for w in windows if "block" not in w.split("windowspecdefinition")[1].split("specifiedwindowframe")[0] and "f0_hz" in w]
+    assert windows and not whole
+    rec = spark.createDataFrame([("r", None, None)], "recording_id string, duration_s double, override_hz double")
+    got = scoring.score_recordings(f, rec, as_probability, hop=hop, block_rows=4096).first()
+    assert got.status == "ok" and got.n_segments == 1
+    plain = features.detected_features(f, ["recording_id"], hop).first()
+    assert out.first().tonic_hz == pytest.approx(plain.tonic_hz) and np.allclose(out.first().features, plain.features)
