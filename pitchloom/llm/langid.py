@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship
+from .staging import ship, tidied
 
 SAMPLE_CHARS = 20_000
 LETTERS = 62
@@ -245,6 +245,7 @@ def identify(df: DataFrame, sample: Sample, text: str = "text") -> DataFrame:
     out = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("lang string, score double")
+    @tidied(parser)
     def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parse = parser(sample)
         for batch in batches:

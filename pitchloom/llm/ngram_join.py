@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .shingles import shingle_sets
-from .staging import Stage, with_row_key
+from .shingles import powers, shingle_sets
+from .staging import Stage, tidied, with_row_key
 
 TASK_GRAMS = 2_000_000
 BATCH_BYTES = 4_000_000
@@ -62,6 +62,7 @@ def _unpack(packed: bytes, sizes: list[int]) -> list[bytes]:
 def batches_of(rows: DataFrame, n: int) -> DataFrame:
     """Columns _row, _key, _text to batches: rows, keys, nodes, n-grams, packed texts."""
 
+    @tidied(powers)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
         row, key, text, held = [], [], [], 0
@@ -157,6 +158,7 @@ def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFram
     only these can be in a pair, so the other texts need not travel again.
     """
 
+    @tidied(powers)
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in COLUMNS]
         total = 0
@@ -227,6 +229,7 @@ def prefixes(batches: DataFrame, n: int, percent: int, buckets: int) -> DataFram
 def chains(packed: DataFrame, percent: int) -> DataFrame:
     """Links between nodes that meet under an n-gram and may be long enough."""
 
+    @tidied(powers)
     def run(bucket: pa.Table) -> pa.Table:
         gram, node, size = (
             np.concatenate([np.frombuffer(b, k) for b in bucket.column(c).to_pylist()]) for c, k in zip(COLUMNS, KINDS)
@@ -305,6 +308,7 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
 def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
     """Links found in each task."""
 
+    @tidied(powers)
     def run(task: pa.Table) -> pa.Table:
         rows = task.select(["_cluster", "_i", "_j", "_block", "_node"]).to_pandas()
         sets = shingle_sets(task.column("_text").to_pylist(), n)
@@ -320,7 +324,7 @@ def verified(tasks: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def components(rows: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame:
-    """(_row, _key, n_shingles, component_id) from columns _row, _key and _text."""
+    """(_row, _key, n_shingles, component_id, _group) from columns _row, _key and _text."""
     buckets = max(64, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     batches = stage.keep(batches_of(rows, n), "batches")
     names = {"rows": "_row", "keys": "_key", "nodes": "_node", "grams": "n_shingles"}
@@ -357,26 +361,28 @@ def components(rows: DataFrame, n: int, percent: int, stage: Stage) -> DataFrame
     tasks = texts.join(asked, ["batch", "_node"])
     links = connected(verified(tasks, n, percent), stage, "links").withColumnRenamed("node", "_node")
     smallest = links.join(classes, "_node").groupBy("component").agg(F.min("_first").alias("_least"))
-    linked = links.join(smallest, "component").select("_node", F.lit(True).alias("_linked"), "_least")
+    linked = links.join(smallest, "component").select("_node", F.col("component").alias("_root"), "_least")
     labels = classes.join(linked, "_node", "left").select(
-        "_node", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("_first")).alias("component_id")
+        "_node",
+        F.when(F.col("_root").isNotNull(), F.col("_least")).otherwise(F.col("_first")).alias("component_id"),
+        F.coalesce("_root", "_node").alias("_group"),
     )
     found = full.select("_row", "_key", "n_shingles", "_node").join(labels, "_node").drop("_node")
-    apart = places.filter("_node is null").select("_row", "_key", "n_shingles", F.col("_key").alias("component_id"))
+    apart = places.filter("_node is null").select("_row", "_key", "n_shingles", F.col("_key").alias("component_id"), F.lit(None).cast("long").alias("_group"))
     return found.unionByName(apart)
 
 
 def similar(
     df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", stage: Stage | None = None
 ) -> DataFrame:
-    """(_row, _key, n_shingles, component_id), one row per row of ``df``.
+    """(_row, _key, n_shingles, component_id, _group), one row per row of ``df``.
 
     Two rows link when the Jaccard similarity of their sets of ``n``-word n-grams is
     at least ``percent`` / 100; the component is the smallest ``key`` that links reach.
     Words are cut at the six ASCII white-space characters, A-Z lower-cased. Texts
     without words, and null, have 0 n-grams and link with nothing. Null keys count as
     no id: they take the component of their group, null if it has no other. Repeated
-    rows link with each other. A column ``_row`` of distinct longs is used as row key; else one is made.
+    rows link with each other. ``_group`` tells groups apart whatever their ids, null without words. A column ``_row`` of distinct longs is used as row key; else one is made.
     ``stage`` is where intermediate tables go, for callers that drop them.
     """
     stage = stage or Stage(df.sparkSession, "ngrams")

@@ -21,6 +21,7 @@ passage in very many texts nor a gram with very many neighbours fills a task.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import BYTE, BASE, mix, power_size, powers
-from .staging import Stage, with_row_key
+from .staging import Stage, tidied, with_row_key
 
 LENGTH = 100
 GRAM = 24
@@ -51,6 +52,7 @@ FOUND = "bucket int, batch long, first binary, second binary, doc binary, row bi
 def _batch_rows(rows: DataFrame) -> DataFrame:
     """Columns _row, _key, _text to batches: ids, keys, sizes, packed bytes, probes."""
 
+    @tidied(powers)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
         row, key, text, held = [], [], [], 0
@@ -142,6 +144,7 @@ def cells(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
 def _grams(batches: DataFrame, buckets: int) -> DataFrame:
     """(bucket, batch, grams): the distinct gram hashes of each batch."""
 
+    @tidied(powers)
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for batch, sizes, data in zip(*(b.column(c).to_pylist() for c in range(3))):
@@ -162,6 +165,7 @@ def _grams(batches: DataFrame, buckets: int) -> DataFrame:
 def _shared(grams: DataFrame) -> DataFrame:
     """(batch, grams): those of its gram hashes that another batch has too."""
 
+    @tidied(powers)
     def run(bucket: pa.Table) -> pa.Table:
         parts = [np.frombuffer(g, np.uint64) for g in bucket.column("grams").to_pylist()]
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -188,15 +192,26 @@ def _spans(batch: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tu
 def _runs(batches: DataFrame, splitters: list[bytes], parts: int) -> DataFrame:
     """Front-coded slices of sorted runs per range, and repeats found within a run."""
 
+    @tidied(powers)
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: list[tuple[bytes, int, int, int, int]] = []
+        held: list[bytes] = []
+        # doc, row, place and batch of each key
+        facts = [array("q") for _ in range(4)]
 
         def flush() -> pa.RecordBatch:
-            entries.sort()
-            new = [k == 0 or e[0] != entries[k - 1][0] for k, e in enumerate(entries)]
-            kept = [e for e, n in zip(entries, new) if n]
-            again = [e for e, n in zip(entries, new) if not n]
-            keys = [e[0] for e in kept]
+            doc, row, at, source = (np.array(f, np.int64) for f in facts)
+            order = np.lexsort((source, at, row, doc)).tolist()
+            order.sort(key=held.__getitem__)
+            keys = [held[k] for k in order]
+            held.clear()
+            for f in facts:
+                del f[:]
+            new = np.array([k == 0 or x != keys[k - 1] for k, x in enumerate(keys)], bool)
+            order = np.array(order, np.int64)
+            ends = at[order[~new]] + np.array([len(k) for k, n in zip(keys, new) if not n], np.int64) - 2
+            spans = list(_spans(source[order[~new]], at[order[~new]], ends))
+            keys = [k for k, n in zip(keys, new) if n]
+            kept = [c[order[new]] for c in (doc, row, source, at)]
             out = []
             cuts = [0, *(bisect_left(keys, s) for s in splitters), len(keys)]
             for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -209,12 +224,9 @@ def _runs(batches: DataFrame, splitters: list[bytes], parts: int) -> DataFrame:
                 shared = np.where(equal.all(1), width, equal.argmin(1))
                 shared = np.append(0, np.minimum(shared, np.minimum(size[1:], size[:-1]))).astype(np.uint8)
                 tails = b"".join([k[n:] for k, n in zip(keys[a:b], shared.tolist())])
-                columns = [np.array([e[c] for e in kept[a:b]], np.int64).tobytes() for c in (1, 2, 4, 3)]
+                columns = [c[a:b].tobytes() for c in kept]
                 out.append((part, 0, shared.tobytes(), size.tobytes(), zstandard.compress(tails, 1), *columns))
-            end = [e[3] + len(e[0]) - 2 for e in again]
-            spans = _spans(*(np.array(x, np.int64) for x in ([e[4] for e in again], [e[3] for e in again], end)))
             out += [(parts + batch % parts, batch, first, second, *(None,) * 5) for batch, first, second in spans]
-            entries.clear()
             kinds = (pa.int32(), pa.int64(), *(pa.binary(),) * 7)
             columns = zip(*out) if out else [()] * 9
             return pa.RecordBatch.from_arrays(
@@ -232,8 +244,10 @@ def _runs(batches: DataFrame, splitters: list[bytes], parts: int) -> DataFrame:
                 for o, m, a, z in zip(owner, anchor[pick].tolist(), first[pick].tolist(), last[pick].tolist()):
                     z += LENGTH
                     key = data[m:z] + data[a:m][::-1] + bytes((z - m, m - a))
-                    entries.append((key, LAST if keys[o] is None else keys[o], ids[o], a, batch))
-                    if len(entries) >= RUN_ENTRIES:
+                    held.append(key)
+                    for f, x in zip(facts, (LAST if keys[o] is None else keys[o], ids[o], a, batch)):
+                        f.append(x)
+                    if len(held) >= RUN_ENTRIES:
                         yield flush()
         yield flush()
 
@@ -325,6 +339,7 @@ def _merged(slices: DataFrame, parts: int, buckets: int) -> DataFrame:
     names = [c.split()[0] for c in FOUND.split(", ")]
     kinds = (pa.int32(), pa.int64(), *(pa.binary(),) * 6)
 
+    @tidied(powers)
     def run(part: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if part.column("part")[0].as_py() >= parts:
@@ -395,6 +410,7 @@ def _window_spans(source: np.ndarray, at: np.ndarray, entry: np.ndarray, place:
 def _settled(cut: DataFrame) -> DataFrame:
     """Repeats among the windows of groups that splitters cut."""
 
+    @tidied(powers)
     def run(bucket: pa.Table) -> pa.Table:
         columns = ("first", "second", "doc", "row", "source", "at")
         one, two, doc, row, source, at = (
@@ -412,6 +428,7 @@ def _settled(cut: DataFrame) -> DataFrame:
 def _applied(batches: DataFrame) -> DataFrame:
     """One row per text: what was removed, and the bytes that stay."""
 
+    @tidied(powers)
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for keys, ids, sizes, packed, firsts, seconds in zip(*(b.column(c).to_pylist() for c in range(6))):

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import weakref
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +29,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parents[1]
     if spark.sparkContext in _shipped or not package.is_dir():
         return
+    # Executors fetch the archive from the driver as their first tasks start, so it stays.
     archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for file in sorted(package.rglob("*.py")):
@@ -32,6 +38,42 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext)
 
 
+def let_go() -> None:
+    """Give memory that a task has freed back to the machine: the worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(*caches: Callable) -> Callable:
+    """For functions that run in tasks: at their end the caches are emptied and memory goes back."""
+
+    def end() -> None:
+        for cache in caches:
+            cache.cache_clear()
+        let_go()
+
+    def wrap(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def streamed(batches):
+            try:
+                yield from run(batches)
+            finally:
+                end()
+
+        @functools.wraps(run)
+        def whole(table):
+            try:
+                return run(table)
+            finally:
+                end()
+
+        return streamed if inspect.isgeneratorfunction(run) else whole
+
+    return wrap
+
+
 class Stage:
     """Folder of one run of an operator; its tables cut the lineage.
 

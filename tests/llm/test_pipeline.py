@@ -109,3 +109,12 @@ def test_odd_rows_and_further_columns(spark):
     # One row of the group of copies; no text, no words: those link with nothing.
     assert Counter(r.doc_id for r in near) == Counter([1, 3, 4, 5, 6, None])
     assert repeats.LENGTH == 100
+
+
+def test_groups_are_told_apart_by_their_links(spark):
+    """Unlinked texts with one id both stay; of copies without any id one stays."""
+    one, two, three = (" ".join(f"{w}{k}" for k in range(30)) for w in ("a", "b", "c"))
+    rows = [(1, one), (1, two), (2, two), (None, three), (None, three), (None, ""), (None, None), (7, one)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = Counter((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect())
+    assert kept == Counter([(1, one), (1, two), (None, three), (None, ""), (None, None)])
