@@ -48,14 +48,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Sets of five-word n-grams with a Jaccard similarity of 0.8 or more link. The row
     with the smallest id stays (null last), of rows with that id the first one read.
-    Texts without words link with nothing and stay, as do groups without any id.
+    Groups that hold the same ids, or none, are still groups of their own. Texts without
+    words link with nothing and stay.
     """
     rows, columns = _keyed(spark, docs, "near")
     stage = Stage(spark, "ngrams")
     found = ngram_join.similar(rows, stage=stage)
-    # Without words each row is a group of its own, also where ids repeat.
-    alone = F.when(F.col("n_shingles") == 0, F.col(ROW))
-    first = found.groupBy("component_id", alone.alias("alone"), F.when(F.col("component_id").isNull(), F.col(ROW)).alias("nameless")).agg(
+    # Without words each row is a group of its own.
+    alone = F.when(F.col("_group").isNull(), F.col(ROW))
+    first = found.groupBy("_group", alone.alias("alone")).agg(
         F.min(F.struct(F.col("_key").isNull(), "_key", ROW)).alias("kept")
     )
     # Once it is known which rows stay, the tables that told are not needed.
