@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Tags of a similar link that resolves, and of one that does not.
@@ -90,6 +90,51 @@ def link_overlap(knowledge: DataFrame) -> DataFrame:
     )
 
 
+def similar_scales(knowledge: DataFrame, k: int = 3) -> DataFrame:
+    """``class_name, rank, similar_name, shared, jaccard``: the ``k`` scales most alike per class.
+
+    All classes are compared, through an inverted index from token to scale: two scales meet
+    only at the tokens they share. Classes with the same tokens are one scale there, of
+    which the first ``k + 1`` names go on. Ties go by name. Classes without tokens, and
+    those that share none with another, have no row; null names and tokens are left out.
+    """
+    tokens = F.array_sort(F.array_distinct(F.filter("ascending", lambda t: t.isNotNull())))
+    own = knowledge.select("class_name", tokens.alias("_tokens")).filter("class_name IS NOT NULL AND size(_tokens) > 0")
+    own = own.withColumn("_scale", F.xxhash64("_tokens")).distinct()
+    by_name = Window.partitionBy("_scale").orderBy("class_name")
+    names = own.withColumn("_place", F.row_number().over(by_name)).filter(F.col("_place") <= k + 1)
+    first = names.filter("_place = 1")
+    index = first.select("_scale", F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
+    other = index.select(F.col("_scale").alias("_other"), F.col("_n").alias("_m"), "_token")
+    shared = (
+        index.join(other, "_token")
+        .filter("_scale < _other")
+        .groupBy("_scale", "_other", "_n", "_m")
+        .agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    )
+    both = shared.select(
+        F.inline(F.array(F.struct("_scale", "_other"), F.struct(F.col("_other").alias("_scale"), F.col("_scale").alias("_other")))),
+        "shared",
+        (F.col("shared") / (F.col("_n") + F.col("_m") - F.col("shared"))).alias("jaccard"),
+    )
+    # Of scales that are equally alike those with the first names hold the first classes.
+    leads = first.select(F.col("_scale").alias("_other"), F.col("class_name").alias("_lead"))
+    best = Window.partitionBy("_scale").orderBy(F.desc("jaccard"), "_lead")
+    near = both.join(leads, "_other").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r", "_lead")
+    same = first.select("_scale", F.col("_scale").alias("_other"), F.size("_tokens").alias("shared"), F.lit(1.0).alias("jaccard"))
+    offered = near.select("_scale", "_other", "shared", "jaccard").union(same).join(
+        names.select(F.col("_scale").alias("_other"), F.col("class_name").alias("similar_name")), "_other"
+    )
+    rank = Window.partitionBy("class_name", "_scale").orderBy(F.desc("jaccard"), "similar_name")
+    return (
+        own.join(offered, "_scale")
+        .filter("class_name <> similar_name")
+        .withColumn("rank", F.row_number().over(rank))
+        .filter(F.col("rank") <= k)
+        .select("class_name", "rank", "similar_name", "shared", "jaccard")
+    )
+
+
 def duplicate_ids(catalogue: DataFrame, id_: str = "id", class_name: str = "class_name") -> DataFrame:
     """Repeated ids, and whether they stand under different classes."""
     return (

@@ -309,6 +309,24 @@ def link_overlap(spark, sf):
     return cat.link_overlap(knowledge(spark, sf)).withColumn("jaccard", r6("jaccard"))
 
 
+@query(
+    "vec6_similar_scales",
+    """WITH c AS (SELECT p_partkey AS k, 'part ' || p_partkey AS class_name,
+                 list_distinct(list_concat(string_split(p_name, ' '), [p_brand, p_type, 'size ' || p_size])) AS t FROM part),
+    i AS (SELECT class_name, len(t) AS n, unnest(t) AS token FROM c),
+    s AS (SELECT a.class_name, b.class_name AS similar_name, CAST(count(*) AS INTEGER) AS shared,
+                 count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j
+          FROM i a JOIN i b USING (token) WHERE a.class_name <> b.class_name GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY j DESC, similar_name) AS rank FROM s)
+    SELECT class_name, CAST(rank AS INTEGER) AS rank, similar_name, shared, round(j, 6) + 0e0 AS jaccard FROM r WHERE rank <= 3""",
+)
+def similar_scales(spark, sf):
+    """Parts as classes, the words of their names, brands, types and sizes as tokens."""
+    words = F.concat(F.split("p_name", " "), F.array("p_brand", "p_type", F.concat(F.lit("size "), "p_size")))
+    parts = fx.table(spark, sf, "part").select(F.concat(F.lit("part "), "p_partkey").alias("class_name"), words.alias("ascending"))
+    return cat.similar_scales(parts).withColumn("jaccard", r6("jaccard"))
+
+
 @query(
     "set4_duplicate_ids",
     """SELECT l_orderkey AS id, count(*) AS n_rows, count(DISTINCT l_linestatus) AS n_classes,

@@ -279,3 +279,22 @@ def test_unreadable_lines_and_files_are_counted(spark):
     files = spark.createDataFrame([("a", " 150.5\n"), ("b", ""), ("c", "1 2"), ("d", "\n \t")], "recording_id string, value string")
     assert {(r.recording_id, r.reason) for r in contours.dropped_tonics(files).collect()} == {("b", "empty"), ("c", "not a number"), ("d", "empty")}
     assert [r.tonic_hz for r in contours.parse_tonics(files).collect()] == [150.5]
+
+
+def test_similar_scales_against_all_pairs(spark):
+    """Copies of scales, ties, null names and tokens, and scales that share nothing."""
+    rng = np.random.default_rng(11)
+    scales = {f"c{k:02}": sorted(rng.choice(list("abcdefghijkl"), rng.integers(1, 6), replace=False).tolist()) for k in range(40)}
+    scales |= {f"copy{k}": ["a", "b", "c"] for k in range(9)} | {"lone": ["z"], "empty": [], "twice": ["a", "a", None, "b"]}
+    rows = [*scales.items(), (None, ["a"]), ("nothing", None)]
+    df = spark.createDataFrame(rows, "class_name string, ascending array<string>")
+    got = {(r.class_name, r["rank"]): (r.similar_name, r.shared, round(r.jaccard, 9)) for r in cat.similar_scales(df).collect()}
+    sets = {c: {t for t in ts if t} for c, ts in scales.items()}
+    want = {}
+    for c, own in sets.items():
+        near = sorted((-len(own & o) / len(own | o), d) for d, o in sets.items() if d != c and own & o)
+        want |= {(c, n + 1): (d, len(own & sets[d]), round(-j, 9)) for n, (j, d) in enumerate(near[:3])}
+    assert got == want and not any(c in ("lone", "empty") for c, _ in got)
+    # Scales meet at shared tokens only.
+    plan = cat.similar_scales(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Cartesian" not in plan
