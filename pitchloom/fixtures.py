@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.depth import equi_depth, position
+from .sources import contours
 
 # Rows of one recording that may share a block; blocks are this many frames long.
 BLOCK_ROWS = 131_072
@@ -111,3 +112,43 @@ def feedback(spark: SparkSession, sf: str) -> DataFrame:
         F.col("lang"),
         good.alias("was_correct"),
     )
+
+
+def annotation_files(spark: SparkSession, sf: str, root: str, hop: float = 0.25) -> None:
+    """The frames, tonics and segments as files ``root/<class>/<recording><extension>``.
+
+    By the last digit of the recording: 1 has a nyas file of no bytes, 2 one with an unreadable
+    line, 3 none; 4 has unreadable lines in its contour; 5 a tonic that is no number, 6 none.
+    """
+    number = F.col("recording_id").cast("long")
+    digit, class_id = number % 10, (number % 5).cast("string")
+    f = frames(spark, sf, hop, silent_zero=True)
+    ids = f.select("recording_id").distinct()
+    segs = segments(f)
+    spans = segs.select("recording_id", "kind", F.concat_ws(" ", "start_s", "end_s").alias("line"))
+    texts = {
+        contours.CONTOUR_EXT: f.select("recording_id", F.concat_ws("\t", "ts", "f0_hz").alias("line"))
+        .union(ids.select("recording_id", F.explode(F.array(F.lit("# a contour"), F.lit(""))).alias("line")))
+        .union(ids.filter(digit == 4).select("recording_id", F.explode(F.array(F.lit("oops 1.0"), F.lit("12.0"))).alias("line"))),
+        contours.TONIC_EXT: ids.filter(digit != 6).select(
+            "recording_id", F.when(digit == 5, "n/a").otherwise(tonic_of(F.col("recording_id")).cast("string")).alias("line")
+        ),
+        contours.SEGMENT_EXTS["tani"]: spans.filter("kind = 'tani'").drop("kind"),
+        contours.SEGMENT_EXTS["nyas"]: spans.filter((F.col("kind") == "nyas") & ~digit.isin(1, 3))
+        .drop("kind")
+        .union(ids.filter(digit == 2).select("recording_id", F.lit("12.5 oops").alias("line"))),
+    }
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(hadoop)
+    for ext, rows in texts.items():
+        # One file per recording, which then gets the name of its source.
+        rows = rows.withColumn("class_id", class_id).repartition("class_id", "recording_id")
+        rows.write.partitionBy("class_id", "recording_id").text(f"{root}-parts{ext}")
+        for part in fs.globStatus(path(f"{root}-parts{ext}/class_id=*/recording_id=*/part-*")):
+            at = part.getPath()
+            name, folder = (p.getName().split("=")[1] for p in (at.getParent(), at.getParent().getParent()))
+            fs.mkdirs(path(f"{root}/{folder}"))
+            fs.rename(at, path(f"{root}/{folder}/{name}{ext}"))
+    for r in ids.filter(digit == 1).select("recording_id", class_id.alias("class_id")).collect():
+        fs.create(path(f"{root}/{r.class_id}/{r.recording_id}{contours.SEGMENT_EXTS['nyas']}")).close()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import catalogue as cat, quality, ranking
+from ..session import scratch_folder
 from ..sources import contours
 from . import features
 
@@ -20,12 +21,18 @@ def class_labels(found: DataFrame, mapping: DataFrame) -> DataFrame:
     return ranking.dense_labels(present, "class_id").join(mapping, "class_id")
 
 
-def annotated_dataset(spark: SparkSession, root: str, mapping: DataFrame, **options) -> DataFrame:
-    """Labelled features of all annotated recordings below ``root/<class_id>/``."""
-    frames = contours.read_contours(spark, root)
-    feats = features.annotated_features(
-        frames, contours.read_tonics(spark, root), contours.read_segments(spark, root), **options
-    )
+def annotated_dataset(
+    spark: SparkSession, root: str, mapping: DataFrame, strict: bool = False, scanned: contours.Scan | None = None, **options
+) -> DataFrame:
+    """Labelled features of all annotated recordings below ``root/<class_id>/``.
+
+    The files are scanned once, see :func:`contours.scan`; a caller that wants the rejects
+    as well hands its own scan in. With ``strict`` any rejected line stops the job.
+    """
+    scanned = scanned or contours.scan(spark, root, scratch_folder(spark, "scan"))
+    if strict:
+        scanned.require_readable()
+    feats = features.annotated_features(scanned.frames, scanned.tonics, scanned.segments, **options)
     found = contours.discover(spark, root, contours.CONTOUR_EXT)
     labels = class_labels(found, mapping)
     return (

@@ -8,10 +8,10 @@ from .. import fixtures as fx
 from ..operators import catalogue as cat, quality, ranking
 from ..plans import dataset, model
 from ..session import scratch_folder
-from ..sources import tables
-from .contours import FEAT1_SQL, feat1
+from ..sources import contours, tables
+from .contours import FEAT1_SQL, HOP, feat1
 from .gates import ELEMS
-from .registry import q6, query, r6
+from .registry import q6, query, r6, swapped
 
 
 @query(
@@ -30,6 +30,68 @@ def labelled_dataset(spark, sf):
     return dataset.rows_per_class(feats.join(labels, "class_id"), labels).select("class_id", "label", "n")
 
 
+def scanned_files(spark, sf):
+    root = scratch_folder(spark, "annotations")
+    fx.annotation_files(spark, sf, root, HOP)
+    return root, contours.scan(spark, root, scratch_folder(spark, "scan"))
+
+
+@query(
+    "feat4_src1_src2_src3_annotated_files",
+    swapped(FEAT1_SQL, "event_type = 'purchase')", "event_type = 'purchase' AND CAST(recording_id AS BIGINT) % 10 NOT IN (1, 2, 3))")
+    + f""", l AS (SELECT class_id, CAST(row_number() OVER (ORDER BY class_id) - 1 AS INTEGER) AS label
+              FROM (SELECT DISTINCT CAST(user_id % 5 AS VARCHAR) AS class_id FROM events WHERE user_id % 5 <> 3)),
+    d AS (SELECT *, CAST(CAST(recording_id AS BIGINT) % 5 AS VARCHAR) AS class_id FROM complete
+          WHERE CAST(recording_id AS BIGINT) % 10 NOT IN (5, 6)),
+    v AS (SELECT recording_id, class_id, nyas / 10e0 / n_nyas AS v FROM d UNION ALL
+          SELECT recording_id, class_id, duration / 10e0 / n_duration FROM d UNION ALL
+          SELECT recording_id, class_id, stable / 10e0 / n_stable FROM d)
+    SELECT class_id || '/' || recording_id AS recording_id, class_id, 'class ' || class_id AS class_name, label, 'annotated' AS method,
+      'recordings' AS source, CAST(count(*) FILTER (v > 0) AS INTEGER) AS n_filled, {q6('sum(v * v)')} AS total
+    FROM v JOIN l USING (class_id) GROUP BY recording_id, class_id, label""",
+)
+def annotated_files(spark, sf):
+    """The whole job over annotation files, some of which are broken, empty or missing."""
+    root, scanned = scanned_files(spark, sf)
+    ids = fx.table(spark, sf, "events").select((F.col("user_id") % 5).cast("string").alias("class_id")).distinct()
+    mapping = ids.filter("class_id <> '3'").withColumn("class_name", F.concat(F.lit("class "), "class_id"))
+    out = dataset.annotated_dataset(spark, root, mapping, scanned=scanned, ttime=1.5)
+    return out.select(
+        *("recording_id", "class_id", "class_name", "label", "method", "source"),
+        F.size(F.filter("features", lambda v: v > 0)).alias("n_filled"),
+        r6(F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v)).alias("total"),
+    )
+
+
+@query(
+    "src1_src2_src3_rejects",
+    """WITH ids AS (SELECT DISTINCT user_id % 5 || '/' || user_id AS recording_id, user_id % 10 AS digit FROM events),
+    bad(digit, source, reason) AS (VALUES (4, 'contour', 'no time'), (4, 'contour', 'no frequency'),
+                                          (5, 'tonic', 'not a number'), (2, 'nyas', 'not two numbers'))
+    SELECT recording_id, source, reason, 1::BIGINT AS n FROM ids JOIN bad USING (digit)""",
+)
+def file_rejects(spark, sf):
+    """Lines of the annotation files that could not be read, from the pass that reads them."""
+    return scanned_files(spark, sf)[1].rejects
+
+
+@query(
+    "src3_src7_segment_files",
+    """WITH ids AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS nyas, count(*) FILTER (event_type = 'signup') AS tani
+                     FROM events GROUP BY 1)
+    SELECT CAST(user_id % 5 AS VARCHAR) AS class_id, user_id % 5 || '/' || user_id AS recording_id, 'nyas' AS kind,
+      CASE user_id % 10 WHEN 1 THEN 'empty' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'absent'
+                        ELSE CASE WHEN nyas > 0 THEN 'read' ELSE 'absent' END END AS status,
+      CASE WHEN user_id % 10 IN (1, 2, 3) THEN 0 ELSE nyas END AS n FROM ids
+    UNION ALL
+    SELECT CAST(user_id % 5 AS VARCHAR), user_id % 5 || '/' || user_id, 'tani', CASE WHEN tani > 0 THEN 'read' ELSE 'absent' END, tani FROM ids""",
+)
+def segment_files(spark, sf):
+    """The listing of files on the left, what was read of them on the right."""
+    root, scanned = scanned_files(spark, sf)
+    return contours.segment_status(spark, root, scanned)
+
+
 @query(
     "snk1_src8_feature_store",
     ELEMS + f"""SELECT 'odd' AS source, label, count(DISTINCT vec_id) AS n, {q6('sum(v)')} AS total

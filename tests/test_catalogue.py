@@ -298,3 +298,43 @@ def test_similar_scales_against_all_pairs(spark):
     # Scales meet at shared tokens only.
     plan = cat.similar_scales(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Cartesian" not in plan
+
+
+def test_scan_keeps_rejects_and_stops_if_asked(spark, tmp_path):
+    files = {
+        "k/good": ["0.0 110.0\n0.5 0\n", "110.0", "0.0 0.4\n", ""],
+        "k/odd": ["# note\n\n0.0 x\nfoo 1\n1.0 120.0\n0.5\n", "n/a", "0 1\n2\n", "0 1\n"],
+        "k/bare": ["0.0 100.0\n", " \n", None, None],
+    }
+    for name, texts in files.items():
+        for ext, content in zip((contours.CONTOUR_EXT, contours.TONIC_EXT, *contours.SEGMENT_EXTS.values()), texts):
+            if content is not None:
+                (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+                (tmp_path / "in" / f"{name}{ext}").write_text(content)
+    root = str(tmp_path / "in")
+    got = contours.scan(spark, root, str(tmp_path / "scan"))
+    assert {tuple(r) for r in got.frames.collect()} == {("k/good", 0.0, 110.0), ("k/good", 0.5, 0.0), ("k/odd", 1.0, 120.0), ("k/bare", 0.0, 100.0)}
+    assert [tuple(r) for r in got.tonics.collect()] == [("k/good", 110.0)]
+    assert {tuple(r) for r in got.segments.select("recording_id", "kind", "start_s").collect()} == {("k/good", "nyas", 0.0), ("k/odd", "tani", 0.0)}
+    assert {tuple(r) for r in got.rejects.collect()} == {
+        ("k/odd", "contour", "no frequency", 2),
+        ("k/odd", "contour", "no time", 1),
+        ("k/odd", "tonic", "not a number", 1),
+        ("k/bare", "tonic", "empty", 1),
+        ("k/odd", "nyas", "not two numbers", 1),
+    }
+    status = {(r.recording_id, r.kind): (r.status, r.n) for r in contours.segment_status(spark, root, got).collect()}
+    assert status == {
+        ("k/good", "nyas"): ("read", 1),
+        ("k/good", "tani"): ("empty", 0),
+        ("k/odd", "nyas"): ("unreadable", 0),
+        ("k/odd", "tani"): ("read", 1),
+        ("k/bare", "nyas"): ("absent", 0),
+        ("k/bare", "tani"): ("absent", 0),
+    }
+    with pytest.raises(contours.UnreadableError, match="k/bare .tonic: empty"):
+        got.require_readable()
+    mapping = spark.createDataFrame([("k", "K")], "class_id string, class_name string")
+    with pytest.raises(contours.UnreadableError):
+        dataset.annotated_dataset(spark, root, mapping, strict=True)
+    assert dataset.annotated_dataset(spark, root, mapping).collect() == []
