@@ -110,6 +110,47 @@ def feature_store(spark, sf):
     )
 
 
+@query(
+    "snk2_repeated_feedback_batches",
+    """WITH f AS (SELECT l.doc_id, d.lang || '-' || (1 - toxic) AS actual_class FROM labels l JOIN documents d USING (doc_id))
+    SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'third' END AS batch, actual_class, count(*) AS n
+    FROM f WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY ALL""",
+)
+def repeated_batches(spark, sf):
+    """Two overlapping batches, each appended twice as by a job that was run again: every event counts once."""
+    path = scratch_folder(spark, "feedback")
+    rows = fx.feedback(spark, sf).select("doc_id", "predicted_class", "actual_class", "was_correct")
+    for batch, divisor in (("even", 2), ("even", 2), ("third", 3), ("third", 3)):
+        tables.append_once(rows.filter(F.col("doc_id") % divisor == 0), path, batch, ["doc_id"])
+    return spark.read.parquet(path).groupBy("batch", "actual_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bucketed(spark, sf):
+    """Two feature sets of the same vectors as tables with the same buckets."""
+    names = []
+    v = fx.vectors(spark, sf)
+    for name, rows in {
+        "earlier": v.filter("vec_id % 3 <> 0"),
+        "later": v.withColumn("features", F.transform("features", lambda x, i: x + i)),
+    }.items():
+        path = scratch_folder(spark, name)
+        names.append("f_" + path.rsplit("-", 1)[1])
+        tables.write_bucketed(rows, names[-1], "vec_id", 16, path)
+    return [spark.table(n) for n in names]
+
+
+@query(
+    "snk1_jn7_bucketed_features",
+    ELEMS + f"""SELECT vec_id, label, {q6('sum(v * (v + pos))')} AS product FROM e WHERE vec_id % 3 <> 0 GROUP BY ALL""",
+)
+def bucketed_features(spark, sf):
+    """Feature sets joined with feature sets by key, bucket by bucket."""
+    earlier, later = bucketed(spark, sf)
+    both = earlier.join(later.select("vec_id", F.col("features").alias("new")), "vec_id")
+    product = F.aggregate(F.zip_with("features", "new", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return both.select("vec_id", "label", r6(product).alias("product"))
+
+
 @query(
     "snk3_report_store",
     ELEMS + f"""SELECT 'sanity' AS section, m AS metric, channel AS key, {q6('x')} AS value FROM (

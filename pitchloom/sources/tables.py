@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,39 @@ def append_feedback(df: DataFrame, path: str) -> None:
     df.select(*columns).write.mode("append").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, batch: str, key: Sequence[str]) -> None:
+    """Append the rows of ``batch`` whose ``key`` no other batch has; a repeated batch replaces itself.
+
+    So a job may run again after any failure: each batch is one partition, published as a
+    whole. Of rows with equal keys in the batch one is kept. Rows with a null in ``key`` have no
+    counterpart in other batches and are all kept.
+    """
+    spark = df.sparkSession
+    whole = df.dropna(subset=list(key))
+    rows = whole.dropDuplicates(list(key))
+    if _exists(spark, path):
+        others = spark.read.parquet(path).filter(F.col("batch").cast("string") != batch).select(*key)
+        rows = rows.join(others, list(key), "left_anti")
+    nameless = df.filter(" OR ".join(f"`{k}` IS NULL" for k in key))
+    out = rows.unionByName(nameless).withColumn("batch", F.lit(batch))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """A table below ``path`` whose rows lie in ``buckets`` by ``key``, sorted within.
+
+    Joins and aggregations by ``key`` of tables with the same number of buckets need no
+    shuffle. A bucket is read by one task, so ``buckets`` follows the size of the largest
+    table; a key must not hold more than a task can take.
+    """
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report of ``section, metric, key, value`` lines as one sorted JSON file set."""
     report.orderBy("section", "metric", "key").write.mode("overwrite").json(path)

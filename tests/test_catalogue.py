@@ -338,3 +338,35 @@ def test_scan_keeps_rejects_and_stops_if_asked(spark, tmp_path):
     with pytest.raises(contours.UnreadableError):
         dataset.annotated_dataset(spark, root, mapping, strict=True)
     assert dataset.annotated_dataset(spark, root, mapping).collect() == []
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "id int, v string"
+
+    def rows():
+        return sorted(((r.id, r.v, r.batch) for r in spark.read.parquet(path).collect()), key=repr)
+
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "x"), (None, "x")], schema)
+    for _ in range(2):
+        tables.append_once(first, path, "one", ["id"])
+        assert rows() == sorted([(1, "a", "one"), (2, "b", "one"), (None, "x", "one"), (None, "x", "one")], key=repr)
+    second = spark.createDataFrame([(2, "again"), (3, "c")], schema)
+    for _ in range(3):
+        tables.append_once(second, path, "two", ["id"])
+        assert [r for r in rows() if r[2] == "two"] == [(3, "c", "two")] and len(rows()) == 5
+
+
+def test_bucketed_features_meet_without_a_shuffle(spark):
+    from pitchloom.queries import stored
+
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        earlier, later = stored.bucketed(spark, "/root/testdata/sf0.001")
+        both = earlier.join(later.select("vec_id", F.col("features").alias("new")), "vec_id").groupBy("vec_id").agg(F.count("*"))
+        both.collect()
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
