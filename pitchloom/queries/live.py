@@ -91,6 +91,33 @@ def clip_histogram_watermark(spark, sf):
     return spark.read.parquet(f"{out}/data").select("recording_id", "clip_start", "bin", "n")
 
 
+@query(
+    "str1_late_clip_counts",
+    f"""
+  WITH f AS (SELECT CAST(user_id AS VARCHAR) AS recording_id, 60e0 + value AS f0_hz, 120e0 + user_id % 60 AS tonic_hz,
+      (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000 / 3000e0 AS t FROM events WHERE event_type <> 'error'),
+  c AS (SELECT *, unnest(range(greatest(floor((t - 30) / 10) + 1, 0)::BIGINT, floor(t / 10)::BIGINT + 1)) * 10e0 AS clip_start,
+               t < 250 OR (t >= 500 AND t < 700) AS early FROM f),
+  l AS (SELECT max(clip_start) FILTER (early) - {LATENESS_S} AS first, max(clip_start) - {LATENESS_S} AS last FROM c),
+  m AS (SELECT *, NOT early AND clip_start + 30 <= first AS late FROM c, l)
+  SELECT recording_id, clip_start, {pc_bin_sql('1200e0 * log2(f0_hz / tonic_hz)')} AS bin, late, count(*) AS n
+  FROM m WHERE late OR clip_start + 30 <= last GROUP BY ALL""",
+)
+def late_clip_counts(spark, sf):
+    """Two runs of one stream; the second brings frames of clips that the first has closed."""
+    out = scratch_folder(spark, "late-clips")
+    events = fx.table(spark, sf, "events")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.to_timestamp(F.lit("2024-01-01 00:00:00")))) / 1_000_000 / PACE
+    early = (at < 250) | ((at >= 500) & (at < 700))
+    for some in (early, ~early):
+        events.filter(some).write.mode("append").parquet(f"{out}/events")
+        frames = event_frames(spark.readStream.schema(events.schema).parquet(f"{out}/events"))
+        clips.write_closed_and_late(frames, f"{out}/clips", f"{out}/checkpoint", LATENESS_S).awaitTermination()
+    closed = clips.closed_counts(spark, f"{out}/clips").withColumn("late", F.lit(False))
+    late = clips.late_counts(spark, f"{out}/clips").withColumn("late", F.lit(True))
+    return closed.unionByName(late).select("recording_id", "clip_start", "bin", "late", "n")
+
+
 FEEDBACK_SQL = """
   SELECT event_type AS actual_class, count(*) AS n_feedback, count(*) FILTER (value >= 20) AS n_corrections,
     count(*) FILTER (value >= 20) >= 50 AS retrain_ready FROM events GROUP BY 1

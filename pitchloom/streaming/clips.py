@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -60,6 +60,53 @@ def write_partial_counts(frames: DataFrame, path: str, checkpoint: str, clip: fl
     )
 
 
+def write_closed_and_late(
+    frames: DataFrame, path: str, checkpoint: str, lateness_s: float = 60.0, clip: float = CLIP_S
+) -> StreamingQuery:
+    """Counts per batch, with those that come after their clip was closed on the side.
+
+    A clip is closed once another one ends ``clip + lateness_s`` seconds after it, in any
+    earlier batch. Each batch writes its counts to ``path/counts/batch=<id>``, marked by
+    ``late``, and then how far clips are closed to ``path/limits/batch=<id>``. A batch looks at
+    the limits of earlier batches only, so a repeated one writes the same again. Nothing
+    is dropped and no state is kept: see :func:`closed_counts` and :func:`late_counts`.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        limit = None
+        if batch:
+            limits = spark.read.schema("closed_us long, batch long").parquet(f"{path}/limits")
+            limit = limits.filter(F.col("batch") < batch).agg(F.max("closed_us")).first()[0]
+        end = F.unix_micros("clip_end")
+        late = F.lit(False) if limit is None else end <= limit
+        at = f"{path}/counts/batch={batch}"
+        clip_histogram(clip_bins(rows, clip)).withColumn("late", late).write.mode("overwrite").parquet(at)
+        reached = end - int((clip + lateness_s) * 1_000_000)
+        seen = spark.read.parquet(at).agg(F.max(reached).alias("closed_us"))
+        seen.select(F.greatest("closed_us", F.lit(limit).cast("long")).alias("closed_us")).write.mode("overwrite").parquet(
+            f"{path}/limits/batch={batch}"
+        )
+
+    return (
+        frames.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def closed_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of the clips closed by now, as they were when each was closed."""
+    limit = spark.read.parquet(f"{path}/limits").agg(F.max("closed_us")).scalar()
+    return summed_counts(spark.read.parquet(f"{path}/counts").filter((F.unix_micros("clip_end") <= limit) & ~F.col("late")))
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts that came after their clip was closed."""
+    return summed_counts(spark.read.parquet(f"{path}/counts").filter("late"))
+
+
 def summed_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("recording_id", "clip_start", "clip_end", "bin").agg(F.sum("n").alias("n"))
 

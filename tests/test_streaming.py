@@ -1,3 +1,4 @@
+import datetime
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -98,3 +99,27 @@ def test_streams_read_a_file_or_a_folder_of_part_files(spark, tmp_path):
         )
         run.awaitTermination()
         assert spark.read.parquet(out).count() == 1000
+
+
+def test_late_counts_go_to_the_side(spark, tmp_path):
+    """Closed clips and late counts together are the counts of all frames of closed clips."""
+    def frame_rows(times):
+        start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+        return spark.createDataFrame([("r", start, float(t), 150.0, 110.0) for t in times], "recording_id string, started_at timestamp, ts double, f0_hz double, tonic_hz double")
+
+    path, batches = str(tmp_path / "in"), [range(0, 300, 2), range(1, 300, 20), range(300, 420, 2), [5, 415]]
+    schema = frame_rows([0]).schema
+    for k, times in enumerate(batches):
+        frame_rows(times).coalesce(1).write.mode("append").parquet(path)
+        frames = spark.readStream.schema(schema).parquet(path)
+        clips.write_closed_and_late(frames, str(tmp_path / "out"), str(tmp_path / "check"), 60.0).awaitTermination()
+    # A batch that runs again writes what it wrote.
+    closed = {(r.clip_start, r.bin): r.n for r in clips.closed_counts(spark, str(tmp_path / "out")).collect()}
+    late = {(r.clip_start, r.bin): r.n for r in clips.late_counts(spark, str(tmp_path / "out")).collect()}
+    whole = {(r.clip_start, r.bin): r.n for r in clips.clip_histogram(clips.clip_bins(frame_rows([t for b in batches for t in b]))).collect()}
+    last = max(s for s, _ in whole) + 30 - 90
+    assert late and all(s + 30 <= last for s, _ in closed)
+    both = {k: closed.get(k, 0) + late.get(k, 0) for k in closed.keys() | late.keys()}
+    assert both == {k: n for k, n in whole.items() if k[0] + 30 <= last}
+    # Frame 5 lies in three clips that were closed long before.
+    assert late[(0.0, next(iter(late))[1])] >= 1
