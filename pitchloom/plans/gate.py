@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import quality, ranking
-from ..session import scratch_folder
+from ..session import exists, scratch_folder
 
 
 class GateFailed(RuntimeError):
@@ -115,6 +118,7 @@ def gate_report(
     width: int = vectors.BINS,
     names: Sequence[str] = vectors.CHANNELS,
     strict: bool = False,
+    store: str | None = None,
 ) -> DataFrame:
     """``section, metric, key, value`` lines of the whole gate.
 
@@ -127,6 +131,10 @@ def gate_report(
     The vectors are read once for all sums, which are written per recording, label and
     channel, and once for the picks; all other lines come from those small tables.
     ``earlier`` has one row per key, with ``label`` (which may be a key) and ``old_features``.
+
+    With ``store``, sums and picks of each run stay there, and a later run reads only the
+    rows of keys that no run has seen; the report covers all of them. A key's rows have to
+    come in one run. A run that failed leaves nothing that counts.
     """
     spark = rows.sparkSession
     folder = scratch_folder(spark, "gate")
@@ -136,7 +144,12 @@ def gate_report(
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     by = list(dict.fromkeys([*key, "label", "_tonic"]))
-    sums = keep(_sums(rows.withColumn("_tonic", F.round("expert_tonic_hz", 6)), by, "features", width, names), "sums")
+    rows = rows.withColumn("_tonic", F.round("expert_tonic_hz", 6))
+    if store:
+        sums, picks = _stored_parts(rows, key, by, block, order, width, names, store)
+    else:
+        sums = keep(_sums(rows, by, "features", width, names), "sums")
+        picks = ranking.representatives(rows, key, block, order)
     # Every vector has each channel once, so one of them counts the rows.
     once = sums.filter(F.col("channel") == names[0])
     counts = once.groupBy("label").agg(F.sum("rows").alias("n"))
@@ -149,7 +162,6 @@ def gate_report(
     aligned = keep(quality.reconcile(ours, theirs, key, "label_of"), "aligned")
     if strict:
         require_aligned(aligned)
-    picks = ranking.representatives(rows, key, block, order)
     cross = compare_channels(earlier.select(*key, "old_features"), picks, key, width, names)
     peaks = F.flatten(
         F.transform(
@@ -191,6 +203,29 @@ def gate_report(
     return report
 
 
+def _stored_parts(
+    rows: DataFrame, key: Sequence[str], by: Sequence[str], block: str, order: Sequence[str], width: int, names: Sequence[str], store: str
+) -> tuple[DataFrame, DataFrame]:
+    """Sums and picks of all runs below ``store``, after adding those of the keys not seen yet.
+
+    The sums are the manifest: they are written last, and picks of a run without sums do not count.
+    """
+    spark = rows.sparkSession
+    run = uuid.uuid4().hex
+    if exists(spark, f"{store}/sums"):
+        seen = spark.read.parquet(f"{store}/sums").select(*[F.col(k).alias(f"_seen_{k}") for k in key]).distinct()
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in key])
+        rows = rows.join(seen, same, "left_anti")
+    picks = ranking.representatives(rows, key, block, order).select(*key, "pick", "features")
+    sums = _sums(rows, by, "features", width, names)
+    schemas = {"picks": picks.schema, "sums": sums.schema}
+    for name, part in (("picks", picks), ("sums", sums)):
+        part.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{store}/{name}")
+    every = {n: spark.read.schema(s.add("run", "string")).parquet(f"{store}/{n}") for n, s in schemas.items()}
+    runs = every["sums"].select("run").distinct()
+    return every["sums"].drop("run"), every["picks"].join(runs, "run", "left_semi").drop("run")
+
+
 def require_aligned(reconciliation: DataFrame) -> None:
     """Raise unless every key was found on both sides with the same label."""
     off = reconciliation.filter("status <> 'matched' and n > 0").orderBy("status").collect()

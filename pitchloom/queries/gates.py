@@ -9,6 +9,7 @@ from ..functions import text, vectors
 from ..operators import quality, ranking
 from ..operators.blocks import time_block
 from ..plans import gate
+from ..session import scratch_folder
 from .contours import HOP
 from .registry import frames_sql, q6, query, r6
 
@@ -353,3 +354,15 @@ def gate_report(spark, sf):
         rows, old_features(spark, sf), class_list(spark, sf), ["label"], "block", ["vec_id"], WIDTH, NAMES, strict=True
     )
     return out.withColumn("value", r6("value"))
+
+
+@query("qa1_gate_report_in_two_runs", GATE_SQL + f"SELECT section, metric, key, {q6('value')} AS value FROM lines")
+def gate_report_in_two_runs(spark, sf):
+    """A first run over some of the keys, a second over all; the second reads the new ones only."""
+    rows = blocked_vectors(spark, sf).withColumn("expert_tonic_hz", F.lit(120.0) + F.col("label"))
+    store = scratch_folder(spark, "gate-store")
+    for some in (rows.filter("label % 3 <> 1"), rows):
+        out = gate.gate_report(
+            some, old_features(spark, sf), class_list(spark, sf), ["label"], "block", ["vec_id"], WIDTH, NAMES, store=store
+        )
+    return out.withColumn("value", r6("value"))

@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 
 def write_features(df: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet, partitioned by ``source`` so that a reader can leave sources out."""
@@ -43,7 +45,7 @@ def append_once(df: DataFrame, path: str, batch: str, key: Sequence[str]) -> Non
     spark = df.sparkSession
     whole = df.dropna(subset=list(key))
     rows = whole.dropDuplicates(list(key))
-    if _exists(spark, path):
+    if exists(spark, path):
         others = spark.read.parquet(path).filter(F.col("batch").cast("string") != batch).select(*key)
         rows = rows.join(others, list(key), "left_anti")
     nameless = df.filter(" OR ".join(f"`{k}` IS NULL" for k in key))
@@ -51,11 +53,6 @@ def append_once(df: DataFrame, path: str, batch: str, key: Sequence[str]) -> Non
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
     """A table below ``path`` whose rows lie in ``buckets`` by ``key``, sorted within.
 

@@ -370,3 +370,23 @@ def test_bucketed_features_meet_without_a_shuffle(spark):
         assert "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_a_second_gate_run_reads_new_keys_only(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    data = [(k % 6, k, 0, 100.0 + k % 6, rng.random(6).tolist()) for k in range(60)]
+    schema = "label int, vec_id int, block int, expert_tonic_hz double, features array<double>"
+    whole = spark.createDataFrame(data, schema)
+    # Vectors of the keys seen before are broken; nobody looks at them again.
+    spoiled = spark.createDataFrame([(a, b, c, d, [float("nan")] * 6 if a < 4 else v) for a, b, c, d, v in data], schema)
+    earlier = whole.groupBy("label").agg(F.min_by("features", "vec_id").alias("old_features"))
+    classes = whole.select("label").distinct()
+
+    def report(rows, **options):
+        out = gate.gate_report(rows, earlier, classes, ["label"], "block", ["vec_id"], 2, ("a", "b", "c"), **options)
+        return {(r.section, r.metric, r.key): round(r.value, 9) if r.value is not None else None for r in out.collect()}
+
+    store = str(tmp_path / "store")
+    first = report(whole.filter("label < 4"), store=store)
+    assert first["summary", "rows", ""] == 40
+    assert report(spoiled, store=store) == report(whole) == report(spoiled, store=store)
