@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import inspect
 import tempfile
 import weakref
@@ -46,6 +47,13 @@ def let_go() -> None:
         trim(0)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Drop the plans and results that earlier jobs left with the driver, before a job of many plans."""
+    gc.collect()
+    let_go()
+    spark._jvm.System.gc()
+
+
 def tidied(*caches: Callable) -> Callable:
     """For functions that run in tasks: at their end the caches are emptied and memory goes back."""
 
