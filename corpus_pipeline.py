@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchloom.llm import bpe, langid, mixing, ngram_join, repeats
-from pitchloom.llm.staging import Stage, with_row_key
+from pitchloom.llm.staging import Stage, tidy_driver, with_row_key
 
 ROW = "_row"
 
@@ -38,6 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected are null texts and texts without a letter (``und``), and all documents if
     none has a label to learn from. ``lang`` is left as it is.
     """
+    tidy_driver(spark)
     sample = langid.draw_sample(docs)
     rows, columns = _aside(docs, "lang_pred", "score")
     return langid.identify(rows, sample).filter(F.col("lang_pred") != langid.UNKNOWN).select(*columns)
@@ -51,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups that hold the same ids, or none, are still groups of their own. Texts without
     words link with nothing and stay.
     """
+    tidy_driver(spark)
     rows, columns = _keyed(spark, docs, "near")
     stage = Stage(spark, "ngrams")
     found = ngram_join.similar(rows, stage=stage)
@@ -71,6 +73,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``n_chars`` follows the text. A document of which nothing is left goes; one that
     was empty or null before stays as it was. Parts of characters at a cut are dropped.
     """
+    tidy_driver(spark)
     rows, columns = _keyed(spark, docs, "passages", "n_removed", "n_bytes", "kept", "_had_text")
     cut = repeats.remove_repeats(rows).select(ROW, "n_removed", "n_bytes", "kept")
     # Texts come back from the operator, so those of ``rows`` need not meet them.
@@ -99,6 +102,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is there as often as the mix takes its words, to the nearest whole
     number: 0 to 3 times. Documents without words stay once.
     """
+    tidy_driver(spark)
     rows, columns = _aside(docs, "size", "source_size", "target", "taken", "times", ROW)
     mixed = mixing.mix(rows).rows
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
@@ -112,6 +116,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests that show that they decode as they should."""
+    tidy_driver(spark)
     rows = bpe.encode_texts(docs, bpe.public_vocabulary())
     return rows.select(
         "doc_id",
