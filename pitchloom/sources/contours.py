@@ -176,17 +176,16 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     names = spark.createDataFrame([(n,) for n in files.inputFiles()], "path string")
     sizes = files.select(F.col("_metadata.file_path").alias("path"), "length")
-    out = None
-    for source, ext in {"contour": CONTOUR_EXT, "tonic": TONIC_EXT, **SEGMENT_EXTS}.items():
-        named, sized = (
-            d.filter(text.has_extension(F.col("path"), [ext])).withColumn("recording_id", text.file_key(F.col("path"), root, ext)).drop("path")
-            for d in (names, sizes)
+    both = names.withColumn("length", F.lit(0).cast("long")).unionByName(sizes)
+    kinds = [
+        F.when(
+            text.has_extension(F.col("path"), [ext]),
+            F.struct(text.file_key(F.col("path"), root, ext).alias("recording_id"), F.lit(source).alias("source")),
         )
-        some = named.join(sized, "recording_id", "left").select(
-            "recording_id", F.lit(source).alias("source"), F.coalesce("length", F.lit(0).cast("long")).alias("length")
-        )
-        out = some if out is None else out.unionByName(some)
-    return out
+        for source, ext in {"contour": CONTOUR_EXT, "tonic": TONIC_EXT, **SEGMENT_EXTS}.items()
+    ]
+    found = both.select(F.coalesce(*kinds).alias("_of"), "length").filter("_of IS NOT NULL")
+    return found.groupBy("_of.recording_id", "_of.source").agg(F.max("length").alias("length"))
 
 
 def segment_status(spark: SparkSession, root: str, scanned: Scan) -> DataFrame:
