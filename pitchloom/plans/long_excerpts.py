@@ -56,8 +56,8 @@ def mark(voiced: DataFrame, key: Sequence[str], hop: float, tslope: float, ttime
     """:func:`features.mark_excerpt` over blocks: ``cents``, ``held`` and ``loose``."""
     on = [*key, "block"]
     rows = voiced.withColumn("cents", pitch.cents_above(F.col("f0_hz"), F.col("tonic_hz")))
-    at = F.struct("ts", "cents")
-    used = [c for c in rows.columns if c not in (*on, "ts", "cents")]
+    at = F.struct("ts", "f0_hz")
+    used = [c for c in rows.columns if c not in (*on, "ts", "f0_hz")]
     ends = agg_reading(rows, on, [F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last")], also=used)
     ends = carry(
         ends,
@@ -70,12 +70,12 @@ def mark(voiced: DataFrame, key: Sequence[str], hop: float, tslope: float, ttime
         *on,
         "n_frames",
         F.coalesce("_before", F.lit(0)).alias("_before"),
-        F.col("_prev.cents").alias("_prev"),
-        F.col("_next.cents").alias("_next"),
+        F.col("_prev.f0_hz").alias("_prev"),
+        F.col("_next.f0_hz").alias("_next"),
     )
-    w = Window.partitionBy(*on).orderBy("ts", "cents")
-    local = rows.withColumns({"_rn": F.row_number().over(w), "_lag": F.lag("cents").over(w), "_lead": F.lead("cents").over(w)})
-    steep = F.abs(contour.slope(F.coalesce("_lag", "_prev"), F.col("cents"), F.coalesce("_lead", "_next"), F.lit(hop)))
+    w = Window.partitionBy(*on).orderBy("ts", "f0_hz")
+    local = rows.withColumns({"_rn": F.row_number().over(w), "_lag": F.lag("f0_hz").over(w), "_lead": F.lead("f0_hz").over(w)})
+    steep = F.abs(contour.slope_of_hz(F.coalesce("_lag", "_prev"), F.col("f0_hz"), F.coalesce("_lead", "_next"), F.lit(hop)))
     marked = join_summary(local, ends, on).withColumns(
         {
             "frame_idx": F.col("_rn") - 1 + F.col("_before"),

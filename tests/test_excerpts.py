@@ -335,3 +335,13 @@ def test_no_task_holds_a_long_recording_of_unknown_length(spark):
     assert got.status == "ok" and got.n_segments == 1
     plain = features.detected_features(f, ["recording_id"], hop).first()
     assert out.first().tonic_hz == pytest.approx(plain.tonic_hz) and np.allclose(out.first().features, plain.features)
+
+
+def test_octave_steps_lie_on_the_slope_limit(spark):
+    """A step of one octave over two seconds is 600 cents a second for any tonic, so not below 600."""
+    tonics = [60.15 + 0.3 * i for i in range(200)]
+    rows = [(i, t, j, 95.81 * (1, 1.5, 2)[j]) for i, t in enumerate(tonics) for j in range(3)]
+    frames = spark.createDataFrame(rows, "k int, tonic_hz double, ts int, f0_hz double")
+    out = features.mark_excerpt(frames, ["k"], hop=1.0, tslope=600.0, ttime=0.0, loose_tslope=600.5)
+    middle = out.filter("ts = 1").agg(F.count_if("stable"), F.count_if("loose")).first()
+    assert tuple(middle) == (0, len(tonics))
