@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Tags of a similar link that resolves, and of one that does not.
 SIZE_TAG, PLAIN_TAG = " swaras", "Related raga"
+# Scales of up to this many tokens are listed under all subsets of them.
+SUBSET_TOKENS = 7
 
 
 class IncompleteError(RuntimeError):
@@ -90,13 +92,56 @@ def link_overlap(knowledge: DataFrame) -> DataFrame:
     )
 
 
+def _shared_subsets(scales: DataFrame, k: int) -> DataFrame:
+    """``_scale, _n, _other, _m, shared`` of scales of few tokens: for each, the ``k`` most alike and more.
+
+    A scale that is not among the first of a subset may be met at a smaller one only, with
+    too low a count, but then ``k`` others come before it.
+    """
+    mask_end = F.shiftleft(F.lit(1), SUBSET_TOKENS) - 1
+    masks = F.filter(F.sequence(F.lit(1), mask_end), lambda m: m < F.pow(F.lit(2), F.col("_n")))
+
+    def subset(mask):
+        part = F.filter("_tokens", lambda _, i: F.getbit(mask, i) == 1)
+        return F.struct(F.xxhash64(part).alias("_subset"), F.size(part).alias("shared"))
+
+    few = scales.filter(F.col("_n") <= SUBSET_TOKENS)
+    listed = few.select("_scale", "_n", "class_name", F.inline(F.transform(masks, subset)))
+    by_name = Window.partitionBy("_subset", "_n").orderBy("class_name")
+    tops = listed.withColumn("_r", F.row_number().over(by_name)).filter(F.col("_r") <= k + 1)
+    tops = tops.select("_subset", F.col("_scale").alias("_other"), F.col("_n").alias("_m"))
+    met = listed.drop("class_name").join(tops, "_subset").filter("_scale <> _other")
+    return met.groupBy("_scale", "_n", "_other", "_m").agg(F.max("shared").alias("shared"))
+
+
+def _shared_tokens(scales: DataFrame) -> DataFrame:
+    """:func:`_shared_subsets` of all pairs in which a scale has many tokens."""
+    index = scales.select("_scale", "_n", F.explode("_tokens").alias("_token"))
+    many = index.filter(F.col("_n") > SUBSET_TOKENS)
+    other = index.select(F.col("_scale").alias("_other"), F.col("_n").alias("_m"), "_token")
+    shared = (
+        many.join(other, "_token")
+        .filter((F.col("_scale") < F.col("_other")) | (F.col("_m") <= SUBSET_TOKENS))
+        .groupBy("_scale", "_n", "_other", "_m")
+        .agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    )
+    turned = shared.select(
+        F.col("_other").alias("_scale"), F.col("_m").alias("_n"), F.col("_scale").alias("_other"), F.col("_n").alias("_m"), "shared"
+    )
+    return shared.unionByName(turned)
+
+
 def similar_scales(knowledge: DataFrame, k: int = 3) -> DataFrame:
     """``class_name, rank, similar_name, shared, jaccard``: the ``k`` scales most alike per class.
 
-    All classes are compared, through an inverted index from token to scale: two scales meet
-    only at the tokens they share. Classes with the same tokens are one scale there, of
-    which the first ``k + 1`` names go on. Ties go by name. Classes without tokens, and
-    those that share none with another, have no row; null names and tokens are left out.
+    All classes count. Two scales meet at the set of tokens they share: each scale is listed
+    under every subset of its tokens, and of a subset and a number of tokens the first
+    ``k + 1`` scales by name stay, since those come before the others for whoever looks there.
+    So work grows with the classes, not with their pairs. Scales of more than ``SUBSET_TOKENS``
+    tokens have too many subsets; they meet all others at single tokens. Classes with the same
+    tokens are one scale there, of which the first ``k + 1`` names go on. Ties go by name.
+    Classes without tokens, and those that share none with another, have no row; null names
+    and tokens are left out.
     """
     tokens = F.array_sort(F.array_distinct(F.filter("ascending", lambda t: t.isNotNull())))
     own = knowledge.select("class_name", tokens.alias("_tokens")).filter("class_name IS NOT NULL AND size(_tokens) > 0")
@@ -104,18 +149,9 @@ def similar_scales(knowledge: DataFrame, k: int = 3) -> DataFrame:
     by_name = Window.partitionBy("_scale").orderBy("class_name")
     names = own.withColumn("_place", F.row_number().over(by_name)).filter(F.col("_place") <= k + 1)
     first = names.filter("_place = 1")
-    index = first.select("_scale", F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
-    other = index.select(F.col("_scale").alias("_other"), F.col("_n").alias("_m"), "_token")
-    shared = (
-        index.join(other, "_token")
-        .filter("_scale < _other")
-        .groupBy("_scale", "_other", "_n", "_m")
-        .agg(F.count(F.lit(1)).cast("int").alias("shared"))
-    )
-    both = shared.select(
-        F.inline(F.array(F.struct("_scale", "_other"), F.struct(F.col("_other").alias("_scale"), F.col("_scale").alias("_other")))),
-        "shared",
-        (F.col("shared") / (F.col("_n") + F.col("_m") - F.col("shared"))).alias("jaccard"),
+    sized = first.withColumn("_n", F.size("_tokens"))
+    both = _shared_subsets(sized, k).unionByName(_shared_tokens(sized)).select(
+        "_scale", "_other", "shared", (F.col("shared") / (F.col("_n") + F.col("_m") - F.col("shared"))).alias("jaccard")
     )
     # Of scales that are equally alike those with the first names hold the first classes.
     leads = first.select(F.col("_scale").alias("_other"), F.col("class_name").alias("_lead"))

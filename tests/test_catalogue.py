@@ -300,6 +300,25 @@ def test_similar_scales_against_all_pairs(spark):
     assert "Join Cross" not in plan and "Cartesian" not in plan
 
 
+def test_similar_scales_of_few_and_many_tokens(spark):
+    """Half of the scales have more tokens than are listed under subsets; all meet all."""
+    rng = np.random.default_rng(5)
+    sets = {f"s{k:03}": set(rng.choice(list("abcdefghijklmn"), rng.integers(1, 12), replace=False).tolist()) for k in range(120)}
+    df = spark.createDataFrame([(c, sorted(t)) for c, t in sets.items()], "class_name string, ascending array<string>")
+    want = {}
+    for c, own in sets.items():
+        near = sorted((-len(own & o) / len(own | o), d) for d, o in sets.items() if d != c and own & o)
+        want |= {(c, n + 1): (d, len(own & sets[d])) for n, (_, d) in enumerate(near[:4])}
+    assert {(r.class_name, r["rank"]): (r.similar_name, r.shared) for r in cat.similar_scales(df, k=4).collect()} == want
+
+
+def test_scales_that_share_a_token_do_not_all_meet(spark):
+    """Every scale holds one token: pairs would be 1,999,000, and are a few per scale."""
+    df = spark.range(2000).selectExpr("'c' || id AS class_name", "array('all', 'a' || id % 50, 'b' || id div 50) AS ascending")
+    sized = df.select("class_name", F.array_sort("ascending").alias("_tokens"), F.xxhash64("class_name").alias("_scale"), F.lit(3).alias("_n"))
+    assert cat._shared_subsets(sized, 3).unionByName(cat._shared_tokens(sized)).count() < 2000 * 7 * 4
+
+
 def test_scan_keeps_rejects_and_stops_if_asked(spark, tmp_path):
     files = {
         "k/good": ["0.0 110.0\n0.5 0\n", "110.0", "0.0 0.4\n", ""],
