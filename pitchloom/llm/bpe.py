@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship
+from .staging import let_go, ship
 
 MEMO_WORDS = 120_000
 CHUNK_CHARS = 500_000
@@ -261,7 +261,9 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
             # The worker may go on to other tasks, which need the room.
             bpe.forget()
             vocabulary.cache_clear()
+            del bpe
             gc.enable()
+            let_go()
 
     both = df.withColumn("_encoded", encoded(F.col(text)))
     return both.withColumns(
@@ -274,14 +276,14 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
 
 
 def _encoded(bpe: WordBpe, batches: Iterator[pa.Array], kind: pa.StructType) -> Iterator[pa.Array]:
+    """Results chunk by chunk, so that a task holds those of one chunk at a time, however large the batches."""
     for batch in batches:
-        done, some, held = [], [], 0
-        for k in range(len(batch) + 1):
-            if k == len(batch) or held >= CHUNK_CHARS:
-                ids, shown = zip(*bpe.encode(some)) if some else ((), ())
-                done.append((pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())))
+        some, held = [], 0
+        for k in range(len(batch)):
+            some.append(batch[k].as_py() or "")
+            held += len(some[-1])
+            if k == len(batch) - 1 or held >= CHUNK_CHARS:
+                ids, shown = zip(*bpe.encode(some))
                 some, held = [], 0
-            if k < len(batch):
-                some.append(batch[k].as_py() or "")
-                held += len(some[-1])
-        yield pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*done)], fields=list(kind))
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())], fields=list(kind))
+                del ids, shown

@@ -5,6 +5,7 @@ import struct
 import unicodedata
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,3 +71,13 @@ def test_operator_rows(spark, lib):
     )
     empty = bpe.encode_texts(df.filter(F.lit(False)), FILE)
     assert empty.count() == 0 and set(empty.columns) == {"doc_id", "text", "decoded", "n_tokens", "ids"}
+
+
+def test_results_leave_chunk_by_chunk(own, lib, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 8)
+    texts = ["one two", None, "three four", "", "five", "six"]
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+    out = list(bpe._encoded(own, iter([pa.array(texts), pa.array([], pa.string()), pa.array(["seven"])]), kind))
+    assert [len(a) for a in out] == [3, 3, 1]
+    rows = [r for a in out for r in a.to_pylist()]
+    assert [(r["ids"], r["decoded"]) for r in rows] == [want(lib, t or "") for t in [*texts, "seven"]]
