@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch, vectors
 from ..operators import contour, quality, ranking, tonic
+from ..operators.blocks import spread
 from ..operators.histograms import BINS
 from . import features
 
@@ -38,7 +39,7 @@ def tonic_diagnostic(
     error is the plain difference in cents: a wrong octave counts.
     """
     start = sampled(frames, recordings, groups).filter(F.col("ts") < DIAGNOSTIC_S)
-    found = tonic.detect_tonic(contour.confident_or_voiced(start, KEY, min_voiced), KEY)
+    found = tonic.detect_tonic(contour.confident_or_voiced(spread(start, KEY), KEY, min_voiced), KEY)
     tried = start.select("recording_id").distinct()
     error = pitch.cents_between(F.col("tonic_hz"), F.col("expert_tonic_hz"))
     return (
