@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -345,3 +347,44 @@ def test_octave_steps_lie_on_the_slope_limit(spark):
     out = features.mark_excerpt(frames, ["k"], hop=1.0, tslope=600.0, ttime=0.0, loose_tslope=600.5)
     middle = out.filter("ts = 1").agg(F.count_if("stable"), F.count_if("loose")).first()
     assert tuple(middle) == (0, len(tonics))
+
+
+def test_partitions_of_clips_are_not_merged(spark, singers):
+    """Frames multiply after their shuffle, so its partitions stay as many as the session asks for."""
+    df = tracked(spark, [(k, *r) for k, v in singers.items() for r in v])
+    recs = df.groupBy("recording_id").agg(F.max("ts").alias("duration_s"))
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert seg.clip_frames(df, recs).rdd.getNumPartitions() == want > 1
+
+
+def executed(df):
+    plan = df._jdf.queryExecution()
+    df.collect()
+    return plan.executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_excerpts_are_sorted_once_and_bins_are_no_rows(spark, singers):
+    df = tracked(spark, [(k, *r) for k, v in singers.items() for r in v]).withColumn("given", F.lit(131.0))
+    plan = executed(features.detected_features(df, KEY, 0.5, given="given", ttime=1.0))
+    assert plan.count(" Sort [") == 1 and "Generate" not in plan
+
+
+def test_candidates_do_not_multiply_frames(spark, singers):
+    df = tracked(spark, [(k, *r) for k, v in singers.items() for r in v if r[2]])
+    plan = executed(tonic.detect_tonic(df, KEY))
+    # One row per candidate is all that is made; no bins are, nor a row per frame and candidate.
+    assert plan.count("Generate") == 1 and "inline" not in plan
+
+
+@pytest.mark.parametrize("least", [0, 1, 2, 3, 5, 50])
+def test_runs_of_stable_frames(spark, least):
+    flags = {"a": "1101110010111110", "b": "0000", "c": "111", "d": "1", "e": "0110"}
+    rows = [(k, float(i), c == "1") for k, v in flags.items() for i, c in enumerate(v)]
+    got = contour.excerpt_runs(spark.createDataFrame(rows, "recording_id string, ts double, stable boolean"), KEY, least)
+    found = {k: "".join("1" if r.held else "0" for r in sorted(v, key=lambda r: r.ts)) for k in flags for v in [[r for r in got.collect() if r.recording_id == k]]}
+    for k, v in flags.items():
+        assert found[k] == "".join(("1" if len(run) >= least else "0") * len(run) if run[0] == "1" else run for run in brute_runs(v)), k
+
+
+def brute_runs(flags):
+    return ["".join(g) for _, g in itertools.groupby(flags)]
