@@ -67,3 +67,13 @@ def test_equal_rows_stay_together_and_empty_tables(spark):
     got = depth.equi_depth(df, ["k"], [F.col("p"), F.col("i")], 4).groupBy("p").agg(F.countDistinct("block").alias("n")).collect()
     assert {r.p: r.n for r in got} == {1: 1, 2: 1}
     assert depth.equi_depth(df.limit(0), ["k"], [F.col("p")], 4).count() == 0
+
+
+def test_passes_read_what_the_last_one_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(depth, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    rows = [("a", 2**20 * (i // 1000) + i % 1000, i) for i in range(3000)] + [("b", 5, 1)]
+    blocks_of(spark.createDataFrame(rows, "k string, p long, i long"), 50).count()
+    first, second = [spark.read.parquet(str(tmp_path / "depth" / name)) for name in ("rows", "rows-0")]
+    # The row of b lies in no over-full cell.
+    assert (first.count(), second.count()) == (3001, 3000)
+    assert first.select("_at").distinct().count() == 1 < second.select("_at").distinct().count()
