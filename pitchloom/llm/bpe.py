@@ -8,8 +8,10 @@ first with a stack of last tokens per depth, so a prefix that many words share i
 worked out once. Whether two tokens may stand side by side follows from the merges
 they were made by (``WordBpe.side_by_side``).
 
-Texts are encoded in Arrow batches on the executors. A task keeps the words it
-has met and starts over beyond ``MEMO_WORDS``; nothing outlives the task.
+Texts are encoded in Arrow batches on the executors. Python sees what stands between
+white space once per distinct string; texts are cut, counted and put together again
+by Arrow. A task keeps the words it has met and starts over beyond ``MEMO_WORDS``;
+nothing outlives the task.
 """
 
 from __future__ import annotations
@@ -18,24 +20,26 @@ import functools
 import gc
 import itertools
 import json
-import re
-import struct
 import unicodedata
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import let_go, ship
 
-MEMO_WORDS = 120_000
-CHUNK_CHARS = 500_000
+MEMO_WORDS = 240_000
+CHUNK_CHARS = 2_000_000
 END = "</w>"
-CONTROL = re.compile("[\x1c-\x1f]")
+#: Arrow and str.split() also cut at these, which are no white space.
+CONTROL = "[\x1c-\x1f]"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -45,13 +49,30 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Lists:
+    """Lists of integers one behind the other, and where each ends."""
+
+    def __init__(self) -> None:
+        self.items, self.ends = array("i"), array("i", [0])
+
+    def add(self, items: Iterable[int]) -> None:
+        self.items.extend(items)
+        self.ends.append(len(self.items))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def take(self, places: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.array(self.ends, np.int32), np.array(self.items, np.int32)).take(places)
+
+
 class WordBpe:
     """The vocabulary of a word-level BPE file, with the words met so far."""
 
     def __init__(self, spec: str) -> None:
         spec = json.loads(spec)
         model, letters = spec["model"], _byte_letters()
-        self.names = {i: name.encode() for name, i in model["vocab"].items()}
+        names = {i: name for name, i in model["vocab"].items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         vocab = model["vocab"]
         self.rank: dict[tuple[int, int], int] = {}
@@ -61,7 +82,8 @@ class WordBpe:
             self.parts.setdefault(vocab[a + b], (r, vocab[a], vocab[b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
-            self.names[i] = content.encode()
+            names[i] = content
+        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         cut = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(cut.replace(r"\s", r"\p{White_Space}")).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -144,7 +166,7 @@ class WordBpe:
         The stacks hold a state for each inner prefix of the word before. The last
         letter of a word is a symbol of its own, so it is never shared.
         """
-        fits, names, moves = self.fits, self.names, self.moves
+        fits, moves = self.fits, self.moves
         ending, shorter, size = self.ending, self.shorter, self.size
         before, node, last, begin = b"", [0], [0], [0]
         for word, text in sorted((w.encode(), w) for w in words):
@@ -181,11 +203,14 @@ class WordBpe:
                 tokens.append(last[s])
                 s = begin[s]
             tokens.reverse()
-            self.words[text] = struct.pack(f"<{len(tokens)}I", *tokens), b" ".join([names[t] for t in tokens])
+            self.words[text] = len(self.tokens)
+            self.tokens.add(tokens)
             before = word
 
     def cut(self, chunk: str) -> list[str]:
         """Special tokens and lower-cased pieces of a text, in order."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
         found: list[str] = []
         for k, part in enumerate(self.at_special.split(chunk) if "<|" in chunk else (chunk,)):
             if k % 2:
@@ -197,12 +222,21 @@ class WordBpe:
         return found
 
     def forget(self) -> None:
-        self.words = {c: (struct.pack("<I", i), c.encode()) for c, i in self.special.items()}
+        self.words: dict[str, int] = {}
+        self.tokens = Lists()  # of each word
+        for content, i in self.special.items():
+            self.words[content] = len(self.tokens)
+            self.tokens.add([i])
         self.place: defaultdict[str, int] = defaultdict(itertools.count().__next__)
-        self.ids: list[bytes] = []
-        self.shown: list[bytes] = []
+        self.cuts = Lists()  # the words of what has each place
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    def split(self, texts: pa.StringArray) -> pa.ListArray:
+        """What stands between white space; an empty string where white space begins or ends a text."""
+        if not pc.any(pc.match_substring_regex(texts, CONTROL)).as_py():
+            return pc.utf8_split_whitespace(texts)
+        return pa.array([self.at_space(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    def encode_array(self, texts: pa.StringArray) -> tuple[pa.BinaryArray, pa.StringArray]:
         """Per text the ids as little-endian 32-bit integers, and the decoded text.
 
         No piece holds white space, so what stands between white space is encoded
@@ -210,22 +244,32 @@ class WordBpe:
         """
         if len(self.place) > MEMO_WORDS or len(self.words) > MEMO_WORDS:
             self.forget()
-        if len(self.fits) > 4 * MEMO_WORDS:
+        if len(self.fits) > 2 * MEMO_WORDS:
             self.fits.clear()
             self.moves = dict(self.child)
-        place = self.place.__getitem__
-        # str.split() also cuts at four control characters that are no white space.
-        chunks = [self.at_space(t) if CONTROL.search(t) else t.split() for t in texts]
-        places = [list(map(place, c)) for c in chunks]
-        fresh = len(self.place) - len(self.ids)
-        new = [self.cut(c) for c in reversed(list(itertools.islice(reversed(self.place), fresh)))]
+        chunks = self.split(texts)
+        coded = chunks.flatten().dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        places = np.fromiter(map(self.place.__getitem__, met), np.int32, len(met))
+        # Places are dealt in the order of first sight, so new ones follow each other.
+        new = [self.cut(met[k]) for k in np.flatnonzero(places >= len(self.cuts))]
         self.learn(set().union(*new).difference(self.words))
         for pieces in new:
-            found = [self.words[w] for w in pieces]
-            self.ids.append(b"".join([a for a, _ in found]))
-            self.shown.append(b" ".join([b for _, b in found]))
-        ids, shown = self.ids.__getitem__, self.shown.__getitem__
-        return [(b"".join(map(ids, p)), b" ".join(filter(None, map(shown, p)))) for p in places]
+            self.cuts.add([self.words[w] for w in pieces])
+        words = self.cuts.take(pa.array(places).take(coded.indices))
+        tokens = self.tokens.take(words.flatten())
+        starts = tokens.offsets.take(words.offsets.take(chunks.offsets))
+        ids = tokens.flatten()
+        # Converting raises where 32 bits do not hold an offset.
+        ends = pa.array(4 * starts.to_numpy().astype(np.int64), pa.int32())
+        packed = pa.py_buffer(ids.to_numpy().astype("<i4"))
+        shown = pc.binary_join(pa.ListArray.from_arrays(starts, self.names.take(ids)), " ")
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, ends.buffers()[1], packed]), shown
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """:meth:`encode_array` of Python's strings."""
+        ids, shown = self.encode_array(pa.array(texts, pa.string()))
+        return list(zip(ids.to_pylist(), shown.cast(pa.binary()).to_pylist()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -278,12 +322,11 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text: str = "text") -> Dat
 def _encoded(bpe: WordBpe, batches: Iterator[pa.Array], kind: pa.StructType) -> Iterator[pa.Array]:
     """Results chunk by chunk, so that a task holds those of one chunk at a time, however large the batches."""
     for batch in batches:
-        some, held = [], 0
-        for k in range(len(batch)):
-            some.append(batch[k].as_py() or "")
-            held += len(some[-1])
+        sizes = pc.fill_null(pc.utf8_length(batch), 0).to_pylist()
+        start, held = 0, 0
+        for k, size in enumerate(sizes):
+            held += size
             if k == len(batch) - 1 or held >= CHUNK_CHARS:
-                ids, shown = zip(*bpe.encode(some))
-                some, held = [], 0
-                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(shown, pa.binary()).cast(pa.string())], fields=list(kind))
-                del ids, shown
+                some = batch.slice(start, k + 1 - start).cast(pa.string())
+                yield pa.StructArray.from_arrays(bpe.encode_array(pc.fill_null(some, "")), fields=list(kind))
+                start, held = k + 1, 0

@@ -1,5 +1,6 @@
 """The prefix traversal against the tokenizers library."""
 
+import itertools
 import random
 import struct
 import unicodedata
@@ -81,3 +82,27 @@ def test_results_leave_chunk_by_chunk(own, lib, monkeypatch):
     assert [len(a) for a in out] == [3, 3, 1]
     rows = [r for a in out for r in a.to_pylist()]
     assert [(r["ids"], r["decoded"]) for r in rows] == [want(lib, t or "") for t in [*texts, "seven"]]
+
+
+def test_every_white_space_cuts(own, lib):
+    spaces = [chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) in ("Cc", "Zs", "Zl", "Zp")]
+    texts = [f"{c}one{c}{c}two{c}" for c in spaces]
+    for some in (texts, [t for t in texts if not "\x1c" <= t[0] <= "\x1f"]):
+        for text, (ids, shown) in zip(some, own.encode(some), strict=True):
+            assert (ids, shown.decode()) == want(lib, text), repr(text)
+
+
+def test_words_of_a_task_are_cut_once(own, lib, monkeypatch):
+    """Tasks of the larger tables meet more distinct words than the memo once held."""
+    own.forget()
+    cut, seen = own.cut, []
+    monkeypatch.setattr(own, "cut", lambda chunk: seen.append(chunk) or cut(chunk))
+    letters = "abcdefgh"
+    words = ["".join(w) for w in itertools.product(letters, repeat=6)][:200_000]
+    parts = [" ".join(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    for part in [*parts, *parts]:
+        (got,) = own.encode([part])
+    assert len(seen) == len(set(seen)) == len(words)
+    a, b = want(lib, parts[-1])
+    assert got == (a, b.encode())
+    own.forget()
