@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators.blocks import BLOCK_S, dense_index, time_block
+from . import files
 
 # File extensions of the annotation set.
 CONTOUR_EXT = ".pitchSilIntrpPP"
 TONIC_EXT = ".tonicFine"
 SEGMENT_EXTS = {"nyas": ".flatSegNyas", "tani": ".taniSegKNN"}
+SOURCES = {"contour": CONTOUR_EXT, "tonic": TONIC_EXT, **SEGMENT_EXTS}
 
 
-def _lines(spark: SparkSession, root: str, ext: str, whole: bool = False) -> DataFrame:
+def _lines(spark: SparkSession, root: str, ext: str, whole: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """``recording_id, value`` of the files with ``ext``; ``found`` is the listing, if there is one already."""
+    found = files.listing(spark, root, [ext]) if found is None else found
+    if found is not None:
+        return files.read_lines(spark, root, found, ext, whole)
     df = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*{ext}")
@@ -149,8 +155,12 @@ def scan(spark: SparkSession, root: str, folder: str) -> Scan:
     read; the counts of rejects come from there, so files are not read again for them. A
     segment file with any unreadable line gives no segment.
     """
-    whole = {"contour": tagged_contour(_lines(spark, root, CONTOUR_EXT)), "tonic": tagged_tonics(_lines(spark, root, TONIC_EXT, whole=True))}
-    parts = [tagged_segments(_lines(spark, root, ext), kind) for kind, ext in SEGMENT_EXTS.items()]
+    found = files.listing(spark, root, list(SOURCES.values()))
+    whole = {
+        "contour": tagged_contour(_lines(spark, root, CONTOUR_EXT, found=found)),
+        "tonic": tagged_tonics(_lines(spark, root, TONIC_EXT, whole=True, found=found)),
+    }
+    parts = [tagged_segments(_lines(spark, root, ext, found=found), kind) for kind, ext in SEGMENT_EXTS.items()]
     whole["segment"] = parts[0].unionByName(parts[1])
     good, bad = {}, []
     for source, rows in whole.items():
@@ -168,36 +178,42 @@ def scan(spark: SparkSession, root: str, folder: str) -> Scan:
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """``recording_id, source, length`` of all annotation files; their content is not read.
+    """``recording_id, source, length`` of all annotation files, those of no bytes too; their content is not read.
 
-    Spark's driver lists the files of any table it reads. That list also names files of no
-    bytes, which a scan leaves out.
+    Tasks list the files. Where they cannot open ``root``, Spark's driver does.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    names = spark.createDataFrame([(n,) for n in files.inputFiles()], "path string")
-    sizes = files.select(F.col("_metadata.file_path").alias("path"), "length")
-    both = names.withColumn("length", F.lit(0).cast("long")).unionByName(sizes)
+    found = files.listing(spark, root, list(SOURCES.values()))
+    if found is None:
+        found = _listed_by_driver(spark, root)
+        path, key = F.col("path"), lambda ext: text.file_key(F.col("path"), root, ext)
+    else:
+        path, key = F.col("name"), lambda ext: F.substring("name", F.lit(1), F.length("name") - len(ext))
     kinds = [
-        F.when(
-            text.has_extension(F.col("path"), [ext]),
-            F.struct(text.file_key(F.col("path"), root, ext).alias("recording_id"), F.lit(source).alias("source")),
-        )
-        for source, ext in {"contour": CONTOUR_EXT, "tonic": TONIC_EXT, **SEGMENT_EXTS}.items()
+        F.when(text.has_extension(path, [ext]), F.struct(key(ext).alias("recording_id"), F.lit(source).alias("source")))
+        for source, ext in SOURCES.items()
     ]
-    found = both.select(F.coalesce(*kinds).alias("_of"), "length").filter("_of IS NOT NULL")
+    found = found.select(F.coalesce(*kinds).alias("_of"), "length").filter("_of IS NOT NULL")
     return found.groupBy("_of.recording_id", "_of.source").agg(F.max("length").alias("length"))
 
 
+def _listed_by_driver(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length``; the list that Spark's driver makes also names files of no bytes, which a scan leaves out."""
+    files_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    names = spark.createDataFrame([(n,) for n in files_.inputFiles()], "path string")
+    sizes = files_.select(F.col("_metadata.file_path").alias("path"), "length")
+    return names.withColumn("length", F.lit(0).cast("long")).unionByName(sizes)
+
+
 def segment_status(spark: SparkSession, root: str, scanned: Scan) -> DataFrame:
     """``class_id, recording_id, kind, status, n`` for every recording that has a contour.
 
     ``status`` is ``absent`` without a file, ``empty`` for one of no bytes (a recording
     without segments), ``unreadable`` for one that was rejected as a whole, else ``read``.
     """
-    files = listed(spark, root)
+    there = listed(spark, root)
     kinds = F.explode(F.array(*[F.lit(k) for k in SEGMENT_EXTS]))
-    wanted = files.filter("source = 'contour'").select("recording_id", kinds.alias("kind"))
-    found = files.select("recording_id", F.col("source").alias("kind"), "length")
+    wanted = there.filter("source = 'contour'").select("recording_id", kinds.alias("kind"))
+    found = there.select("recording_id", F.col("source").alias("kind"), "length")
     broken = scanned.rejects.select("recording_id", F.col("source").alias("kind"), F.lit(True).alias("broken")).distinct()
     counts = scanned.segments.groupBy("recording_id", "kind").agg(F.count(F.lit(1)).alias("n"))
     on = ["recording_id", "kind"]
@@ -213,20 +229,26 @@ def segment_status(spark: SparkSession, root: str, scanned: Scan) -> DataFrame:
 def discover(spark: SparkSession, root: str, ext: str) -> DataFrame:
     """Files below the class folders: ``class_id, recording_id, path``.
 
-    Lists files only; their content is not read. The first folder is the class.
+    Lists files only; their content is not read, and those of no bytes are left out. The first
+    folder is the class.
     """
     path = F.col("path")
-    files = (
+    found = files.listing(spark, root, [ext])
+    if found is not None:
+        key = F.substring("name", F.lit(1), F.length("name") - len(ext))
+        found = found.filter(text.has_extension(F.col("name"), [ext]) & (F.col("length") > 0))
+        return paths_to_recordings(found.withColumn("recording_id", key))
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
         .select(F.col("_metadata.file_path").alias("path"))
         .filter(text.has_extension(path, [ext]))
     )
-    return paths_to_recordings(files.withColumn("recording_id", text.file_key(path, root, ext)))
+    return paths_to_recordings(found.withColumn("recording_id", text.file_key(path, root, ext)))
 
 
-def paths_to_recordings(files: DataFrame) -> DataFrame:
-    return files.select(
+def paths_to_recordings(found: DataFrame) -> DataFrame:
+    return found.select(
         F.substring_index("recording_id", "/", 1).alias("class_id"), "recording_id", "path"
     )
