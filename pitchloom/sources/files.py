@@ -96,7 +96,7 @@ def listing(spark: SparkSession, root: str, exts: Sequence[str]) -> DataFrame |
             yield batch(rows)
 
     folder, levels = scratch_folder(spark, "listing"), []
-    todo = spark.createDataFrame([("",)], "name string")
+    todo = spark.range(0, 1, 1, 1).select(F.lit("").alias("name"))
     while True:
         found = stored(todo.mapInArrow(run, "name string, path string, length long"), folder, str(len(levels)))
         levels.append(found.filter("length IS NOT NULL"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchloom import fixtures as fx
+from pitchloom.plans import dataset
 from pitchloom.sources import contours, files as sources
 
 SF = "/root/testdata/sf0."
@@ -114,3 +115,13 @@ def test_files_are_found_and_read_as_by_spark(spark, tmp_path, monkeypatch):
     by_spark = everything()
     assert len(by_tasks[0]) == 57
     assert by_tasks == by_spark
+
+
+def test_labels_of_a_dataset_need_no_list_of_files(spark, tmp_path):
+    lines = [(f"{k % 2}/{k}{contours.CONTOUR_EXT}", f"{k} 110.0") for k in range(6)]
+    fx.write_text_files(spark.createDataFrame(lines, "name string, line string"), str(tmp_path / "in"))
+    mapping = spark.createDataFrame([("0", "none"), ("1", "one"), ("2", "two")], "class_id string, class_name string")
+    found = contours.discover(spark, str(tmp_path / "in"), contours.CONTOUR_EXT)
+    labels = dataset.class_labels(found, mapping)
+    assert sorted(map(tuple, labels.select("class_id", "class_name", "label").collect())) == [("0", "none", 0), ("1", "one", 1)]
+    assert not any(p.endswith(contours.CONTOUR_EXT) for p in labels.inputFiles())
