@@ -125,3 +125,12 @@ def test_labels_of_a_dataset_need_no_list_of_files(spark, tmp_path):
     labels = dataset.class_labels(found, mapping)
     assert sorted(map(tuple, labels.select("class_id", "class_name", "label").collect())) == [("0", "none", 0), ("1", "one", 1)]
     assert not any(p.endswith(contours.CONTOUR_EXT) for p in labels.inputFiles())
+
+
+def test_rejects_are_found_without_sparks_text_reader(spark, tmp_path, monkeypatch):
+    """That reader keeps a list of all files in the driver."""
+    lines = [(f"0/{k}{contours.CONTOUR_EXT}", line) for k in range(4) for line in ("0.0 110.0", "oops 1.0", "12.0")]
+    fx.write_text_files(spark.createDataFrame(lines, "name string, line string"), str(tmp_path / "in"))
+    monkeypatch.setattr(type(spark.read), "text", None)
+    rejects = contours.scan(spark, str(tmp_path / "in"), str(tmp_path / "scan")).rejects
+    assert {tuple(r) for r in rejects.collect()} == {(f"0/{k}", "contour", why, 1) for k in range(4) for why in ("no time", "no frequency")}
